@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.exact_dedup import exact_dedup
 from kgspark.llm.mixing import mix_sources
+from kgspark.llm.packing import pack_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,18 @@ WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary of 50,257 ids among the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of at most 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes, sources weighing 5, 2, 1 in turn."""
     mixed = mix_sources(table(spark, sf_dir, "documents"))
@@ -72,6 +85,7 @@ FROM ranked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_packing": op3_packing,
     "op6_mixing": op6_mixing,
 }
 
