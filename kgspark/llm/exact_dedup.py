@@ -54,10 +54,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probed = probed.select("id", "row", "n_chars", "sha", hit.alias("maybe_repeated"))
 
     maybe = probed.filter("maybe_repeated")
-    groups = maybe.groupBy("sha").agg(
-        F.min(F.struct((-F.col("n_chars")).alias("longest"), F.col("id").isNull().alias("no_id"), "id", "row")).alias("keep"),
-        F.count("*").alias("group_size"),
-    )
+    best = F.struct((-F.col("n_chars")).alias("longest"), F.col("id").isNull().alias("no_id"), "id", "row")
+    # Cut here, the join below has a plain exchange on either side and Spark may split the partition of a hot group.
+    groups = checkpointed(maybe.groupBy("sha").agg(F.min(best).alias("keep"), F.count("*").alias("group_size")))
     grouped = maybe.join(groups, "sha").select(
         "id", "sha", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept")
     )
