@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.llm.exact_dedup import exact_dedup
+from kgspark.llm.minhash import near_duplicates
 from kgspark.llm.mixing import mix_sources
 from kgspark.llm.packing import pack_documents
 
@@ -83,10 +84,16 @@ SELECT doc_id, size, source_size, target,
 FROM ranked
 """
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.85."""
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
     "op6_mixing": op6_mixing,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
