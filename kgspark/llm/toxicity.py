@@ -135,7 +135,7 @@ def fit_toxicity(
     label_col: str = "toxic",
     most_toxic: int = 1024,
     most_clean: int = 3072,
-    landmarks: tuple[int, int] = (128, 64),
+    landmarks: tuple[int, int] = (128, 96),
     power: float = 3,
     ridge: float = 1e-6,
     id_col: str = "doc_id",
@@ -147,7 +147,7 @@ def fit_toxicity(
     are read; Spark counts in how many documents of each label a string occurs. A string that
     toxic documents hold more often than chance is a positive instance, weighed by the root of
     that excess, and every string is a negative instance by the root of its clean count.
-    Landmarks are the strings of the largest excess and, after each of two rounds, clean strings
+    Landmarks are the strings of the largest excess and, after each of three rounds, clean strings
     that scored highest; those also join the training set. The landmark kernel's inverse root
     gives Nyström features for a linear machine, and a logistic curve fitted on the sample's
     documents turns decisions into probabilities.
@@ -183,7 +183,7 @@ def fit_toxicity(
     common = join(words.orderBy(F.desc("n"), "word").limit(6000), 1)
     join(words.orderBy(F.xxhash64("word")).limit(6000), 1)
     second = [w for w in common if w not in set(first)][: landmarks[1]]
-    for last in (False, False, True):
+    for last in (False, False, False, True):
         model = {"landmarks": first + second, "power": power}
         table = landmark_table(model["landmarks"])
         gram = kernel(model["landmarks"], table, power).astype(np.float64)
@@ -208,7 +208,7 @@ def fit_toxicity(
                         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, "value"])
 
             scored = words.filter("excess = 0").select("word", "excess", "n").mapInArrow(decide, "word string, excess double, n long, value double")
-            second = [w for w in join(scored.orderBy(F.desc("value"), "word").limit(3000), 3) if w not in set(first)][: landmarks[1]]
+            second = [w for w in join(scored.orderBy(F.desc("value"), "word").limit(5000), 10) if w not in set(first)][: landmarks[1]]
     words.unpersist()
     model |= {"slope": 1.0, "shift": 0.0}
     found = _scored(sample.select("label", "text"), model, "label int", raw=True).select("label", "score").collect()
