@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.common import is_held_out
 from kgspark.llm.exact_dedup import exact_dedup
+from kgspark.llm.lines import remove_shared_lines
 from kgspark.llm.minhash import near_duplicates
 from kgspark.llm.mixing import mix_sources
 from kgspark.llm.packing import pack_documents
 from kgspark.llm.quality import fit_quality, score_quality
+from kgspark.llm.spans import remove_repeated_spans
 from kgspark.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -52,6 +54,34 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more sources share."""
+    kept = remove_shared_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, source, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+  FROM (SELECT doc_id, coalesce(text, '') AS text, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+), shared AS (
+  SELECT bare FROM lines WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT l.*, s.bare IS NOT NULL AS gone FROM lines l LEFT JOIN shared s ON l.bare = s.bare
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id, text
+"""
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated runs of sentences."""
+    kept = remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes, sources weighing 5, 2, 1 in turn."""
     mixed = mix_sources(table(spark, sf_dir, "documents"))
@@ -110,9 +140,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
     "op9_quality": op9_quality,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
