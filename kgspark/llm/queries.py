@@ -15,6 +15,7 @@ from kgspark.llm.mixing import mix_sources
 from kgspark.llm.packing import pack_documents
 from kgspark.llm.quality import fit_quality, score_quality
 from kgspark.llm.spans import remove_repeated_spans
+from kgspark.llm.topk import top_k
 from kgspark.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -117,6 +118,24 @@ SELECT doc_id, size, source_size, target,
 FROM ranked
 """
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of each hundredth vector with all others."""
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -143,8 +162,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
+    "op7_top_k": op7_top_k,
     "op9_quality": op9_quality,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op7_top_k": OP7_SQL, "op6_mixing": OP6_SQL}
