@@ -15,6 +15,7 @@ from kgspark.llm.mixing import mix_sources
 from kgspark.llm.packing import pack_documents
 from kgspark.llm.quality import fit_quality, score_quality
 from kgspark.llm.spans import remove_repeated_spans
+from kgspark.llm.suffixes import remove_repeated_bytes
 from kgspark.llm.topk import top_k
 from kgspark.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -136,6 +137,12 @@ FROM scored QUALIFY rank <= 10
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents keep without 400-byte strings that start more than once."""
+    kept = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -163,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_top_k": op7_top_k,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
