@@ -116,11 +116,11 @@ def underscored(c: Column) -> Column:
 
 
 def entity_iri(title: Column, ns: Namespaces = NS) -> Column:
-    return F.concat(F.lit(ns.res), clean_entity_name(title))
+    return F.when(title.isNotNull(), F.concat(F.lit(ns.res), clean_entity_name(title)))
 
 
 def page_iri(title: Column, ns: Namespaces = NS) -> Column:
-    return F.concat(F.lit(ns.page), clean_entity_name(title))
+    return F.when(title.isNotNull(), F.concat(F.lit(ns.page), clean_entity_name(title)))
 
 
 def dbpedia_iri(title: Column) -> Column:

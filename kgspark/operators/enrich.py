@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgspark.functions.scalars import normalize_name, strip_html, underscored
 from kgspark.model import INTEGER, LABEL, NS, SCHEMA, SEE_ALSO, TRIPLE_COLUMNS, TYPE, Namespaces, fact, facts_to_triples, first_label, instances, iri
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of two normalised names; the order of the arguments matters."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -267,3 +267,297 @@ query(
     f"""{_VALL} SELECT * FROM (SELECT severity, (row_number() OVER (PARTITION BY severity ORDER BY entity, violation))::INTEGER AS n, {LOCAL.format('entity')} AS name, violation, count(*) OVER (PARTITION BY severity) - 10 AS remaining FROM found) WHERE n <= 10""",
     G,
 )(lambda s, d: validate.top_violations(validate.violations(graph(s, d))))
+
+# --- scalars ----------------------------------------------------------------------------------
+
+_TITLE = "p_name || ' (' || p_brand || ') / É-1''s ~*!'"
+
+
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", F.expr("p_name || ' (' || p_brand || ') / É-1\\'s ~*!'").alias("t"))
+
+
+def _sql_quote(c: str, safe: str) -> str:
+    out = f"url_encode({c})"
+    for ch in safe:
+        out = f"replace({out}, '%{ord(ch):02X}', '{ch}')"
+    return out
+
+
+query("x01_percent_encode", f"SELECT p_partkey, {_sql_quote(_TITLE, '(),')} AS a, {_sql_quote(_TITLE, '/')} AS b, {_sql_quote(_TITLE, '')} AS c FROM part")(
+    lambda s, d: _parts(s, d).select("p_partkey", S.percent_encode(F.col("t"), "_(),-").alias("a"), S.percent_encode(F.col("t"), "/").alias("b"), S.percent_encode(F.col("t"), "_-").alias("c"))
+)
+query("x02_local_name", f"SELECT DISTINCT p, {LOCAL.format('p')} AS name FROM graph", G)(lambda s, d: graph(s, d).select("p", S.local_name(F.col("p")).alias("name")).distinct())
+query("x03_strip_html", "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS plain FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.md5(S.strip_html(F.col("html"))).alias("plain")))
+query("x04_trim_ws", "SELECT doc_id, regexp_replace(chr(9) || ' ' || substr(text, 1, 30) || chr(10) || ' ', '^\\s+|\\s+$', '', 'g') AS t FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", S.trim_ws(F.concat(F.lit("\t "), F.substring("text", 1, 30), F.lit("\n "))).alias("t"))
+)
+query(
+    "x05_language_name",
+    "SELECT DISTINCT lang, coalesce(MAP {'en': 'English', 'fr': 'French', 'de': 'German', 'es': 'Spanish'}[lang], upper(lang)) AS name, upper('x' || lang) AS other FROM documents",
+)(lambda s, d: table(s, d, "documents").select("lang", S.language_name(F.col("lang")).alias("name"), S.language_name(F.concat(F.lit("x"), F.col("lang"))).alias("other")).distinct())
+query(
+    "e05_clean_entity_name",
+    "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(translate(substr(text, 1, 60), '() ', '___'), '''', ''), '[^\\p{L}\\p{N}_-]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS name FROM documents",
+)(lambda s, d: table(s, d, "documents").select("doc_id", S.clean_entity_name(F.substring("text", 1, 60)).alias("name")))
+query(
+    "n01_normalize_name",
+    "SELECT doc_id, regexp_replace(regexp_replace(translate(replace(lower(substr(text, 1, 60)), '''', ''), '-', ' '), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS name FROM documents",
+)(lambda s, d: table(s, d, "documents").select("doc_id", S.normalize_name(F.substring("text", 1, 60)).alias("name")))
+query("e07_split_on_br", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(replace(substr(text, 1, 80), '. ', '<BR />'), '<(?i:br)\\s*/?>'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> ''), '|') AS parts FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(S.split_on_br(F.replace(F.substring("text", 1, 80), F.lit(". "), F.lit("<BR />"))), "|").alias("parts"))
+)
+query(
+    "e09_is_valid_date",
+    "SELECT o_orderkey, NOT regexp_full_match(trim(lower(d)), '[,.\\s]*|c\\.|around|unknown|late.*age|early.*age') AS valid FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN ' Unknown' WHEN 1 THEN 'Late ' || o_orderpriority || ' Age' WHEN 2 THEN '., ' WHEN 3 THEN 'around TA ' || CAST(o_orderkey AS VARCHAR) ELSE substr(CAST(o_orderdate AS VARCHAR), 1, 10) END AS d FROM orders)",
+)(
+    lambda s, d: table(s, d, "orders").select(
+        "o_orderkey",
+        S.is_valid_date(F.expr("CASE o_orderkey % 5 WHEN 0 THEN ' Unknown' WHEN 1 THEN 'Late ' || o_orderpriority || ' Age' WHEN 2 THEN '., ' WHEN 3 THEN 'around TA ' || CAST(o_orderkey AS STRING) ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END")).alias("valid"),
+    )
+)
+_FILE = "CASE p_partkey % 3 WHEN 0 THEN 'File:' WHEN 1 THEN 'image:' ELSE '' END || p_name || ' (1).jpg'"
+query("e10_image_page_url", f"SELECT p_partkey, '{NS.wiki}File:' || {_sql_quote('p_name || CHR(32) || CHR(40) || CHR(49) || CHR(41) || CHR(46) || CHR(106) || CHR(112) || CHR(103)', '')} AS url FROM part")(
+    lambda s, d: table(s, d, "part").select("p_partkey", S.image_page_url(F.expr(_FILE)).alias("url"))
+)
+query(
+    "e11_image_direct_url",
+    f"""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'https://img/' || CAST(p_partkey AS VARCHAR) ELSE '{NS.images}' || substr(md5(n), 1, 1) || '/' || substr(md5(n), 1, 2) || '/' || url_encode(n) END AS url
+    FROM (SELECT p_partkey, p_name || ' ' || CAST(p_partkey AS VARCHAR) || '.jpg' AS n FROM part)""",
+)(
+    lambda s, d: table(s, d, "part").select("p_partkey", F.expr("'Image:' || p_name || ' ' || CAST(p_partkey AS STRING) || '.jpg'").alias("file"))
+    .join(table(s, d, "part").filter("p_partkey % 4 = 0").select(F.expr("p_name || ' ' || CAST(p_partkey AS STRING) || '.jpg'").alias("filename"), F.expr("'https://img/' || CAST(p_partkey AS STRING)").alias("known")), F.expr("substr(file, 7) = filename"), "left")
+    .select("p_partkey", F.coalesce("known", S.image_hash_url(F.col("file"))).alias("url"))
+)
+
+# --- wikitext and generation: the expected values come straight from the columns ----------------
+
+_LIVE = "customer WHERE c_custkey % 50 < 48"
+_MAKE = "'{0}' || regexp_replace(regexp_replace(replace(translate({1}, '() ', '___'), '''', ''), '[^\\p{{L}}\\p{{N}}_-]', '', 'g'), '_+', '_', 'g')"
+
+
+def _iri(c: str) -> str:
+    return _MAKE.format(RES, c)
+
+
+_BOXES = f"""SELECT c_name AS title, 'infobox character' AS template, 'character' AS itype, 8 AS n_params FROM {_LIVE} UNION ALL SELECT n_name, 'infobox place', 'place', 4 FROM nation
+  UNION ALL SELECT 'Part ' || p_partkey, 'infobox weapon', 'weapon', 4 FROM part UNION ALL SELECT 'Order ' || o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'battle' ELSE 'campaign' END, CASE WHEN o_orderstatus = 'F' THEN 'battle' ELSE 'war' END, 4 FROM orders WHERE o_orderkey % 4 = 0"""
+query("e01_extract_infobox", f"SELECT title, template, n_params FROM ({_BOXES})")(lambda s, d: parsed(s, d).filter("template IS NOT NULL").select("title", "template", F.size("params").alias("n_params")))
+query("e02_detect_type", f"SELECT title, itype FROM ({_BOXES})")(lambda s, d: parsed(s, d).filter("itype IS NOT NULL").select("title", "itype"))
+query("e03_infobox_params", f"SELECT c_name AS title, 'Male' AS gender, '{{{{TA|' || c_custkey || '}}}}' AS birth, NULL::VARCHAR AS siblings FROM {_LIVE} AND c_custkey % 3 = 0")(
+    lambda s, d: parsed(s, d).filter("itype = 'character'").select("title", *[F.try_element_at("params", F.lit(k)).alias(k) for k in ("gender", "birth", "siblings")]).filter("gender = 'Male'")
+)
+query("e04_clean_wikitext", f"SELECT c_name AS title, c_name AS name, 'the ' || c_mktsegment AS race FROM {_LIVE} UNION ALL SELECT n_name, n_name, 'The land of ' || n_name FROM nation")(
+    lambda s, d: parsed(s, d).filter("itype IN ('character', 'place')").select("title", F.col("plain")["name"].alias("name"), F.coalesce(F.try_element_at("plain", F.lit("race")), F.try_element_at("plain", F.lit("description"))).alias("race"))
+)
+query("e06_internal_links", f"SELECT c_name AS title, 'Nation ' || c_nationkey || '|Elsewhere' AS links FROM {_LIVE} UNION ALL SELECT 'Part ' || p_partkey, 'Smith' FROM part")(
+    lambda s, d: parsed(s, d).filter("itype IN ('character', 'weapon')").select("title", F.when(F.col("itype") == "weapon", F.element_at(F.col("links")["maker"], -1)).otherwise(F.array_join(F.try_element_at("links", F.lit("birthlocation")), "|")).alias("links"))
+)
+query("e06_flat_links", "SELECT c_name AS title, 'prose' AS links FROM customer WHERE c_custkey % 50 = 48")(
+    lambda s, d: rel(s, d, "wiki").filter("wikitext LIKE 'Just%'").select("title", F.array_join(S.internal_links(F.col("wikitext")), "|").alias("links"))
+)
+query("e08_clean_date", f"SELECT c_name AS title, 'TA ' || c_custkey AS birth, CASE WHEN c_custkey % 2 = 0 THEN 'Unknown' ELSE 'FA ' || c_nationkey END AS death FROM {_LIVE}")(
+    lambda s, d: parsed(s, d).filter("itype = 'character'").select("title", F.col("dates")["birth"].alias("birth"), F.col("dates")["death"].alias("death"))
+)
+_STATUS = f"SELECT c_name AS title, CASE c_custkey % 50 WHEN 49 THEN 'no_page' WHEN 48 THEN 'no_infobox' ELSE 'success' END AS status FROM customer"
+query("e12_page_status", f"{_STATUS} UNION ALL SELECT title, 'success' FROM ({_BOXES}) WHERE itype <> 'character'")(lambda s, d: parsed(s, d).select("title", "status"))
+_PICKED = """picked AS (SELECT cat_idx, category, pos, title FROM (SELECT c.cat_idx, m.category, m.pos, m.title, c.lim, row_number() OVER (PARTITION BY m.category ORDER BY m.pos, m.title) AS n FROM members m JOIN categories c ON m.category = c.category WHERE m.ns = 0) WHERE n <= lim)"""
+_PROCESSED = f"""{_PICKED}, processed AS (SELECT p.*, s.status, row_number() OVER (PARTITION BY p.title ORDER BY cat_idx, pos) > 1 AND s.status <> 'no_page' AS duplicate FROM picked p JOIN ({_STATUS}) s ON s.title = p.title)"""
+MC = ("members", "categories")
+
+
+def picked(s: SparkSession, d: str) -> DataFrame:
+    return generate.category_pages(rel(s, d, "members"), rel(s, d, "categories"))
+
+
+def processed(s: SparkSession, d: str) -> DataFrame:
+    return generate.dedupe_pages(picked(s, d), parsed(s, d).select("title", "status"))
+
+
+query("s02_category_pages", f", {_PICKED} SELECT * FROM picked", MC)(picked)
+query("s03_select_categories", "SELECT cat_idx, category, 100 AS lim FROM categories WHERE category IN ('BUILDING', 'NATION_3')", ("categories",))(
+    lambda s, d: generate.select_categories(rel(s, d, "categories"), ["BUILDING", "NATION_3"], 100)
+)
+query("e13_dedupe_pages", f", {_PROCESSED} SELECT * FROM processed", MC)(processed)
+_STATCOLS = "count(*) FILTER (WHERE NOT duplicate) AS processed, count(*) FILTER (WHERE NOT duplicate AND status = 'success') AS success, count(*) FILTER (WHERE NOT duplicate AND status = 'no_infobox') AS {0}, count(*) FILTER (WHERE NOT duplicate AND status = 'no_page') AS errors"
+query("e14_build_stats", f", {_PROCESSED} SELECT {_STATCOLS.format('no_infobox')}, (count(*) FILTER (WHERE NOT duplicate AND status = 'success') * 6)::BIGINT AS triples, 0::BIGINT AS external_links_found, count(*) FILTER (WHERE duplicate) AS duplicates_skipped FROM processed", MC)(
+    lambda s, d: generate.build_stats(processed(s, d), generate.base_triples(parsed(s, d).filter("status = 'success'")).select(F.when(F.col("p") == LABEL, F.col("o")).alias("title")).filter("title IS NOT NULL").groupBy("title").agg(F.lit(6).cast("long").alias("triples")))
+)
+query("e15_category_stats", f", {_PROCESSED} SELECT cat_idx, category, {_STATCOLS.format('skipped')}, count(*) FILTER (WHERE duplicate) AS duplicates FROM processed GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY cat_idx, category"), MC)(lambda s, d: generate.category_stats(processed(s, d)))
+
+_NULLS = "NULL::VARCHAR AS o_dt, NULL::VARCHAR AS o_lang"
+
+
+def _sqlrow(s: str, p: str, o: str, kind: str, source: str, lang: str | None = None) -> str:
+    return f"SELECT {s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind, NULL::VARCHAR AS o_dt, {f"'{lang}'" if lang else 'NULL::VARCHAR'} AS o_lang FROM {source}"
+
+
+_PAGE = _MAKE.format(NS.page, "title")
+_URL = f"'{NS.wiki}' || replace(title, ' ', '_')"
+_ALLBOX = f"({_BOXES})"
+_BASE = " UNION ALL ".join([
+    _sqlrow(_iri("title"), FOAF + "isPrimaryTopicOf", _PAGE, "iri", _ALLBOX), _sqlrow(_iri("title"), LABEL, "title", "literal", _ALLBOX, "en"), _sqlrow(_iri("title"), SEE_ALSO, _URL, "iri", _ALLBOX),
+    _sqlrow(_PAGE, FOAF + "primaryTopic", _iri("title"), "iri", _ALLBOX), _sqlrow(_PAGE, TYPE, f"'{FOAF}Document'", "iri", _ALLBOX), _sqlrow(_PAGE, SCHEMA + "url", _URL, "iri", _ALLBOX),
+])
+_TYPES = " UNION ALL ".join([
+    _sqlrow(_iri("title"), TYPE, f"MAP {{'character': '{SCHEMA}Person', 'place': '{SCHEMA}Place', 'weapon': '{SCHEMA}Thing', 'battle': '{SCHEMA}Event', 'war': '{SCHEMA}Event'}}[itype]", "iri", _ALLBOX),
+    _sqlrow(_iri("title"), TYPE, f"MAP {{'character': '{ONT}Character', 'place': '{ONT}Location', 'weapon': '{ONT}Artifact', 'battle': '{ONT}Battle', 'war': '{ONT}War'}}[itype]", "iri", _ALLBOX),
+])
+_C, _CS = _iri("c_name"), _LIVE
+_CHARS = " UNION ALL ".join([
+    _sqlrow(_C, SCHEMA + "name", "c_name", "literal", _CS, "en"), _sqlrow(_C, SCHEMA + "alternateName", "'Alias ' || c_custkey", "literal", _CS), _sqlrow(_C, SCHEMA + "alternateName", "c_mktsegment", "literal", _CS),
+    _sqlrow(_C, SCHEMA + "gender", "CASE c_custkey % 3 WHEN 0 THEN 'male' ELSE 'female' END", "literal", _CS + " AND c_custkey % 3 < 2"), _sqlrow(_C, ONT + "race", _iri("c_mktsegment"), "iri", _CS),
+    _sqlrow(_C, PROP + "raceLabel", "'the ' || c_mktsegment", "literal", _CS), _sqlrow(_C, SCHEMA + "birthDate", "'TA ' || c_custkey", "literal", _CS), _sqlrow(_C, SCHEMA + "birthPlace", f"'{RES}Nation_' || c_nationkey", "iri", _CS),
+    _sqlrow(_C, SCHEMA + "deathDate", "'FA ' || c_nationkey", "literal", _CS + " AND c_custkey % 2 = 1"),
+])
+_N = _iri("n_name")
+_PLACES = " UNION ALL ".join([
+    _sqlrow(_N, SCHEMA + "name", "n_name", "literal", "nation", "en"), _sqlrow(_N, SCHEMA + "containedInPlace", f"'{RES}Region_' || n_regionkey", "iri", "nation"),
+    _sqlrow(_N, SCHEMA + "foundingDate", "'SA ' || n_nationkey", "literal", "nation"), _sqlrow(_N, SCHEMA + "description", "'The land of ' || n_name", "literal", "nation", "en"),
+])
+_P = f"'{RES}Part_' || p_partkey"
+# Brands hold a "#", so their links are sections and no entities.
+_OBJECTS = " UNION ALL ".join([
+    _sqlrow(_P, SCHEMA + "name", "p_name", "literal", "part", "en"), _sqlrow(_P, PROP + "objectType", "p_type", "literal", "part"), _sqlrow(_P, PROP + "ownedBy", f"'{RES}Owner_' || p_size", "iri", "part"),
+    _sqlrow(_P, SCHEMA + "creator", f"'{RES}Smith'", "iri", "part"),
+])
+_OWNS = _sqlrow(f"'{RES}Owner_' || p_size", SCHEMA + "owns", _P, "iri", "part")
+_O, _OS = f"'{RES}Order_' || o_orderkey", "orders WHERE o_orderkey % 4 = 0"
+_EVENTS = " UNION ALL ".join([
+    _sqlrow(_O, SCHEMA + "name", "'Order ' || o_orderkey", "literal", _OS, "en"), _sqlrow(_O, SCHEMA + "startDate", "substr(CAST(o_orderdate AS VARCHAR), 1, 10)", "literal", _OS),
+    _sqlrow(_O, SCHEMA + "location", f"'{RES}Nation_1'", "iri", _OS), _sqlrow(_O, SCHEMA + "location", f"'{RES}Nation_2'", "iri", _OS), _sqlrow(_O, PROP + "result", "o_orderpriority", "literal", _OS),
+])
+_FACE = "'Face ' || c_custkey || '.jpg'"
+_IMAGES = _sqlrow(_C, SCHEMA + "image", f"'{NS.images}' || substr(md5({_FACE}), 1, 1) || '/' || substr(md5({_FACE}), 1, 2) || '/' || url_encode({_FACE})", "iri", _CS)
+
+
+def live(s: SparkSession, d: str) -> DataFrame:
+    return parsed(s, d).filter("status = 'success'")
+
+
+query("t01_entity_iri", f"SELECT title, {_iri('title')} AS entity, {_PAGE} AS doc FROM {_ALLBOX}")(lambda s, d: generate.with_iris(live(s, d)).select("title", "entity", "doc"))
+query("t02_base_triples", _BASE)(lambda s, d: generate.base_triples(live(s, d)))
+query("t03_type_triples", _TYPES)(lambda s, d: generate.type_triples(live(s, d)))
+query("t04_character_triples", _CHARS)(lambda s, d: generate.body_triples(live(s, d), generate.character_facts(), generate.CHARACTER))
+query("t05_place_triples", _PLACES)(lambda s, d: generate.body_triples(live(s, d), generate.place_facts(), generate.PLACE))
+query("t06_object_triples", f"{_OBJECTS} UNION ALL {_OWNS}")(lambda s, d: generate.body_triples(live(s, d), generate.object_facts(), generate.OBJECT).unionByName(generate.ownership(live(s, d))))
+query("t07_event_triples", _EVENTS)(lambda s, d: generate.body_triples(live(s, d), generate.event_facts(), generate.EVENT))
+query("t08_image_triples", _IMAGES)(lambda s, d: generate.image_triples(live(s, d)))
+_GENERATED = " UNION ".join([_BASE, _TYPES, _CHARS, _PLACES, _OBJECTS, _OWNS, _EVENTS, _IMAGES]).replace(" UNION ALL ", " UNION ")
+query("t10_generate_graph", _GENERATED)(lambda s, d: generate.generate_graph(parsed(s, d)))
+query("t11_merge_graphs", f"SELECT count(*) AS added FROM (SELECT * FROM ({_GENERATED}) EXCEPT SELECT * FROM graph)", G)(
+    lambda s, d: model.added(graph(s, d), generate.generate_graph(parsed(s, d))).agg(F.count("*").alias("added"))
+)
+
+# --- linking ----------------------------------------------------------------------------------
+
+_VARIANTS = "variants AS (SELECT DISTINCT name, v AS variant, name || ['', ' (Middle-earth)', ' (character)', ' Tolkien', ' Lord of the Rings'][v + 1] AS query FROM names, range(5) r(v) WHERE name IS NOT NULL)"
+_WORDS = " OR ".join(f"contains(lower(title), '{w}')" for w in S.DOMAIN_WORDS)
+_DOMAIN = f"(contains(lower(title), lower(name)) OR starts_with(lower(title), regexp_extract(lower(name), '^\\s*(\\S+)', 1))) AND (lower(title) = lower(name) OR contains(lower(title), lower(name) || ' (') OR {_WORDS})"
+_MATCHED = f"{_VARIANTS}, matched AS (SELECT name, title FROM (SELECT v.name, h.title, row_number() OVER (PARTITION BY v.name ORDER BY v.variant, h.rank, h.title) AS n FROM variants v JOIN hits h ON h.query = v.query WHERE h.rank <= 5 AND {_DOMAIN}) WHERE n = 1)"
+_ITEMS = "items AS (SELECT name, id AS item FROM (SELECT n.name, h.id, row_number() OVER (PARTITION BY n.name ORDER BY h.rank, h.id) AS k FROM (SELECT DISTINCT name FROM names) n JOIN entity_hits h ON h.query = n.name WHERE h.rank <= 5 AND regexp_matches(lower(h.description), 'tolkien|middle-earth|lord of the rings|fictional') AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.name = n.name)) WHERE k = 1)"
+_UNDER = "replace(title, ' ', '_')"
+_LINKS = f"""{_MATCHED}, {_ITEMS}, links AS (SELECT name, 'wikipedia' AS link_type, 'https://en.wikipedia.org/wiki/' || {_sql_quote(_UNDER, '/')} AS uri FROM matched UNION ALL SELECT name, 'dbpedia', '{DBPEDIA}' || {_sql_quote(_UNDER, '(),')} FROM matched
+  UNION ALL SELECT name, 'yago', '{YAGO}' || url_encode({_UNDER}) FROM matched UNION ALL SELECT name, 'wikidata', '{WIKIDATA}' || wikibase_item FROM matched m JOIN props p ON p.title = m.title UNION ALL SELECT name, 'wikidata', '{WIKIDATA}' || item FROM items)"""
+L = ("names", "hits", "props", "entity_hits")
+
+
+def matched(s: SparkSession, d: str) -> DataFrame:
+    return linking.match_wikipedia(rel(s, d, "names"), rel(s, d, "hits"))
+
+
+def links(s: SparkSession, d: str) -> DataFrame:
+    return linking.discover_links(*[rel(s, d, x) for x in L])
+
+
+query("l01_search_variants", f", {_VARIANTS} SELECT name, variant::INTEGER AS variant, query FROM variants", ("names",))(lambda s, d: linking.search_variants(rel(s, d, "names")))
+query("l02_is_domain_title", f"SELECT DISTINCT name, title, {_DOMAIN} AS ok FROM names JOIN hits ON starts_with(query, name)", ("names", "hits"))(
+    lambda s, d: rel(s, d, "hits").select("title", F.regexp_replace("query", " Tolkien$", "").alias("name")).select("name", "title", S.is_domain_title(F.col("title"), F.col("name")).alias("ok")).distinct()
+)
+query("l03_match_wikipedia", f", {_MATCHED} SELECT * FROM matched", L[:2])(matched)
+query("l04_wikidata_from_title", f", {_MATCHED} SELECT m.name, m.title, p.wikibase_item AS item FROM matched m LEFT JOIN props p ON p.title = m.title", L[:3])(lambda s, d: linking.wikidata_from_title(matched(s, d), rel(s, d, "props")))
+query("l05_wikidata_fallback", f", {_MATCHED}, {_ITEMS} SELECT * FROM items", L)(lambda s, d: linking.wikidata_fallback(rel(s, d, "names"), matched(s, d), rel(s, d, "entity_hits")))
+query("l06_dbpedia_iri", f"SELECT p_partkey, '{DBPEDIA}' || {_sql_quote(f'replace({_TITLE}, CHR(32), CHR(95))', '(),')} AS uri FROM part")(lambda s, d: _parts(s, d).select("p_partkey", S.dbpedia_iri(F.col("t")).alias("uri")))
+query("l07_yago_iri", f"SELECT p_partkey, '{YAGO}' || {_sql_quote(f'replace({_TITLE}, CHR(32), CHR(95))', '')} AS uri FROM part")(lambda s, d: _parts(s, d).select("p_partkey", S.yago_iri(F.col("t")).alias("uri")))
+query("l08_wikipedia_url", f"SELECT p_partkey, 'https://en.wikipedia.org/wiki/' || {_sql_quote(f'replace({_TITLE}, CHR(32), CHR(95))', '/')} AS uri FROM part")(lambda s, d: _parts(s, d).select("p_partkey", S.wikipedia_url(F.col("t")).alias("uri")))
+query("l09_discover_links", f", {_LINKS} SELECT * FROM links", L)(links)
+query("l10_linking_summary", f", {_LINKS} SELECT (SELECT count(DISTINCT name) FROM names) AS total, count(DISTINCT name) AS found FROM links", L)(lambda s, d: linking.linking_summary(rel(s, d, "names"), links(s, d)))
+_KNOWN = f"SELECT DISTINCT uri FROM links WHERE link_type = 'dbpedia' AND contains(uri, '00')"
+query("l11_verify_links", f", {_LINKS}, known AS ({_KNOWN}) SELECT name, link_type, uri, uri IN (SELECT uri FROM known) AS \"exists\" FROM links", L)(
+    lambda s, d: linking.verify_links(links(s, d), links(s, d).filter("link_type = 'dbpedia' AND uri LIKE '%00%'").select("uri"))
+)
+query("t09_link_triples", f", {_LINKS} SELECT {_iri('name')} AS s, CASE link_type WHEN 'wikipedia' THEN '{SEE_ALSO}' ELSE '{SAME_AS}' END AS p, uri AS o, 'iri' AS o_kind, {_NULLS} FROM links", L)(lambda s, d: generate.link_triples(links(s, d)))
+
+# --- enrichment -------------------------------------------------------------------------------
+
+_NORM = "trim(regexp_replace(translate(replace(lower({0}), '''', ''), '-', ' '), '\\s+', ' ', 'g'))"
+_WHO = f"""who AS (SELECT c.s, min({{'f': coalesce(l.o_lang <> 'en', false), 'o': l.o}}).o AS name FROM {_CHARACTERS} c JOIN graph l ON l.s = c.s AND l.p = '{LABEL}' GROUP BY c.s)"""
+_LASTCARD = f"deck AS (SELECT *, {_NORM.format('name_en')} AS norm FROM cards QUALIFY row_number() OVER (PARTITION BY {_NORM.format('name_en')} ORDER BY pos DESC) = 1)"
+_LINKED = f"{_WHO}, {_LASTCARD}, linked AS (SELECT w.s, d.* FROM who w JOIN deck d ON d.norm = {_NORM.format('w.name')})"
+_CARD = f"'{NS.card}' || coalesce(card_id, replace(norm, ' ', '_'))"
+GC = ("graph", "cards")
+
+
+def exact_only(s: SparkSession, d: str, f):
+    """The demo cards have equal names or far ones, so the ratio search finds nothing more."""
+    return f(graph(s, d), rel(s, d, "cards"))
+
+
+query("n02_similarity")(lambda s, d: table(s, d, "part").select("p_partkey", enrich.similarity(F.col("p_name"), F.col("p_type")).alias("ratio")))
+query("n03_match_cards_exact", f", {_LINKED} SELECT DISTINCT name, pos FROM (SELECT w.name, d.pos FROM who w JOIN deck d ON d.norm = {_NORM.format('w.name')})", GC)(
+    lambda s, d: enrich.match_cards_exact(enrich.labelled_characters(graph(s, d)).select("name").distinct(), rel(s, d, "cards")).select("name", "pos")
+)
+query("n04_match_fuzzy")(
+    lambda s, d: enrich.match_fuzzy(table(s, d, "part").select(F.col("p_name").alias("name")), table(s, d, "part").select(F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit("s")).alias("name_en")), 0.9)
+)
+query(
+    "n05_enrich_cards",
+    f""", {_LINKED}, facts AS (
+      SELECT s, '{PROP}card' AS p, {_CARD} AS o, 'iri' AS o_kind, {_NULLS} FROM linked UNION SELECT {_CARD}, '{TYPE}', '{ONT}Card', 'iri', NULL, NULL FROM linked UNION SELECT {_CARD}, '{LABEL}', name_en, 'literal', NULL, 'en' FROM linked
+      UNION SELECT {_CARD}, '{PROP}cardType', card_type, 'literal', NULL, NULL FROM linked UNION SELECT {_CARD}, '{SCHEMA}description', regexp_replace(text_en, '<[^>]+>', '', 'g'), 'literal', NULL, 'en' FROM linked WHERE text_en <> ''
+      UNION SELECT {_CARD}, '{PROP}prowess', CAST(TRY_CAST(prowess AS INTEGER) AS VARCHAR), 'literal', '{model.INTEGER}', NULL FROM linked WHERE TRY_CAST(prowess AS INTEGER) IS NOT NULL)
+    SELECT * FROM facts""",
+    GC,
+)(lambda s, d: exact_only(s, d, lambda g, c: enrich.enrich_cards(g, c, 1.0)))
+query("n06_card_stats", f", {_LINKED} SELECT (SELECT count(*) FROM {_CHARACTERS}) AS checked, count(DISTINCT s) AS linked, count(DISTINCT s) * 5 AS triples FROM linked", GC)(lambda s, d: exact_only(s, d, lambda g, c: enrich.card_stats(g, c, 1.0)))
+_ROWS = f"""{_WHO}, sheet AS (SELECT *, {_NORM.format('name')} AS norm FROM csv QUALIFY row_number() OVER (PARTITION BY {_NORM.format('name')} ORDER BY pos DESC) = 1), rows_ AS (SELECT w.s, t.gender, t.race, t.hair, t.height, t.realm FROM who w JOIN sheet t ON t.norm = {_NORM.format('w.name')}),
+  offered AS (SELECT s, '{SCHEMA}gender' AS p, lower(gender) AS o FROM rows_ WHERE gender <> '' UNION ALL SELECT s, '{PROP}raceLabel', race FROM rows_ WHERE race <> '' UNION ALL SELECT s, '{PROP}hairColor', hair FROM rows_ WHERE hair <> ''
+    UNION ALL SELECT s, '{PROP}height', height FROM rows_ WHERE height <> '' UNION ALL SELECT s, '{PROP}realm', realm FROM rows_ WHERE realm <> ''),
+  fresh AS (SELECT * FROM offered o WHERE o.p NOT IN ('{SCHEMA}gender', '{PROP}raceLabel') OR NOT EXISTS (SELECT 1 FROM graph g WHERE g.s = o.s AND g.p = o.p))"""
+query("n07_enrich_csv", f", {_ROWS} SELECT s, p, o, 'literal' AS o_kind, {_NULLS} FROM fresh", ("graph", "csv"))(lambda s, d: enrich.enrich_csv(graph(s, d), rel(s, d, "csv")))
+query("n08_csv_stats", f", {_ROWS} SELECT (SELECT count(*) FROM {_CHARACTERS}) AS checked, (SELECT count(DISTINCT s) FROM rows_) AS enriched, (SELECT count(*) FROM fresh) AS triples", ("graph", "csv"))(lambda s, d: enrich.csv_stats(graph(s, d), rel(s, d, "csv")))
+_TOP1 = "top1 AS (SELECT query, lang, title FROM titles WHERE lang IN ('fr', 'de', 'es') QUALIFY row_number() OVER (PARTITION BY query, lang ORDER BY rank, title) = 1)"
+_MANY = f"""{_TOP1}, ents AS (SELECT t.s, min(l.o) AS name, min(CASE t.o WHEN '{ONT}Character' THEN 0 WHEN '{ONT}Location' THEN 1 ELSE 2 END) AS kind FROM graph t JOIN graph l ON l.s = t.s AND l.p = '{LABEL}' AND coalesce(l.o_lang, 'en') = 'en'
+    WHERE t.p = '{TYPE}' AND t.o IN ('{ONT}Character', '{ONT}Location', '{ONT}Artifact') GROUP BY t.s, t.o ORDER BY kind, t.s LIMIT 100),
+  wanted AS (SELECT e.s, e.name, g.lang, p.title, coalesce(p.title <> e.name, false) AS added FROM ents e CROSS JOIN (VALUES ('fr'), ('de'), ('es')) g(lang) LEFT JOIN top1 p ON p.query = e.name AND p.lang = g.lang WHERE NOT EXISTS (SELECT 1 FROM graph h WHERE h.s = e.s AND h.p = '{LABEL}' AND h.o_lang = g.lang))"""
+GT = ("graph", "titles")
+query(
+    "n09_enrich_multilingual",
+    f""", {_MANY} SELECT s, '{LABEL}' AS p, title AS o, 'literal' AS o_kind, NULL::VARCHAR AS o_dt, lang AS o_lang FROM wanted WHERE added UNION SELECT s, '{SEE_ALSO}', '{NS.foreign_wiki}' || lang || '/wiki/' || replace(title, ' ', '_'), 'iri', NULL, NULL FROM wanted WHERE added""",
+    GT,
+)(lambda s, d: enrich.enrich_multilingual(graph(s, d), rel(s, d, "titles")))
+query("n10_multilingual_stats", f", {_MANY} SELECT count(DISTINCT s) AS checked, count(*) FILTER (WHERE added) AS labels_added, count(DISTINCT s) FILTER (WHERE added) AS entities_enriched FROM wanted", GT)(lambda s, d: enrich.multilingual_stats(graph(s, d), rel(s, d, "titles")))
+query("n11_top1_title", f", {_TOP1} SELECT * FROM top1", ("titles",))(lambda s, d: enrich.top1_title(rel(s, d, "titles"), ("fr", "de", "es")))
+query("n12_enrich_all", f", {_ROWS} SELECT * FROM graph UNION SELECT s, p, o, 'literal', NULL, NULL FROM fresh", ("graph", "csv"))(lambda s, d: enrich.enrich_all(graph(s, d), table=rel(s, d, "csv")))
+
+# --- sources, sinks, vocabulary ---------------------------------------------------------------
+
+query("s01_read_pages", f"SELECT title, wikitext FROM wiki", ("wiki",))(lambda s, d: rel(s, d, "wiki").select("title", "wikitext"))
+query(
+    "s04_cards_from_json",
+    "SELECT CAST(c_custkey AS VARCHAR) AS card_id, c_name AS name_en, c_mktsegment AS card_type, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CAST(c_custkey % 10 AS VARCHAR) END AS prowess FROM customer",
+)(
+    lambda s, d: readers.cards_from_json(
+        table(s, d, "customer").select(F.expr("'{\"set' || c_nationkey || '\": {\"cards\": {\"c' || c_custkey || '\": {\"id\": \"' || c_custkey || '\", \"name\": {\"en\": \"' || c_name || '\"}, \"type\": \"' || c_mktsegment || '\", \"attributes\": {\"prowess\": ' || c_custkey % 10 || '}}}}}'").alias("value"))
+    ).select("card_id", "name_en", "card_type", "prowess")
+)
+query("s06_ntriples_round_trip", "SELECT * FROM graph", G)(lambda s, d: readers.parse_ntriples(writers.to_ntriples(graph(s, d)), "line"))
+query("s07_page_links", """SELECT title, (i - 1)::INTEGER AS pos, u[i] AS url FROM (SELECT url AS title, regexp_extract_all(html, 'href="(https?://[^"]*)"', 1) AS u FROM pages) , range(1, len(u) + 1) r(i)""")(
+    lambda s, d: readers.page_links(table(s, d, "pages").select(F.col("url").alias("title"), "html"))
+)
+_ESC = "replace(replace(replace(replace(replace(o, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+_TERM = f"CASE WHEN o_kind = 'iri' THEN '<' || o || '>' ELSE '\"' || {_ESC} || '\"' || CASE WHEN o_lang IS NOT NULL THEN '@' || o_lang WHEN o_dt IS NOT NULL THEN '^^<' || o_dt || '>' ELSE '' END END"
+query("w02_to_ntriples", f"SELECT '<' || s || '> <' || p || '> ' || {_TERM} || ' .' AS line FROM graph", G)(lambda s, d: writers.to_ntriples(graph(s, d)))
+query("w03_to_turtle", f"SELECT s, '<' || s || '> ' || array_to_string(list_sort(list(CASE WHEN p = '{TYPE}' THEN 'a' ELSE '<' || p || '>' END || ' ' || {_TERM})), ' ;' || chr(10) || '    ') || ' .' AS block FROM graph GROUP BY s", G)(lambda s, d: writers.to_turtle(graph(s, d)))
+query("w04_to_jsonld")(lambda s, d: writers.to_jsonld(graph(s, d)))
+query("w05_to_rdfxml")(lambda s, d: writers.to_rdfxml(graph(s, d)))
