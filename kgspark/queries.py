@@ -89,7 +89,7 @@ query(
     f"""SELECT * FROM (SELECT l.s, min(l.o) AS label, ['character', 'location', 'artifact', 'event', 'other'][min(CASE
       WHEN t.o IN ('{ONT}Character', '{SCHEMA}Person') THEN 1 WHEN t.o IN ('{ONT}Location', '{SCHEMA}Place') THEN 2 WHEN t.o = '{ONT}Artifact' THEN 3
       WHEN t.o IN ('{SCHEMA}Event', '{ONT}Battle', '{ONT}War') THEN 4 WHEN t.o IN ('{SCHEMA}Thing', '{SCHEMA}Book') THEN 5 END)] AS bucket
-    FROM graph l JOIN graph t ON l.s = t.s AND t.p = '{TYPE}' WHERE l.p = '{LABEL}' AND contains(lower(l.o), '1') GROUP BY l.s ORDER BY l.s LIMIT 100)
+    FROM graph l JOIN graph t ON l.s = t.s AND t.p = '{TYPE}' WHERE l.p = '{LABEL}' AND contains(lower(l.o), '1') AND t.o <> '{ONT}Card' GROUP BY l.s ORDER BY l.s LIMIT 100)
     WHERE bucket = 'character' ORDER BY s LIMIT 50""",
     G,
 )(lambda s, d: explore.search_entities(graph(s, d), "1", "character"))
