@@ -35,7 +35,11 @@ class Prefixes:
     def __init__(self, data: np.ndarray, base: int = BASES[0]):
         up, self.down = powers(base, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+        own = self.sums[1:]  # one array in all: contexts of a common gram take megabytes
+        own[:] = data
+        own += np.uint64(1)
+        own *= up[: len(data)]
+        np.cumsum(own, out=own)
 
     def of(self, first: np.ndarray, past: np.ndarray) -> np.ndarray:
         return (self.sums[past] - self.sums[first]) * self.down[first]
@@ -93,6 +97,7 @@ class Suffixes:
         self.common = np.concatenate([[0], self.extension(self.order[:-1], self.order[1:])]) if len(first) else np.zeros(0, np.int64)
         if not self._verified():
             self._plainly()
+        del self.prefixes
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of suffixes i and j."""
@@ -200,7 +205,7 @@ def repeated_reach(contexts: list[bytes], before: list[int], length: int, gram:
     return most, least
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 160, most_members: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 160, most_members: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts without the bytes that strings of ``length`` bytes which start more than once cover.
 
     1. A scan samples anchors (see ``anchors``): about one in 120 bytes at the defaults. A gram
@@ -286,7 +291,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 160, m
     strings = strings.select("p1", "p2", "open", (F.col("at") - F.col("ahead") + F.col("skip")).alias("first"), F.md5(F.concat(F.expr("cast(concat(g, ':', ahead - skip, ':') AS binary)"), F.expr(f"substring(context, skip + 1, {length})"))).alias("h"))
     counted = strings.join(strings.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi").filter("open").select("p1", "p2", "first", (F.col("first") + length).alias("past"))
 
-    spans = stored(settled.unionByName(compared).unionByName(counted).distinct().groupBy("p1", "p2").agg(F.collect_list(F.struct("first", "past")).alias("spans")))
+    spans = stored(settled.unionByName(compared).unionByName(counted).groupBy("p1", "p2").agg(F.collect_set(F.struct("first", "past")).alias("spans")))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
