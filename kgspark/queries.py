@@ -552,8 +552,8 @@ query(
     ).select("card_id", "name_en", "card_type", "prowess")
 )
 query("s06_ntriples_round_trip", "SELECT * FROM graph", G)(lambda s, d: readers.parse_ntriples(writers.to_ntriples(graph(s, d)), "line"))
-query("s07_page_links", """SELECT title, (i - 1)::INTEGER AS pos, u[i] AS url FROM (SELECT url AS title, regexp_extract_all(html, 'href="(https?://[^"]*)"', 1) AS u FROM pages) , range(1, len(u) + 1) r(i)""")(
-    lambda s, d: readers.page_links(table(s, d, "pages").select(F.col("url").alias("title"), "html"))
+query("s07_page_links", """SELECT title, (i - 1)::INTEGER AS pos, u[i] AS url FROM (SELECT url AS title, regexp_extract_all(html || '<a href="' || url || '">', 'href="(https?://[^"]*)"', 1) AS u FROM pages) , range(1, len(u) + 1) r(i)""")(
+    lambda s, d: readers.page_links(table(s, d, "pages").select(F.col("url").alias("title"), F.concat("html", F.lit('<a href="'), "url", F.lit('">')).alias("html")))
 )
 _ESC = "replace(replace(replace(replace(replace(o, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
 _TERM = f"CASE WHEN o_kind = 'iri' THEN '<' || o || '>' ELSE '\"' || {_ESC} || '\"' || CASE WHEN o_lang IS NOT NULL THEN '@' || o_lang WHEN o_dt IS NOT NULL THEN '^^<' || o_dt || '>' ELSE '' END END"
