@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import checkpointed, text_or_empty
+from kgspark.llm.common import checkpointed, stored, text_or_empty
 
 _BREAK = re.compile(r"[.!?]+[\x20\x09-\x0D]+|[\n\r]+|[\x20\x09-\x0D](?=[A-ZÀ-ÖØ-Þ])")
 
@@ -83,7 +83,7 @@ def remove_repeated_spans(docs: DataFrame, several: int = 2, words: int = 12, al
             )
 
     spans = docs.select(order, print_, text_or_empty(text_col)).mapInArrow(hashed, "doc long, print long, first int, past int, again boolean, h1 long, h2 long")
-    spans = checkpointed(spans)
+    spans = stored(spans)
     repeated = spans.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min("doc").alias("home")).filter("places > 1").drop("places")
     elsewhere = spans.join(checkpointed(repeated), ["h1", "h2"]).filter("doc > home OR again")
     gone = checkpointed(elsewhere.groupBy("doc", "print").agg(F.collect_set(F.struct("first", "past")).alias("gone")))
