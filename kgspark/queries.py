@@ -54,8 +54,8 @@ def hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full(spark: SparkSession, d: str) -> DataFrame:
-    """The graph with the external one, for inference."""
-    return graph(spark, d).unionByName(rel(spark, d, "external"))
+    """The graph with the external one, for inference; read many times, so it is materialised once."""
+    return model.checkpointed(graph(spark, d).unionByName(rel(spark, d, "external")))
 
 
 LOCAL = "regexp_extract(regexp_extract({0}, '([^/]*)$', 1), '([^#]*)$', 1)"
@@ -221,13 +221,20 @@ query(
     f""", {_FULL}, {_SAME} SELECT s AS entity, p AS predicate, o AS object FROM whole WHERE {_SEEDED.format('s')} UNION ALL SELECT entity, p, o FROM outs JOIN whole ON s = same""",
     ALL[:3],
 )(lambda s, d: infer.relations_out_sameas(full(s, d), rel(s, d, "seeds")))
+
+
+def reasoning_page(s: SparkSession, d: str) -> DataFrame:
+    g, seeds = full(s, d), rel(s, d, "seeds")
+    return infer.reasoning_page(infer.all_classes(g, seeds, closure(s, d)), infer.relations_with_sameas(g, seeds), infer.related_via_sameas(g, seeds))
+
+
 query(
     "r10_reasoning_page",
     f""", {_CLOSURE}, {_FULL}, {_SAME}, {_CLASSES}, {_RELATIONS}, {_RELATED} SELECT entity, 'class' AS part, class AS value, CASE WHEN contains(class, 'schema.org') OR contains(class, 'Thing') THEN 'inferred' ELSE 'direct' END AS note FROM classes
     UNION SELECT entity, 'relation', subject || ' ' || predicate || ' ' || object, CASE WHEN contains(source, 'sameAs') THEN 'inferred' ELSE 'direct' END FROM rels
     UNION SELECT entity, 'equivalent', related, CASE WHEN contains(related, 'dbpedia') THEN 'dbpedia' WHEN contains(related, 'wikidata') THEN 'wikidata' WHEN contains(related, 'yago') THEN 'yago' WHEN contains(related, 'wikipedia') THEN 'wikipedia' ELSE 'unknown' END FROM rel WHERE direction = 'equivalent'""",
     ALL,
-)(lambda s, d: infer.reasoning_page(infer.all_classes(full(s, d), rel(s, d, "seeds"), closure(s, d)), infer.relations_with_sameas(full(s, d), rel(s, d, "seeds")), infer.related_via_sameas(full(s, d), rel(s, d, "seeds"))))
+)(reasoning_page)
 
 # --- validation -------------------------------------------------------------------------------
 
