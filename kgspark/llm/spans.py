@@ -27,29 +27,34 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(parts: list[str], several: int, words: int, alone: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first, past, 128-bit hash) of the run that begins at each sentence.
+    """(first, past, 128-bit hash) of the shortest runs that begin and that end at each sentence.
 
-    A run goes on until it has ``several`` sentences and ``words`` words; a sentence of ``alone``
-    words is a run by itself. White space within and between sentences doesn't count.
+    A run has ``several`` sentences and ``words`` words, or ``alone`` words, at least. What is added
+    to a run leaves it one, so every sentence of a repeated passage that is long enough lies in the
+    shortest run from its own place or, near the end, in the shortest run that ends the passage.
+    White space within and between sentences doesn't count.
     """
-    split = [p.split() for p in parts]
-    for i, own in enumerate(split):
-        if not own:
-            continue
-        j, n, taken = i + 1, len(own), [own]
-        while n < alone and (len(taken) < several or n < words) and j < len(split):
-            if split[j]:
-                taken.append(split[j])
-                n += len(split[j])
-            j += 1
-        if n >= alone or len(taken) >= several and n >= words:
-            yield i, j, xxhash.xxh3_128_digest("\n".join(" ".join(s) for s in taken))
+    own = [(i, len(split), " ".join(split)) for i, split in enumerate(p.split() for p in parts) if split]
+    first, n = 0, 0
+
+    def run(a: int, b: int) -> tuple[int, int, bytes]:
+        return own[a][0], own[b][0] + 1, xxhash.xxh3_128_digest("\n".join([s for _, _, s in own[a : b + 1]]))
+
+    for last, (_, count, _) in enumerate(own):
+        n += count
+        begun = first
+        while first <= last and (n >= alone or last - first + 1 >= several and n >= words):
+            yield run(first, last)
+            n -= own[first][1]
+            first += 1
+        if first == begun and first:  # no run that begins at a sentence ends here
+            yield run(first - 1, last)
 
 
 def remove_repeated_spans(docs: DataFrame, several: int = 2, words: int = 12, alone: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All input columns, the text without repeated spans, plus n_sentences and n_removed.
 
-    The run of sentences that begins at each sentence of each document is hashed, and equal
+    The shortest runs that begin and that end at each sentence of each document are hashed, and equal
     hashes meet in one aggregation over the corpus. The first place of a run, by id and then by
     place in the document, stays; every sentence that any other place of it covers goes. Runs
     repeated within a document are settled in its own task, so each document sends a hash once.

@@ -17,7 +17,7 @@ from kgspark.llm.mixing import mix_sources
 from kgspark.llm.packing import ByteLevelEncoder, pack_documents
 from kgspark.llm.quality import fit_quality, score_quality
 from kgspark.llm.queries import tokenizer_path
-from kgspark.llm.spans import remove_repeated_spans, sentences
+from kgspark.llm.spans import remove_repeated_spans, runs, sentences
 from kgspark.llm.suffixes import Suffixes, remove_repeated_bytes
 from kgspark.llm.topk import top_k
 from kgspark.llm.toxicity import fit_toxicity, score_toxicity, strings_of
@@ -152,6 +152,31 @@ def test_repeated_spans(docs, corpus, empty, spark):
     assert remove_repeated_spans(docs).count() == len(corpus) and remove_repeated_spans(empty).count() == 0
 
 
+def test_whole_repeated_passages_go(spark):
+    rng = random.Random(8)
+    for sizes in ([30, 22], [22, 30], [30, 5], [4, 9, 3], [9, 2, 3], [40, 3, 30, 2], [1, 1, 30, 1, 1]):
+        passage = [prose(rng, n).capitalize() + "." for n in sizes]
+        texts = [f"Own start {prose(rng, 30)}. {' '.join(passage)} Own end {prose(rng, 30)}." for _ in range(3)]
+        out = {r.doc_id: r for r in remove_repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert out[0].text == texts[0] and out[0].n_removed == 0
+        assert all(s not in out[i].text for s in passage for i in (1, 2)), sizes
+        assert all(out[i].n_removed == len(sizes) and out[i].text == texts[i].replace(" ".join(passage) + " ", "") for i in (1, 2)), sizes
+
+
+def test_runs_cover_every_passage():
+    rng = random.Random(9)
+    for _ in range(200):
+        parts = [" ".join("w" * rng.randrange(0, 2) + str(rng.random()) for _ in range(rng.choice([0, 1, 2, 5, 11, 13, 24, 25, 40]))) + " " for _ in range(9)]
+        made = [(a, b) for a, b, _ in runs(parts, 2, 12, 25)]
+        assert len(made) == len(set(made)) and made == sorted(made, key=lambda r: (r[1], r[0]))
+        for i in range(9):
+            for j in range(i + 1, 10):
+                count = [len(p.split()) for p in parts[i:j] if p.split()]
+                if count and (len(count) >= 2 and sum(count) >= 12 or sum(count) >= 25):
+                    inside = {k for a, b in made if i <= a and b <= j for k in range(a, b)}
+                    assert {k for k in range(i, j) if parts[k].split()} <= inside
+
+
 def brute_bytes(texts, length):
     counts = {}
     raw = [(t or "").encode() for t in texts]
