@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.common import slices_by_bytes, text_or_empty, utf8_of
 from kgspark.llm.labelled import labelled_sample
-from kgspark.llm.minhash import word_hashes
+from kgspark.llm.minhash import BASE, word_hashes
 
 N_SHAPES = 2048
+N_WORDS = 2048
+N_PAIRS = 2048
+N_TERMS = N_SHAPES + N_WORDS + N_PAIRS + 2
 
 
 def _classes() -> np.ndarray:
@@ -34,8 +37,8 @@ def _classes() -> np.ndarray:
 def term_weights(column: pa.Array) -> Iterator[np.ndarray]:
     """Square roots of term frequencies of each text.
 
-    Terms are hashed runs of three byte classes, and two for words: the same as the word before
-    it, or not. Every byte of the text counts.
+    Terms are hashed runs of three byte classes, hashed words, hashed pairs of neighbouring words,
+    and two for words: the same as the word before it, or not. Every byte of the text counts.
     """
     table = _classes()
     data, offsets = utf8_of(column)
@@ -47,13 +50,19 @@ def term_weights(column: pa.Array) -> Iterator[np.ndarray]:
         codes = (codes * np.uint32(2654435761)) >> np.uint32(21)
         words, begins = word_hashes(own, at)
         same = np.concatenate([[False], words[1:] == words[:-1]]) if len(words) else np.zeros(0, bool)
+        top = np.uint64(53)  # 11 bits remain
+        pairs = (words[:-1] * np.uint64(BASE) + words[1:]) * np.uint64(0x9E3779B97F4A7C15) >> top
+        words = words >> top
         for a, b, v, w in zip(at[:-1], at[1:], begins[:-1], begins[1:], strict=True):
-            terms = np.zeros(N_SHAPES + 2, np.float32)
+            terms = np.zeros(N_TERMS, np.float32)
             if b - a > 2:
                 terms[:N_SHAPES] = np.sqrt(np.bincount(codes[a : b - 2], minlength=N_SHAPES) / (b - a - 2))
             if w > v:
+                terms[N_SHAPES : N_SHAPES + N_WORDS] = np.sqrt(np.bincount(words[v:w].astype(np.int64), minlength=N_WORDS) / (w - v))
+                if w - v > 1:
+                    terms[N_SHAPES + N_WORDS : -2] = np.sqrt(np.bincount(pairs[v : w - 1].astype(np.int64), minlength=N_PAIRS) / (w - v - 1))
                 repeats = same[v + 1 : w].sum() / (w - v)
-                terms[N_SHAPES:] = repeats**0.5, (1 - repeats) ** 0.5
+                terms[-2:] = repeats**0.5, (1 - repeats) ** 0.5
             yield terms
 
 
@@ -62,29 +71,33 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
     Terms are weighed by inverse document frequency in the sample, and the sample's leading
     singular vectors span the latent space. Returns the projection, the unit vectors and their
-    labels: about 1.5 MB at the default bounds, whatever the size of the corpus.
+    labels: about 2.7 MB at the default bounds, whatever the size of the corpus.
     """
     sample = labelled_sample(docs, labels, label_col, {0: most_labelled // 2, 1: most_labelled // 2}, id_col, text_col)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [t.tobytes() for t in term_weights(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column(1)], ["terms", "label"])
+            held = [(t.nonzero()[0].astype(np.uint16), t) for t in term_weights(batch.column(0))]
+            columns = [pa.array([at.tobytes() for at, _ in held], pa.binary()), pa.array([t[at].tobytes() for at, t in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["at", "terms", "label"])
 
-    rows = sorted((r.label, bytes(r.terms)) for r in sample.mapInArrow(weigh, "terms binary, label int").limit(2 * most_labelled).collect())
+    rows = sorted((r.label, bytes(r.at), bytes(r.terms)) for r in sample.mapInArrow(weigh, "at binary, terms binary, label int").limit(2 * most_labelled).collect())
     if not rows:
-        return {"axes": np.zeros((N_SHAPES + 2, 1), np.float32), "known": np.zeros((0, 1), np.float32), "labels": np.zeros(0, np.float32)}
-    terms = np.stack([np.frombuffer(t, np.float32) for _, t in rows])
-    rarity = np.clip(np.log(len(terms) / (1 + (terms > 0).sum(axis=0))) + 1, 0.5, 4).astype(np.float32)
-    rarity[N_SHAPES:] = 2
-    weighed = terms * rarity
+        return {"axes": np.zeros((N_TERMS, 1), np.float32), "known": np.zeros((0, 1), np.float32), "labels": np.zeros(0, np.float32)}
+    weighed = np.zeros((len(rows), N_TERMS), np.float32)
+    for own, (_, at, terms) in zip(weighed, rows, strict=True):
+        own[np.frombuffer(at, np.uint16)] = np.frombuffer(terms, np.float32)
+    rarity = np.clip(np.log(len(rows) / (1 + (weighed > 0).sum(axis=0))) + 1, 0.5, 4).astype(np.float32)
+    rarity[-2:] = 2
+    weighed *= rarity
     near = weighed @ np.random.default_rng(0).normal(size=(weighed.shape[1], dimensions + 32)).astype(np.float32)
     for _ in range(4):
         near, _ = np.linalg.qr(weighed @ (weighed.T @ near))
-    axes = np.linalg.svd(near.T @ weighed, full_matrices=False)[2][:dimensions].T * rarity[:, None]
-    known = terms @ axes
+    axes = np.linalg.svd(near.T @ weighed, full_matrices=False)[2][:dimensions].T
+    known = weighed @ axes
+    axes = axes * rarity[:, None]
     known /= np.linalg.norm(known, axis=1, keepdims=True) + 1e-9
-    return {"axes": axes.astype(np.float32), "known": known.astype(np.float32), "labels": np.array([label for label, _ in rows], np.float32)}
+    return {"axes": axes.astype(np.float32), "known": known.astype(np.float32), "labels": np.array([label for label, _, _ in rows], np.float32)}
 
 
 def score_quality(docs: DataFrame, model: dict, neighbours: int = 15, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -298,6 +298,19 @@ def test_classifiers(spark, empty):
     assert "idiot" in strings_of("an I d i o t x.") or "idiotx" in strings_of("an I d i o t x.")
 
 
+def test_quality_reads_words(spark):
+    rng = random.Random(6)
+    words = {kind: ["".join(rng.choice("bcdfghklmnprst") for _ in range(n)) for n in range(3, 9) for _ in range(15)] for kind in (0, 1)}
+    rows = []
+    for i in range(600):
+        shape = [rng.randrange(90) for _ in range(rng.randrange(20, 60))]  # words of both kinds have the same lengths
+        rows.append((i, " ".join(words[i % 2][j] for j in shape)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in score_quality(docs, fit_quality(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS quality"))).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(scores[i] >= 0.5) == bool(i % 2) for i in held]) > 0.97
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
