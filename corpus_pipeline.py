@@ -29,9 +29,14 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each near-duplicate component at a similarity of 0.8."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One document of each near-duplicate component at a similarity of 0.8: that of smallest id, nulls last.
+
+    Rows are told apart by a key of their own, so copies that share an id or have none go too.
+    """
+    keyed = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")))
+    members = near_duplicates(keyed, id_col="row_key").select("row_key", "component_id").join(keyed.select("row_key", "doc_id"), "row_key")
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("least")).select("least.row_key")
+    return keyed.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,6 +311,17 @@ def test_quality_reads_words(spark):
     assert np.mean([(scores[i] >= 0.5) == bool(i % 2) for i in held]) > 0.97
 
 
+def test_near_duplicates_without_own_ids_go(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    one, two, three, four = (prose(rng, 60) for _ in range(4))
+    rows = [(5, one), (5, one), (None, one), (3, one + " tail"), (7, two), (7, three), (None, two), (None, four), (None, four), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(3, one + " tail"), (7, two), (7, three), (None, four), (None, None)]))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
