@@ -17,14 +17,14 @@ SIZE = 1 << 15
 #: Longest string that is compared in one piece; longer ones are cut into overlapping pieces.
 LONGEST = 24
 _MARKS = re.compile(r"[^\w\s]|[\d_]")
-_SPELLED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
 
 
 def strings_of(text: str) -> set[str]:
     """The strings that the sentences of a text offer to the kernel.
 
     Lower-cased words, freed of digits and marks, which so can't hide a word; letters spelled out
-    one by one also count as one word. Words over ``LONGEST`` letters are covered by overlapping
+    one by one, with any white space and marks between, also count as one word. Words over ``LONGEST`` letters are covered by overlapping
     pieces, so nothing of a text is left out.
     """
     plain = _MARKS.sub("", text.lower())

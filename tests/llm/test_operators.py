@@ -298,6 +298,11 @@ def test_classifiers(spark, empty):
     assert "idiot" in strings_of("an I d i o t x.") or "idiotx" in strings_of("an I d i o t x.")
 
 
+def test_spelled_words_are_joined():
+    for text in ("an i - d - i - o - t.", "an i  d i   o t", "an i d. i * o\n\nt"):
+        assert any("idiot" in s for s in strings_of(text)), text
+
+
 def test_quality_reads_words(spark):
     rng = random.Random(6)
     words = {kind: ["".join(rng.choice("bcdfghklmnprst") for _ in range(n)) for n in range(3, 9) for _ in range(15)] for kind in (0, 1)}
