@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -20,11 +21,16 @@ from kgspark.llm.common import text_or_empty
 BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
+#: All white space of a long run but its last character; the pattern above cuts there too, but only by trying every length.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}(?=[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])")
+
+
 class ByteLevelEncoder:
     """Ids of a byte-level BPE vocabulary file of ``tokenizers``, as that library gives them.
 
-    The vocabulary is run by ``tiktoken``, which gives the same ids several times faster; texts
-    that hold the string of a special token go to ``tokenizers`` itself.
+    The vocabulary is run by ``tiktoken``, which gives the same ids several times faster. A text
+    is cut at the strings of special tokens, which have ids of their own, and before the last
+    character of each long run of white space, where a pre-token ends in any case.
     """
 
     def __init__(self, path: str):
@@ -32,22 +38,28 @@ class ByteLevelEncoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.bpe = tiktoken.Encoding("byte_level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.path, self.whole = path, None
+        self.cuts = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
-            if self.whole is None:
-                from tokenizers import Tokenizer
+        ids, at = array("I"), 0
+        for special in self.cuts.finditer(text):
+            ids += self._plain(text[at : special.start()])
+            ids.append(self.special[special.group()])
+            at = special.end()
+        return (ids + self._plain(text[at:])).tobytes()
 
-                self.whole = Tokenizer.from_file(self.path)
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return array("I", self.bpe.encode_ordinary(text)).tobytes()
+    def _plain(self, text: str) -> array:
+        ids, at = array("I"), 0
+        for space in _LONG_SPACE.finditer(text):
+            ids += array("I", self.bpe.encode_ordinary(text[at : space.end()]))
+            at = space.end()
+        return ids + array("I", self.bpe.encode_ordinary(text[at:]))
 
 
 class _Packer:
@@ -170,8 +182,9 @@ def pack_documents(
     Each task packs its own partition and holds about ``buffer_tokens`` ids: no shuffle at all,
     and a lost task is repeated alone. Returns one row per piece: id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, window, step_group and, if asked for, ids. Null or empty
-    text is the end id alone; repeated rows are packed each; an empty table gives no rows; other
-    columns are ignored.
+    text is the end id alone; repeated rows and null ids are packed each; a very long text is
+    encoded whole, in the memory of its task, and its windows leave at once; an empty table gives
+    no rows; other columns, whatever their names, are ignored.
     """
     if any(t < 1 or t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
