@@ -4,27 +4,69 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that all contracts of this package share, as a Java/RE2 class body.
 SPACE = r"\x20\x09-\x0D"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder and cut its lineage there.
+#: Spark's own setting that removes the shuffle files of an execution once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; in local mode, where nothing is set, a fresh temporary one.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where nothing is
-    set, as in tests, a fresh temporary folder is taken.
+    On a cluster executors don't share a temporary folder, so there a missing setting is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Executions in this block leave no shuffle files: their results are in the shared folder."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
+    with _shuffles_removed(df.sparkSession):
+        return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed``, but as Parquet in the same folder: smaller, and columns are read apart."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_or_empty(name: str) -> Column:
@@ -74,13 +116,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(31)
     return x
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``checkpointed``, but as Parquet in the same folder: smaller, and columns are read apart."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

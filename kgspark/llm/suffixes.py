@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import checkpointed, mix64, slices_by_bytes, stored, text_or_empty, utf8_of
+from kgspark.llm.common import discard, mix64, slices_by_bytes, stored, text_or_empty, utf8_of
 
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -32,7 +32,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Prefixes:
     """Prefix polynomial hashes of a byte string: the hash of any substring in constant time."""
 
-    def __init__(self, data: np.ndarray, base: int = BASES[0]):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         up, self.down = powers(base, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         own = self.sums[1:]  # one array in all: contexts of a common gram take megabytes
@@ -55,14 +55,15 @@ def _sliding(values: np.ndarray, width: int, least) -> np.ndarray:
     return least(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place, gram hash, context hash) of each anchor of the documents laid end to end.
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(document, place, gram hash, context digest) of each anchor of the documents laid end to end.
 
     Every string of ``length`` bytes within a document has its grams of ``gram`` bytes of least
     hash as anchors, so equal strings have equal anchors at equal places. The context of an
-    anchor is all that any such string around it can reach, cut at the document's ends.
+    anchor is all that any such string around it can reach, cut at the document's ends; its
+    digest has 128 cryptographic bits, so equal digests stand for equal bytes around the anchor.
     """
-    none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), [])
     if len(data) < length:
         return none
     reach = length - gram
@@ -79,7 +80,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
         return none
     own = doc[place]
     first, past = np.maximum(offsets[own], place - reach), np.minimum(offsets[own + 1], place + gram + reach)
-    around = mix64(Prefixes(data, BASES[1]).of(first, past) + (place - first).astype(np.uint64) * np.uint64(BASES[0]) + (past - place).astype(np.uint64))
+    raw = memoryview(np.ascontiguousarray(data))
+    around = [hashlib.blake2b(raw[a:b], digest_size=16, salt=n.to_bytes(4, "little")).digest() for a, b, n in zip(first.tolist(), past.tolist(), (place - first).tolist(), strict=True)]
     return own, place - offsets[own], grams[place], around
 
 
@@ -178,10 +180,10 @@ class Suffixes:
         return out
 
 
-def repeated_reach(contexts: list[bytes], before: list[int], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_reach(contexts: list[bytes], before: list[int], low: list[int], high: list[int], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each context, how far the strings that another context repeats reach before its anchor, most and least (-1: none).
 
-    ``before``: the place of the anchor in each context. A string of ``length`` bytes that begins
+    ``before``: the place of the anchor in each context; only reaches from ``low`` to ``high`` count. A string of ``length`` bytes that begins
     s bytes before the anchor is repeated if another context agrees in s bytes before the anchor
     and in the rest after it; both come from the order of suffixes, one of the contexts and one
     of their mirror images.
@@ -194,33 +196,69 @@ def repeated_reach(contexts: list[bytes], before: list[int], length: int, gram:
     mirror = data[::-1]
     ahead = Suffixes(mirror, len(data) - at, len(data) - (ends - sizes))
     most, least = np.full(len(contexts), -1), np.full(len(contexts), -1)
-    for s in range(length - gram + 1):
+    low, high = np.array(low), np.array(high)
+    for s in range(int(low.min()), int(high.max()) + 1):
         keys = after.classes(length - s) * len(contexts) + (ahead.classes(s) if s else 0)
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         again = np.zeros(len(keys), bool)
         again[order[1:][same]] = again[order[:-1][same]] = True
+        again &= (low <= s) & (s <= high)
         most[again] = s
         least[again & (least < 0)] = s
     return most, least
 
 
+def _halved(hot: DataFrame, reach: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of contexts split by halves of their range, and the spans that equal contexts settle.
+
+    Of a group's strings those that begin ``low`` to ``high`` bytes before the anchor are in
+    question. All strings of a half share the bytes from its ``low`` before the anchor on, so
+    contexts that differ there share none of them and part. A half looks at no more than its own
+    reach; contexts that are equal so far are one context from then on, and no longer open.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    half = F.explode(F.array(F.struct("low", middle.alias("high")), F.struct((middle + 1).alias("low"), "high")))
+    after = F.length("context") - F.col("ahead") - gram
+    rows = hot.filter("low < high").withColumn("half", half).select("key", "p1", "p2", "at", "ahead", "open", "context", "half.low", "half.high")
+    rows = rows.filter((F.col("ahead") >= F.col("low")) & (after >= reach - F.col("high")))
+    common = F.substring(F.col("context"), F.col("ahead") - F.col("low") + 1, F.col("low") + gram + reach - F.col("high"))
+    ahead = F.least("ahead", "high")
+    own = F.substring(F.col("context"), F.col("ahead") - ahead + 1, ahead + gram + F.least(after, reach - F.col("low")))
+    rows = rows.select(
+        F.md5(F.concat(F.col("key").cast("binary"), F.concat_ws(":", F.lit(""), "low", "high", F.lit("")).cast("binary"), common)).alias("key"),
+        F.unhex(F.md5(F.concat(ahead.cast("string").cast("binary"), F.lit(":").cast("binary"), own))).alias("c"),
+        "p1", "p2", "low", "high", "at", ahead.alias("ahead"), "open", own.alias("context"),
+    )
+    rows = stored(rows)
+    classes = rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.first(F.struct(*[x for x in rows.columns if x not in ("key", "c")])).alias("m"))
+    classes = stored(classes.select("key", "c", "n", "m.p1", "m.p2", "m.low", "m.high", "m.at", "m.ahead", (F.col("m.open") & (F.col("n") == 1)).alias("open"), "m.context"))
+    sizes = stored(classes.groupBy("key").agg(F.count("*").alias("members"), F.bool_or("open").alias("any_open")).filter("members > 1 AND any_open").select("key", "members"))
+    equal = rows.filter("open").join(classes.filter("n > 1").select("key", "c"), ["key", "c"], "left_semi")
+    return classes.drop("n").join(sizes, "key"), equal.select("p1", "p2", (F.col("at") - F.col("ahead")).alias("first"), (F.col("at") - F.col("ahead") + F.length("context")).alias("past"))
+
+
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 160, most_members: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts without the bytes that strings of ``length`` bytes which start more than once cover.
 
     1. A scan samples anchors (see ``anchors``): about one in 120 bytes at the defaults. A gram
        that is an anchor once proves that no string around it is repeated, and is dropped.
-    2. Of the others, anchors whose whole context is repeated are settled by that.
+    2. Of the others, anchors whose whole context is repeated, by a cryptographic digest of its
+       bytes, are settled by that.
     3. The rest, at the edges of repeated passages, fetch their contexts. Those of one gram meet
        in a task, where sorted suffixes on both sides of the anchors tell which strings are
-       repeated, with hashes checked against bytes. Grams of over ``most_members`` contexts are
-       not gathered: each of their strings is hashed (128 bits) and counted over the cluster.
+       repeated, with hashes checked against bytes. A group of over ``most_members`` contexts is
+       split first, as often as needed: by halves of the range of places where a string may
+       begin, and by the bytes that all strings of a half have in common. Contexts that are equal
+       as far as a half reaches are settled by that; strings of one place are equal or apart.
     4. What anchors cover makes up the removed runs of each text.
 
     Texts of one fingerprint (128 bits) are looked at once and their rows counted, so copies cost
     little. Returns one row per input row: id, n_bytes, n_removed, n_spans, kept (binary). Null
     text counts as empty; overlapping occurrences and those within one document count; repeated
-    rows are documents each; an empty table gives no rows; other columns are ignored.
+    rows and null ids are documents each; an empty table gives no rows; other columns, whatever
+    their names, are ignored. A very long text is scanned whole, in about 60 bytes of memory for
+    each of its own.
     """
     reach = length - gram
     text = text_or_empty(text_col)
@@ -235,19 +273,21 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 160, m
                 rows, size = pa.array(own + first), np.diff(at)[own]
                 cut = [pa.array(x.astype(np.int32)) for x in (place, np.minimum(place, reach), np.minimum(size - place - gram, reach))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), *cut, pa.array(grams.view(np.int64)), pa.array(around.view(np.int64))], ["p1", "p2", "at", "ahead", "after", "g", "c"]
+                    [batch.column(0).take(rows), batch.column(1).take(rows), *cut, pa.array(grams.view(np.int64)), pa.array(around, pa.binary())], ["p1", "p2", "at", "ahead", "after", "g", "c"]
                 )
 
-    sampled = stored(keyed.select("p1", "p2", "text").mapInArrow(sample, "p1 long, p2 long, at int, ahead int, after int, g long, c long"))
-    often = sampled.groupBy("g").count().filter("count > 1").select("g")
+    sampled = stored(keyed.select("p1", "p2", "text").mapInArrow(sample, "p1 long, p2 long, at int, ahead int, after int, g long, c binary"))
+    often = stored(sampled.groupBy("g").count().filter("count > 1").select("g"))  # stored: Spark may split a hot gram in the join
     again = stored(sampled.join(often, "g", "left_semi"))
     contexts = again.groupBy("g", "c").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("p1", "p2", "at", "ahead", "after")])
     contexts = stored(contexts)
+    discard(sampled, often)
     edges = contexts.groupBy("g").agg(F.count("*").alias("members"), F.count(F.when(F.col("n") == 1, 1)).alias("single")).filter("members > 1 AND single > 0").select("g", "members")
     settled = again.join(contexts.filter("n > 1").select("g", "c"), ["g", "c"], "left_semi").select(
         "p1", "p2", (F.col("at") - F.col("ahead")).alias("first"), (F.col("at") + gram + F.col("after")).alias("past")
     )
-    wanted = contexts.join(stored(edges), "g").groupBy("p1", "p2").agg(F.collect_list(F.struct("g", "c", "at", "ahead", "after", "members", (F.col("n") == 1).alias("open"))).alias("wanted"))
+    edges = stored(edges)
+    wanted = contexts.join(edges, "g").groupBy("p1", "p2").agg(F.collect_list(F.struct("g", "c", "at", "ahead", "after", "members", (F.col("n") == 1).alias("open"))).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,40 +298,47 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 160, m
                     row = (p1.as_py(), p2.as_py(), x["g"], x["c"], x["at"], x["ahead"], x["members"], x["open"], data[x["at"] - x["ahead"] : x["at"] + gram + x["after"]])
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64(), pa.bool_(), pa.binary()]
+            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int32()] * 2 + [pa.int64(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["p1", "p2", "g", "c", "at", "ahead", "members", "open", "context"])
 
-    fetched = stored(keyed.select("p1", "p2", "text").join(wanted, ["p1", "p2"]).select("p1", "p2", "text", "wanted").mapInArrow(cut, "p1 long, p2 long, g long, c long, at int, ahead int, members long, open boolean, context binary"))
+    fetched = stored(keyed.select("p1", "p2", "text").join(wanted, ["p1", "p2"]).select("p1", "p2", "text", "wanted").mapInArrow(cut, "p1 long, p2 long, g long, c binary, at int, ahead int, members long, open boolean, context binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple] = {}
+        held: dict[tuple[str, bytes], tuple] = {}
 
         def found() -> pa.RecordBatch:
             rows = list(held.values())
-            most, least = repeated_reach([r[5] for r in rows], [r[3] for r in rows], length, gram) if len(rows) > 1 else (np.full(len(rows), -1),) * 2
-            hits = [(r[0], r[1], r[2] - m, r[2] - n + length) for r, m, n in zip(rows, most.tolist(), least.tolist(), strict=True) if r[4] and m >= 0]
+            columns = list(zip(*rows, strict=True))
+            most, least = repeated_reach(columns[6], columns[4], columns[2], columns[3], length, gram) if len(rows) > 1 else (np.full(len(rows), -1),) * 2
+            hits = [(r[0], r[1], r[7] - m, r[7] - n + length) for r, m, n in zip(rows, most.tolist(), least.tolist(), strict=True) if r[5] and m >= 0]
             columns = list(zip(*hits, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["p1", "p2", "first", "past"])
 
-        g = None
+        key = None
         for batch in batches:
-            for p1, p2, new, c, at, ahead, open_, context in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if new != g and len(held) >= 4096:
+            for new, c, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if new != key and len(held) >= 4096:
                     yield found()
                     held.clear()
-                g = new
-                held[g, c] = (p1, p2, at, ahead, open_, context)
+                key = new
+                held[new, c] = tuple(row)
         yield found()
 
-    gathered = fetched.filter(F.col("members") <= most_members).select("p1", "p2", "g", "c", "at", "ahead", "open", "context")
-    compared = gathered.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "p1 long, p2 long, first int, past int")
-
-    begins = F.sequence(F.lit(0), F.length("context") - length)
-    strings = fetched.filter(F.col("members") > most_members).dropDuplicates(["g", "c"]).select("p1", "p2", "g", "open", "at", "ahead", "context", F.explode(begins).alias("skip"))
-    strings = strings.select("p1", "p2", "open", (F.col("at") - F.col("ahead") + F.col("skip")).alias("first"), F.md5(F.concat(F.expr("cast(concat(g, ':', ahead - skip, ':') AS binary)"), F.expr(f"substring(context, skip + 1, {length})"))).alias("h"))
-    counted = strings.join(strings.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi").filter("open").select("p1", "p2", "first", (F.col("first") + length).alias("past"))
-
-    spans = stored(settled.unionByName(compared).unionByName(counted).groupBy("p1", "p2").agg(F.collect_set(F.struct("first", "past")).alias("spans")))
+    parts = ["p1", "p2", "low", "high", "ahead", "open", "context", "at"]
+    groups = fetched.select(F.col("g").cast("string").alias("key"), "c", "p1", "p2", F.lit(0).alias("low"), F.lit(reach).alias("high"), "ahead", "open", "context", "at", "members")
+    kept, whole = groups.filter(F.col("members") <= most_members).drop("members"), []
+    hot = groups.filter(F.col("members") > most_members).dropDuplicates(["key", "c"])
+    while not hot.isEmpty():
+        groups, equal = _halved(hot, reach, gram)
+        whole.append(equal)
+        kept = kept.unionByName(groups.filter(F.col("members") <= most_members).drop("members"))
+        hot = groups.filter(F.col("members") > most_members)
+    compared = kept.select("key", "c", *parts).repartition("key").sortWithinPartitions("key").mapInArrow(compare, "p1 long, p2 long, first int, past int")
+    for equal in whole:
+        compared = compared.unionByName(equal)
+
+    spans = stored(settled.unionByName(compared).groupBy("p1", "p2").agg(F.collect_set(F.struct("first", "past")).alias("spans")))
+    discard(again, contexts, edges, fetched)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
