@@ -6,9 +6,15 @@ may run the same text on another engine.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.model import DBPEDIA, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, TYPE, WIKIDATA
+from kgspark.model import DBPEDIA, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, TYPE, WIKIDATA, shared_folder
+from kgspark.sources.readers import read_graph
+from kgspark.sources.writers import write_graph
 
 RES, ONT, PROP = NS.res, NS.ont, NS.prop
 
@@ -24,6 +30,8 @@ def _res(kind: str, key: str) -> str:
 
 REGION, NATION = _res("Region", "r_regionkey"), _res("Nation", "n_nationkey")
 CUSTOMER, SUPPLIER, PART, ORDER = _res("Customer", "c_custkey"), _res("Supplier", "s_suppkey"), _res("Part", "p_partkey"), _res("Order", "o_orderkey")
+#: Names of customers: twelve letters and digits that tell them well apart.
+NICK = "substr(md5(CAST(c_custkey AS STRING)), 1, 12)"
 BATTLE = f"CASE WHEN o_orderstatus = 'F' THEN '{ONT}Battle' ELSE '{ONT}War' END"
 
 GRAPH_SQL = "\nUNION\n".join([
@@ -36,7 +44,7 @@ GRAPH_SQL = "\nUNION\n".join([
     _row(NATION, SCHEMA + "containedInPlace", _res("Region", "n_regionkey"), "iri", "nation"),
     _row(CUSTOMER, TYPE, f"'{SCHEMA}Person'", "iri", "customer"),
     _row(CUSTOMER, TYPE, f"'{ONT}Character'", "iri", "customer"),
-    _row(CUSTOMER, LABEL, "c_name", "literal", "customer", "en"),
+    _row(CUSTOMER, LABEL, NICK, "literal", "customer", "en"),
     _row(CUSTOMER, SCHEMA + "birthPlace", _res("Nation", "c_nationkey"), "iri", "customer"),
     _row(CUSTOMER, PROP + "raceLabel", "c_mktsegment", "literal", "customer WHERE c_custkey % 4 <> 0"),
     _row(CUSTOMER, SCHEMA + "gender", "CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' ELSE 'Other' END", "literal", "customer WHERE c_custkey % 5 <> 4"),
@@ -68,18 +76,18 @@ GRAPH_SQL = "\nUNION\n".join([
     _row(ORDER, SCHEMA + "location", _res("Nation", "c_nationkey"), "iri", "orders JOIN customer ON o_custkey = c_custkey"),
     _row(_res("Supplier", "l_suppkey"), SCHEMA + "owns", _res("Part", "l_partkey"), "iri", "lineitem"),
     _row(_res("Part", "l_partkey"), PROP + "ownedBy", _res("Supplier", "l_suppkey"), "iri", "lineitem"),
-    _row(CUSTOMER, LABEL, "substr(text, 1, 20)", "literal", "documents JOIN customer ON doc_id = c_custkey WHERE lang <> 'en' AND doc_id % 3 = 0", "=lang"),
+    _row(_res("Customer", "doc_id"), LABEL, "text", "literal", "documents WHERE lang <> 'en' AND text IS NOT NULL", "=lang"),
 ])
 
 EXTERNAL_SQL = "\nUNION\n".join([
-    _row(f"'{DBPEDIA}Customer_' || CAST(doc_id AS STRING)", "http://dbpedia.org/ontology/abstract", "substr(text, 1, 40)", "literal", "documents WHERE doc_id % 5 = 0", "=lang"),
+    _row(f"'{DBPEDIA}Customer_' || CAST(doc_id AS STRING)", "http://dbpedia.org/ontology/abstract", "text", "literal", "documents WHERE text IS NOT NULL", "=lang"),
     _row(f"'{DBPEDIA}Customer_' || CAST(c_custkey AS STRING)", "http://dbpedia.org/ontology/country", _res("Nation", "c_nationkey"), "iri", "customer WHERE c_custkey % 5 = 0"),
     _row(f"'{DBPEDIA}Fan_' || CAST(c_custkey AS STRING)", "http://dbpedia.org/ontology/likes", f"'{DBPEDIA}Customer_' || CAST(c_custkey AS STRING)", "iri", "customer WHERE c_custkey % 10 = 0"),
     _row(f"'{DBPEDIA}Twin_' || CAST(c_custkey AS STRING)", SAME_AS, CUSTOMER, "iri", "customer WHERE c_custkey % 15 = 0"),
     _row(f"'{DBPEDIA}Twin_' || CAST(c_custkey AS STRING)", "http://dbpedia.org/ontology/name", "c_name", "literal", "customer WHERE c_custkey % 15 = 0"),
 ])
 
-SEEDS_SQL = f"SELECT {CUSTOMER} AS entity FROM customer WHERE c_custkey % 3 = 0"
+SEEDS_SQL = f"SELECT {CUSTOMER} AS entity FROM customer"
 
 #: Class edges for closures: the vocabulary's, a long chain, and a cycle.
 HIERARCHY_SQL = f"""
@@ -126,22 +134,23 @@ SELECT c_name AS query, 1 AS rank, 'Q1' AS id, 'a street' AS description FROM cu
 UNION ALL SELECT c_name, 2, 'Q9' || CAST(c_custkey AS STRING), 'Fictional character' FROM customer WHERE c_custkey % 5 = 1
 UNION ALL SELECT c_name, 3, 'Q8', 'from Middle-Earth' FROM customer WHERE c_custkey % 5 <= 2
 """
-CARDS_SQL = """
+#: Cards with a customer's name, with nearly that name, and with no one's.
+CARDS_SQL = f"""
 SELECT c_custkey AS pos, CASE WHEN c_custkey % 3 = 0 THEN CAST(NULL AS STRING) ELSE 'K' || CAST(c_custkey AS STRING) END AS card_id,
-  CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE 'Nobody-' || c_mktsegment END AS name_en,
+  CASE WHEN c_custkey % 2 = 0 THEN upper({NICK}) WHEN c_custkey % 10 = 1 THEN {NICK} || 's' ELSE 'Nobody-' || c_mktsegment END AS name_en,
   CASE WHEN c_custkey % 4 = 0 THEN '<b>Text</b> of ' || c_name ELSE '' END AS text_en, c_mktsegment AS card_type, CAST(NULL AS STRING) AS card_set,
   CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey % 9 AS STRING) WHEN 1 THEN '6+' END AS prowess, CAST(NULL AS STRING) AS body, CAST(NULL AS STRING) AS race
 FROM customer WHERE c_custkey % 10 < 4
 """
-CSV_SQL = """
-SELECT c_custkey AS pos, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name, 'Female' AS gender, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Elf' END AS race,
+CSV_SQL = f"""
+SELECT c_custkey AS pos, CASE WHEN c_custkey % 2 = 0 THEN upper({NICK}) ELSE {NICK} END AS name, 'Female' AS gender, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Elf' END AS race,
   CASE WHEN c_custkey % 4 = 0 THEN CAST(NULL AS STRING) ELSE 'Brown' END AS hair, CAST(c_custkey % 90 AS STRING) AS height, 'Realm' AS realm FROM customer WHERE c_custkey % 6 < 2
 """
-TITLES_SQL = """
-SELECT c_name AS query, 'fr' AS lang, 1 AS rank, c_name || ' le Grand' AS title FROM customer WHERE c_custkey % 2 = 0
-UNION ALL SELECT c_name, 'fr', 2, 'Autre' FROM customer
-UNION ALL SELECT c_name, 'de', 1, c_name FROM customer
-UNION ALL SELECT c_name, 'xx', 1, 'Unknown' FROM customer
+TITLES_SQL = f"""
+SELECT {NICK} AS query, 'fr' AS lang, 1 AS rank, c_name || ' le Grand' AS title FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT {NICK}, 'fr', 2, 'Autre' FROM customer
+UNION ALL SELECT {NICK}, 'de', 1, {NICK} FROM customer
+UNION ALL SELECT {NICK}, 'xx', 1, 'Unknown' FROM customer
 """
 
 RELATIONS = {
@@ -151,10 +160,23 @@ RELATIONS = {
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "pages")
 
 
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A demo relation over the tables of a folder."""
-    text = RELATIONS[name]
-    used = [t for t in TABLES if t in text]
-    for t in used:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    """A demo relation over the tables of a folder; its views have names of their own."""
+    own = f"kgspark_{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}_"
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", rf"\1 {own}\2", RELATIONS[name])
+    for t in [t for t in TABLES if own + t in text]:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(own + t)
     return spark.sql(text)
+
+
+def saved(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A relation of triples, built once per application and folder and saved by predicate in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SAVED:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        write_graph(relation(spark, sf_dir, name), path, unique=True)
+        _SAVED[key] = path
+    return read_graph(spark, _SAVED[key])

@@ -122,9 +122,26 @@ def first_label(graph: DataFrame, p: str = LABEL) -> DataFrame:
     return match(graph, p=p).groupBy("s").agg(F.min(F.struct(foreign.alias("foreign"), "o"))["o"].alias("label"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise once in the folder of spark.checkpoint.dir (a fresh one where unset) and cut the lineage."""
-    context = df.sparkSession.sparkContext
+def clear(graph: DataFrame) -> DataFrame:
+    """The graph without its triples."""
+    return graph.select(*TRIPLE_COLUMNS).filter(F.lit(False))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; in local mode, where nothing is set, a fresh temporary one.
+
+    On a cluster executors don't share a temporary folder, so there a missing setting is an error.
+    """
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise once in the shared folder and cut the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,28 +36,57 @@ def match_cards_exact(names: DataFrame, cards: DataFrame) -> DataFrame:
     return names.withColumn("norm", normalize_name(F.col("name"))).join(last_by_name(cards, "name_en", "pos"), "norm")
 
 
-def _histogram(c):
-    """Counts of a few letters of a name, in an order that both sides share: a cheap bound of the ratio."""
-    return F.array(*[F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in "aeioustnrlhd"])
+def _histogram(c: Column) -> Column:
+    """Counts of letters and digits of a name, in an order that both sides share: a cheap bound of the ratio."""
+    return F.array(*[F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in "aeioustnrlhd0123456789"])
 
 
-def match_fuzzy(names: DataFrame, cards: DataFrame, threshold: float = 0.85) -> DataFrame:
+def _grams(names: DataFrame, name: str, q: int) -> DataFrame:
+    """(name, gram): the strings of ``q`` letters of each name, numbered where they repeat, so they are distinct."""
+    length = F.length(name)
+    plain = F.when(length >= q, F.transform(F.sequence(F.lit(1), length - q + 1), lambda i: F.substring(F.col(name), i, F.lit(q))))
+    counted = names.select(name, F.explode(plain).alias("gram")).groupBy(name, "gram").count()
+    return counted.select(name, "gram", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("i")).select(name, F.concat("gram", F.lit(":"), F.col("i").cast("string")).alias("gram"))
+
+
+def _rarest_first(names: DataFrame, name: str, grams: DataFrame, often: DataFrame) -> DataFrame:
+    """``names`` with their grams in order of their number over both sides."""
+    ranked = grams.join(often, "gram").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("often", "gram")))["gram"].alias("ranked"))
+    return names.join(ranked, name, "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
+
+
+def match_fuzzy(names: DataFrame, cards: DataFrame, threshold: float = 0.85, q: int = 3) -> DataFrame:
     """(name, pos, score): per name the card of highest ratio of at least the threshold, the first card on a tie.
 
-    A ratio of t needs at least t/2 of all letters in common, so lengths differ by a bounded
-    factor and letters by a bounded number. Names and cards meet by length, and pairs whose
-    letter counts rule the ratio out are dropped before Python sees them: exact, not approximate.
+    A ratio of t needs at least t/2 of all letters in common, in order. So the two lengths bound
+    the letters that match nothing; each of them breaks at most ``q`` grams of its own name and
+    ``q`` - 1 of the other, and the rest are shared. Of two names that share so many grams the
+    rarest few of either hold a common one: these are what names and cards meet by, together with
+    both lengths, so frequent grams join nothing. Names too short for a sure gram meet by length
+    alone. Pairs whose letter counts rule the ratio out are dropped before Python sees them. All
+    of this is exact, not approximate.
     """
     own = names.select("name", normalize_name(F.col("name")).alias("a")).filter("a <> ''").distinct()
-    own = own.withColumns({"na": F.length("a"), "ha": _histogram(F.col("a"))})
+    own = own.select("name", "a", F.length("a").alias("na"), _histogram(F.col("a")).alias("ha"))
     other = cards.select("pos", normalize_name(F.col("name_en")).alias("b")).filter("b <> ''").groupBy("b").agg(F.min("pos").alias("pos"))
-    other = other.withColumns({"nb": F.length("b"), "hb": _histogram(F.col("b"))})
+    other = other.select("b", "pos", F.length("b").alias("nb"), _histogram(F.col("b")).alias("hb"))
+    own_grams, other_grams = _grams(own.select("a").distinct(), "a", q), _grams(other, "b", q)
+    often = own_grams.select("gram").unionByName(other_grams.select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+
     factor = threshold / (2 - threshold)
-    reach = F.sequence(F.ceil(F.col("nb") * factor).cast("int"), F.floor(F.col("nb") / factor).cast("int"))
-    pairs = own.join(other.withColumn("na", F.explode(reach)), "na")
+    reach = lambda n: F.explode(F.sequence(F.ceil(F.col(n) * factor - 1e-9).cast("int"), F.floor(F.col(n) / factor + 1e-9).cast("int")))
+    common = F.ceil(threshold * (F.col("na") + F.col("nb")) / 2 - 1e-9).cast("int")
+    left = lambda x, y: F.col(x) - q + 1 - q * (F.col(x) - common) - (q - 1) * (F.col(y) - common)
+    shared = F.greatest(left("na", "nb"), left("nb", "na"))
+    keys = F.explode(F.when(shared > 0, F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - shared + 1, F.lit(0)))).otherwise(F.array(F.lit("")))).alias("key")
+    possible = common <= F.least("na", "nb")
+    own = _rarest_first(own, "a", own_grams, often).withColumn("nb", reach("na")).filter(possible).select("name", "a", "ha", "na", "nb", keys)
+    other = _rarest_first(other, "b", other_grams, often).withColumn("na", reach("nb")).filter(possible).select("b", "pos", "hb", "na", "nb", keys)
+    pairs = own.join(other, ["na", "nb", "key"])
     differ = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     most = (1 - threshold) * (F.col("na") + F.col("nb")) + 1e-9
-    scored = pairs.filter(differ <= most).withColumn("score", name_ratio("a", "b")).filter(F.col("score") >= threshold)
+    pairs = pairs.filter(differ <= most).select("name", "a", "b", "pos").distinct()
+    scored = pairs.withColumn("score", name_ratio("a", "b")).filter(F.col("score") >= threshold)
     return scored.groupBy("name").agg(F.max(F.struct("score", (-F.col("pos")).alias("at"))).alias("m")).select("name", (-F.col("m.at")).alias("pos"), F.col("m.score").alias("score"))
 
 
@@ -134,32 +163,33 @@ def top1_title(titles: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     return titles.filter(F.col("lang").isin(*languages)).groupBy("query", "lang").agg(F.min(F.struct("rank", "title"))["title"].alias("title"))
 
 
-def translated_titles(graph: DataFrame, titles: DataFrame, languages: tuple[str, ...] = ("fr", "de", "es"), max_entities: int = 100, ns: Namespaces = NS) -> DataFrame:
-    """(s, name, lang, title, added): the entities looked at, in each language that they lack a label in."""
+def translated_titles(graph: DataFrame, titles: DataFrame, languages: tuple[str, ...] = ("fr", "de", "es"), max_entities: int | None = None, ns: Namespaces = NS) -> DataFrame:
+    """(s, name, lang, title, added): the entities looked at (all, or the first ``max_entities``), in each language that they lack a label in."""
     order = F.when(F.col("o") == ns.ont + "Character", 0).when(F.col("o") == ns.ont + "Location", 1).when(F.col("o") == ns.ont + "Artifact", 2)
     typed = graph.filter(F.col("p") == TYPE).select("s", order.alias("kind")).filter("kind IS NOT NULL").distinct()
     plain = graph.filter((F.col("p") == LABEL) & F.coalesce(F.col("o_lang") == "en", F.lit(True))).groupBy("s").agg(F.min("o").alias("name"))
-    picked = typed.join(plain, "s").orderBy("kind", "s").limit(max_entities)
+    picked = typed.join(plain, "s")
+    picked = picked if max_entities is None else picked.orderBy("kind", "s").limit(max_entities)
     wanted = picked.select("s", "name", F.explode(F.array(*[F.lit(x) for x in languages])).alias("lang"))
     have = graph.filter((F.col("p") == LABEL) & F.col("o_lang").isin(*languages)).select("s", F.col("o_lang").alias("lang")).distinct()
     found = wanted.join(have, ["s", "lang"], "left_anti").join(top1_title(titles, languages).withColumnRenamed("query", "name"), ["name", "lang"], "left")
     return found.select("s", "name", "lang", "title", F.coalesce(F.col("title") != F.col("name"), F.lit(False)).alias("added"))
 
 
-def enrich_multilingual(graph: DataFrame, titles: DataFrame, languages: tuple[str, ...] = ("fr", "de", "es"), max_entities: int = 100, ns: Namespaces = NS) -> DataFrame:
+def enrich_multilingual(graph: DataFrame, titles: DataFrame, languages: tuple[str, ...] = ("fr", "de", "es"), max_entities: int | None = None, ns: Namespaces = NS) -> DataFrame:
     """Labels in other languages, with the pages that they come from."""
     rows = translated_titles(graph, titles, languages, max_entities, ns).filter("added")
     page = F.concat(F.lit(ns.foreign_wiki), F.col("lang"), F.lit("/wiki/"), underscored(F.col("title")))
     return facts_to_triples(rows, "s", F.array(fact(LABEL, F.col("title"), lang=F.col("lang")), iri(SEE_ALSO, page))).select(*TRIPLE_COLUMNS).distinct()
 
 
-def multilingual_stats(graph: DataFrame, titles: DataFrame, languages: tuple[str, ...] = ("fr", "de", "es"), max_entities: int = 100, ns: Namespaces = NS) -> DataFrame:
+def multilingual_stats(graph: DataFrame, titles: DataFrame, languages: tuple[str, ...] = ("fr", "de", "es"), max_entities: int | None = None, ns: Namespaces = NS) -> DataFrame:
     """One row: entities checked, labels added, entities enriched."""
     rows = translated_titles(graph, titles, languages, max_entities, ns)
     return rows.agg(F.count_distinct("s").alias("checked"), F.count_if("added").alias("labels_added"), F.count_distinct(F.when(F.col("added"), F.col("s"))).alias("entities_enriched"))
 
 
-def enrich_all(graph: DataFrame, cards: DataFrame | None = None, table: DataFrame | None = None, titles: DataFrame | None = None, max_entities: int = 50, ns: Namespaces = NS) -> DataFrame:
+def enrich_all(graph: DataFrame, cards: DataFrame | None = None, table: DataFrame | None = None, titles: DataFrame | None = None, max_entities: int | None = None, ns: Namespaces = NS) -> DataFrame:
     """The graph after cards, then the character table, then titles in other languages; each is optional."""
     for more, f in ((cards, enrich_cards), (table, enrich_csv)):
         if more is not None:

@@ -59,7 +59,6 @@ def search_entities(graph: DataFrame, term: str, wanted: str | None = None, limi
     types = edges(graph, TYPE, o="type").withColumn("bucket", bucket(F.col("type"), ns)).filter("bucket IS NOT NULL")
     rows = found.join(types, "s").groupBy("s").agg(F.min("label").alias("label"), F.min(F.array_position(order, F.col("bucket"))).alias("b"))
     rows = rows.select("s", "label", F.element_at(order, F.col("b").cast("int")).alias("bucket"))
-    rows = rows.orderBy("s").limit(100)
     return (rows if wanted is None else rows.filter(F.col("bucket") == wanted)).orderBy("s").limit(limit)
 
 
@@ -77,7 +76,7 @@ def entity_links(graph: DataFrame, ns: Namespaces = NS) -> DataFrame:
 
 
 def facet_entities(graph: DataFrame, classes: list[str], sources: list[str], most: int = 50, pick: int | None = None, seed: int = 0, ns: Namespaces = NS) -> DataFrame:
-    """(s, type, label): labelled entities of the classes that have all the sources; up to ``most`` per class, then ``pick`` at random.
+    """(s, type, label): labelled entities of the classes that have all the sources; up to ``most`` per class, then ``pick`` in the order of a hash of subject and ``seed``.
 
     Sources are dbpedia, wikidata, yago, card and csv. All flags come from one aggregation, not a join each.
     """
@@ -93,7 +92,7 @@ def facet_entities(graph: DataFrame, classes: list[str], sources: list[str], mos
         rows = rows.filter(f"has_{x}")
     rows = rows.select("s", F.explode("types").alias("type"), "label")
     rows = rows.withColumn("n", F.row_number().over(W.partitionBy("type").orderBy("s"))).filter(F.col("n") <= most).drop("n")
-    return rows if pick is None else rows.orderBy(F.rand(seed)).limit(pick)
+    return rows if pick is None else rows.orderBy(F.md5(F.concat("s", F.lit(f":{seed}"))), "s", "type").limit(pick)
 
 
 def entity_page(graph: DataFrame, seeds: DataFrame, ns: Namespaces = NS) -> DataFrame:
@@ -147,7 +146,7 @@ def exists(graph: DataFrame, seeds: DataFrame, predicates: dict[str, list[str]])
     return seeds.select(F.col("entity").alias("s")).distinct().join(found, "s", "left").fillna(False, list(predicates))
 
 
-def linked_entities(graph: DataFrame, limit: int | None = 50) -> DataFrame:
+def linked_entities(graph: DataFrame, limit: int | None = None) -> DataFrame:
     """(s, label, dbpedia, wikidata): labelled entities with at least one of two equivalents."""
     same = edges(graph, SAME_AS, o="uri")
     one = same.filter(F.col("uri").contains("dbpedia")).select("s", F.col("uri").alias("dbpedia"))

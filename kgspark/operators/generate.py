@@ -176,9 +176,11 @@ def generate_graph(parsed: DataFrame, links: DataFrame | None = None, imageinfo:
 
 def category_pages(members: DataFrame, categories: DataFrame, default_limit: int = 50) -> DataFrame:
     """(cat_idx, category, pos, title): the first members of each category in the main namespace, up to its limit."""
-    own = members.filter("ns = 0").join(F.broadcast(categories.select("cat_idx", "category", F.coalesce("lim", F.lit(default_limit)).alias("lim"))), "category")
+    wanted = categories.select("cat_idx", "category", F.coalesce("lim", F.lit(default_limit)).alias("lim"))
+    most = wanted.agg(F.max("lim")).first()[0] or 0
     rank = F.row_number().over(W.partitionBy("category").orderBy("pos", "title"))
-    return own.withColumn("rank", rank).filter("rank <= lim").select("cat_idx", "category", "pos", "title")
+    own = members.filter("ns = 0").withColumn("rank", rank).filter(F.col("rank") <= most)  # Spark keeps the first ones of each task
+    return own.join(wanted, "category").filter("rank <= lim").select("cat_idx", "category", "pos", "title")
 
 
 def select_categories(categories: DataFrame, names: list[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -9,29 +9,30 @@ from pyspark.sql import functions as F
 from kgspark.model import LABEL, SAME_AS, SUBCLASS, TRIPLE_COLUMNS, TYPE, checkpointed, edges, match
 
 
-def subclass_closure(graph: DataFrame, p: str = SUBCLASS, most_rounds: int = 50) -> DataFrame:
-    """(class, ancestor): reflexive and transitive, safe on cycles.
+def subclass_closure(graph: DataFrame, p: str = SUBCLASS) -> DataFrame:
+    """(class, ancestor): reflexive and transitive, at any depth and safe on cycles.
 
-    Each round joins only the pairs of the round before (semi-naive) and drops known ones; the
-    hierarchy is schema, not data, so its pairs stay few.
+    Each round joins the known pairs with themselves, so paths double in length and a chain of a
+    thousand classes takes ten rounds. Pairs are reflexive, so a round never loses one, and one
+    that adds none is the last.
     """
-    step = checkpointed(edges(graph, p, "child", "parent").distinct())
-    nodes = step.select(F.col("child").alias("class")).union(step.select("parent")).distinct()
-    known = nodes.select("class", F.col("class").alias("ancestor"))
-    frontier = known
-    for _ in range(most_rounds):
-        further = frontier.join(step, F.col("ancestor") == F.col("child")).select("class", F.col("parent").alias("ancestor")).distinct()
-        fresh = checkpointed(further.join(known, ["class", "ancestor"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        known, frontier = known.unionByName(fresh), fresh
-    return known
+    step = edges(graph, p, "class", "ancestor").filter("class IS NOT NULL AND ancestor IS NOT NULL")
+    same = step.select(F.explode(F.array("class", "ancestor")).alias("class")).withColumn("ancestor", F.col("class"))
+    known = checkpointed(step.unionByName(same).distinct())
+    before = known.count()
+    while True:
+        up = known.select(F.col("class").alias("through"), F.col("ancestor").alias("further"))
+        known = checkpointed(known.join(up, F.col("ancestor") == F.col("through")).select("class", F.col("further").alias("ancestor")).distinct())
+        now = known.count()
+        if now == before:
+            return known
+        before = now
 
 
 def with_ancestors(types: DataFrame, closure: DataFrame) -> DataFrame:
     """(entity, class): each type with all its ancestors; a class without edges still reaches itself."""
     up = closure.select(F.col("class").alias("type"), "ancestor")
-    return types.join(F.broadcast(up), "type", "left").select("entity", F.coalesce("ancestor", "type").alias("class")).distinct()
+    return types.join(up, "type", "left").select("entity", F.coalesce("ancestor", "type").alias("class")).distinct()
 
 
 def all_classes(graph: DataFrame, seeds: DataFrame, closure: DataFrame) -> DataFrame:
@@ -82,10 +83,10 @@ def describe_with_inference(graph: DataFrame, seeds: DataFrame, closure: DataFra
 
 
 def inferred_types(graph: DataFrame, cls: str, closure: DataFrame, limit: int | None = None) -> DataFrame:
-    """(s, label, inferred_type): labelled instances of a class with each of the class's ancestors; one class has few, so they are broadcast."""
+    """(s, label, inferred_type): labelled instances of a class with each of the class's ancestors."""
     up = closure.filter(F.col("class") == cls).select(F.lit(cls).alias("class"), F.col("ancestor").alias("inferred_type"))
     own = match(graph, p=TYPE, o=cls).select("s", F.col("o").alias("class"))
-    out = own.join(edges(graph, LABEL, o="label"), "s").join(F.broadcast(up), "class").select("s", "label", "inferred_type").distinct()
+    out = own.join(edges(graph, LABEL, o="label"), "s").join(up, "class").select("s", "label", "inferred_type").distinct()
     return out if limit is None else out.orderBy("s", "label", "inferred_type").limit(limit)
 
 
@@ -97,11 +98,11 @@ def related_via_sameas(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     return equal.unionByName(far.select("entity", F.col("o").alias("related"), F.col("p").alias("predicate"), F.lit("via-sameAs").alias("direction"))).distinct()
 
 
-def external_facts(graph: DataFrame, external: DataFrame, host: str = "dbpedia.org", most: int = 50) -> DataFrame:
-    """(entity, property, value): facts of the equivalents at a host, English or without language, up to ``most`` per entity."""
+def external_facts(graph: DataFrame, external: DataFrame, host: str = "dbpedia.org", most: int | None = None) -> DataFrame:
+    """(entity, property, value): facts of the equivalents at a host, English or without language, up to ``most`` per entity (None: all)."""
     same = edges(graph, SAME_AS, "entity", "same").filter(F.col("same").contains(host)).distinct()
     facts = external.filter(F.col("o_lang").isNull() | (F.col("o_lang") == "en")).join(same, F.col("s") == F.col("same")).select("entity", F.col("p").alias("property"), F.col("o").alias("value"))
-    return facts.withColumn("n", F.row_number().over(W.partitionBy("entity").orderBy("property", "value"))).filter(F.col("n") <= most).drop("n")
+    return facts if most is None else facts.withColumn("n", F.row_number().over(W.partitionBy("entity").orderBy("property", "value"))).filter(F.col("n") <= most).drop("n")
 
 
 def relations_out_sameas(graph: DataFrame, seeds: DataFrame) -> DataFrame:

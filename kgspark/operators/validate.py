@@ -63,14 +63,14 @@ def validation_report(graph: DataFrame, found: DataFrame, ns: Namespaces = NS) -
 def shacl_validate(graph: DataFrame, shapes: DataFrame, ns: Namespaces = NS) -> DataFrame:
     """Violations of a constraint table (entity, path, constraint, value), all constraints in one pass.
 
-    Targets are instances of a shape's class or of a subclass. The table is schema and broadcast;
-    values meet their targets by subject and path in one join, then counts and value checks
+    Targets are instances of a shape's class or of a subclass. Spark broadcasts the
+    table by its measured size; values meet their targets by subject and path in one join, then counts and value checks
     follow on the same key.
     """
     closure = subclass_closure(graph)
     typed = with_ancestors(edges(graph, TYPE, "entity", "type"), closure)
-    targets = typed.join(F.broadcast(shapes), F.col("class") == F.col("target_class")).select(F.col("entity").alias("s"), "path", "constraint", "value").distinct()
-    values = graph.join(F.broadcast(shapes.select(F.col("path").alias("p")).distinct()), "p", "left_semi").select("s", F.col("p").alias("path"), "o", "o_kind", "o_dt", "o_lang", F.lit(1).alias("there"))
+    targets = typed.join(shapes, F.col("class") == F.col("target_class")).select(F.col("entity").alias("s"), "path", "constraint", "value").distinct()
+    values = graph.join(shapes.select(F.col("path").alias("p")).distinct(), "p", "left_semi").select("s", F.col("p").alias("path"), "o", "o_kind", "o_dt", "o_lang", F.lit(1).alias("there"))
     met = targets.join(values, ["s", "path"], "left")
     datatype = F.when(F.col("o_kind") == "literal", F.coalesce("o_dt", F.when(F.col("o_lang").isNotNull(), RDF + "langString").otherwise("http://www.w3.org/2001/XMLSchema#string"))).otherwise("iri")
     bad = (
@@ -92,14 +92,14 @@ def rdfs_materialize(graph: DataFrame, ontology: DataFrame) -> DataFrame:
 
     Properties go up first, then domains and ranges of all stated and inherited properties give
     types, then types go up: in this order one pass of each is complete, as no rule here feeds an
-    earlier one. The vocabulary is schema and broadcast.
+    earlier one. Spark broadcasts the vocabulary by its measured size.
     """
     schema = ontology.unionByName(graph.filter(F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)).select(*ontology.columns)).dropDuplicates()
     up = subclass_closure(schema, SUBPROPERTY).select(F.col("class").alias("p"), F.col("ancestor").alias("super")).filter("p <> super")
-    wider = graph.join(F.broadcast(up), "p").select("s", F.col("super").alias("p"), "o", "o_kind", "o_dt", "o_lang")
+    wider = graph.join(up, "p").select("s", F.col("super").alias("p"), "o", "o_kind", "o_dt", "o_lang")
     stated = graph.select(*TRIPLE_COLUMNS).unionByName(wider)
-    domain = stated.join(F.broadcast(edges(schema, DOMAIN, "p", "cls")), "p").select(F.col("s").alias("entity"), F.col("cls").alias("type"))
-    range_ = stated.filter("o_kind = 'iri'").join(F.broadcast(edges(schema, RANGE, "p", "cls")), "p").select(F.col("o").alias("entity"), F.col("cls").alias("type"))
+    domain = stated.join(edges(schema, DOMAIN, "p", "cls"), "p").select(F.col("s").alias("entity"), F.col("cls").alias("type"))
+    range_ = stated.filter("o_kind = 'iri'").join(edges(schema, RANGE, "p", "cls"), "p").select(F.col("o").alias("entity"), F.col("cls").alias("type"))
     types = edges(stated, TYPE, "entity", "type").unionByName(domain).unionByName(range_).distinct()
     typed = with_ancestors(types, subclass_closure(schema)).select(F.col("entity").alias("s"), F.lit(TYPE).alias("p"), F.col("class").alias("o"), F.lit("iri").alias("o_kind"), *[F.lit(None).cast("string").alias(c) for c in ("o_dt", "o_lang")])
     return stated.unionByName(typed).dropDuplicates()
@@ -113,9 +113,7 @@ def report_lines(found: DataFrame) -> DataFrame:
 
 def top_violations(found: DataFrame, most: int = 10) -> DataFrame:
     """The first violations of each severity, by local name, with the number of all."""
-    w = W.partitionBy("severity")
-    named = found.withColumn("name", local_name(F.col("entity")))
-    return (
-        named.withColumn("n", F.row_number().over(w.orderBy("entity", "violation"))).withColumn("total", F.count("*").over(w)).filter(F.col("n") <= most)
-        .select("severity", "n", "name", "violation", (F.col("total") - most).alias("remaining"))
-    )
+    order = W.partitionBy("severity").orderBy("entity", "violation")
+    first = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)  # Spark keeps the first ones of each task
+    totals = found.groupBy("severity").agg(F.count("*").alias("total"))
+    return first.join(totals, "severity").select("severity", "n", local_name(F.col("entity")).alias("name"), "violation", (F.col("total") - most).alias("remaining"))

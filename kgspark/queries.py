@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from kgspark import model
 from kgspark.functions import scalars as S
 from kgspark.functions.wikitext import parse_pages
-from kgspark.jobs.demo import CUSTOMER, RELATIONS, relation
+from kgspark.jobs.demo import NICK, RELATIONS, relation, saved
 from kgspark.model import DBPEDIA, FOAF, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, SUBCLASS, TRIPLE_COLUMNS, TYPE, WIKIDATA, YAGO, edges, match, merge
 from kgspark.operators import enrich, explore, generate, infer, linking, ontology, validate
 from kgspark.sources import readers, writers
@@ -34,11 +35,16 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
 
 
 def rel(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return relation(spark, d, name)
+    return saved(spark, d, name) if name in ("graph", "external") else relation(spark, d, name)
 
 
 def graph(spark: SparkSession, d: str) -> DataFrame:
-    return relation(spark, d, "graph")
+    return saved(spark, d, "graph")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, for queries of readers and writers."""
+    return f"{model.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -54,8 +60,8 @@ def hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full(spark: SparkSession, d: str) -> DataFrame:
-    """The graph with the external one, for inference; read many times, so it is materialised once."""
-    return model.checkpointed(graph(spark, d).unionByName(rel(spark, d, "external")))
+    """The graph with the external one, for inference; both are saved by predicate."""
+    return graph(spark, d).unionByName(rel(spark, d, "external"))
 
 
 LOCAL = "regexp_extract(regexp_extract({0}, '([^/]*)$', 1), '([^#]*)$', 1)"
@@ -89,7 +95,7 @@ query(
     f"""SELECT * FROM (SELECT l.s, min(l.o) AS label, ['character', 'location', 'artifact', 'event', 'other'][min(CASE
       WHEN t.o IN ('{ONT}Character', '{SCHEMA}Person') THEN 1 WHEN t.o IN ('{ONT}Location', '{SCHEMA}Place') THEN 2 WHEN t.o = '{ONT}Artifact' THEN 3
       WHEN t.o IN ('{SCHEMA}Event', '{ONT}Battle', '{ONT}War') THEN 4 WHEN t.o IN ('{SCHEMA}Thing', '{SCHEMA}Book') THEN 5 END)] AS bucket
-    FROM graph l JOIN graph t ON l.s = t.s AND t.p = '{TYPE}' WHERE l.p = '{LABEL}' AND contains(lower(l.o), '1') AND t.o <> '{ONT}Card' GROUP BY l.s ORDER BY l.s LIMIT 100)
+    FROM graph l JOIN graph t ON l.s = t.s AND t.p = '{TYPE}' WHERE l.p = '{LABEL}' AND contains(lower(l.o), '1') AND t.o <> '{ONT}Card' GROUP BY l.s)
     WHERE bucket = 'character' ORDER BY s LIMIT 50""",
     G,
 )(lambda s, d: explore.search_entities(graph(s, d), "1", "character"))
@@ -113,7 +119,12 @@ query(
     WHERE n <= 50""",
     G,
 )(lambda s, d: explore.facet_entities(graph(s, d), [ONT + "Character", ONT + "Artifact"], ["dbpedia", "card"]))
-query("q05_facet_pick")(lambda s, d: explore.facet_entities(graph(s, d), [ONT + "Character", ONT + "Location", ONT + "Artifact"], [], pick=12))
+query(
+    "q05_facet_pick",
+    f"""SELECT s, type, label FROM (SELECT t.s, t.o AS type, min(l.o) AS label, row_number() OVER (PARTITION BY t.o ORDER BY t.s) AS n FROM graph t JOIN graph l ON l.s = t.s AND l.p = '{LABEL}' AND coalesce(l.o_lang, 'en') = 'en'
+      WHERE t.p = '{TYPE}' AND t.o IN ('{ONT}Character', '{ONT}Location', '{ONT}Artifact') GROUP BY t.s, t.o) WHERE n <= 50 ORDER BY md5(s || ':0'), s, type LIMIT 12""",
+    G,
+)(lambda s, d: explore.facet_entities(graph(s, d), [ONT + "Character", ONT + "Location", ONT + "Artifact"], [], pick=12))
 query(
     "q06_entity_page",
     f"""SELECT s, min({{'f': coalesce(o_lang <> 'en', false), 'o': o}}) FILTER (WHERE p = '{LABEL}').o AS label, min(o) FILTER (WHERE p = '{SCHEMA}description') AS description, min(o) FILTER (WHERE p = '{SCHEMA}image') AS image,
@@ -159,11 +170,12 @@ query(
 query(
     "q12_linked_entities",
     f"""SELECT l.s, l.o AS label, a.o AS dbpedia, b.o AS wikidata FROM graph l LEFT JOIN graph a ON a.s = l.s AND a.p = '{SAME_AS}' AND contains(a.o, 'dbpedia')
-    LEFT JOIN graph b ON b.s = l.s AND b.p = '{SAME_AS}' AND contains(b.o, 'wikidata') WHERE l.p = '{LABEL}' AND (a.o IS NOT NULL OR b.o IS NOT NULL) ORDER BY l.s, l.o, a.o NULLS FIRST, b.o NULLS FIRST LIMIT 50""",
+    LEFT JOIN graph b ON b.s = l.s AND b.p = '{SAME_AS}' AND contains(b.o, 'wikidata') WHERE l.p = '{LABEL}' AND (a.o IS NOT NULL OR b.o IS NOT NULL)""",
     G,
 )(lambda s, d: explore.linked_entities(graph(s, d)))
 query("q13_match_pattern", f"SELECT * FROM graph WHERE p = '{PROP}objectType' AND o = 'ECONOMY'", G)(lambda s, d: match(graph(s, d), p=PROP + "objectType", o="ECONOMY"))
 query("q14_insert_triples", "SELECT * FROM graph UNION SELECT * FROM external", ("graph", "external"))(lambda s, d: merge(graph(s, d), rel(s, d, "external")))
+query("q14_clear_and_load", "SELECT * FROM external", ("external",))(lambda s, d: merge(model.clear(graph(s, d)), rel(s, d, "external")))
 query("q14_delete_triples", f"SELECT * FROM graph EXCEPT SELECT * FROM graph WHERE p = '{LABEL}'", G)(lambda s, d: model.delete(graph(s, d), match(graph(s, d), p=LABEL)))
 
 # --- inference --------------------------------------------------------------------------------
@@ -199,14 +211,13 @@ query(
 )(lambda s, d: infer.describe_with_inference(full(s, d), rel(s, d, "seeds"), closure(s, d)))
 query(
     "r05_inferred_types",
-    f""", {_CLOSURE} SELECT DISTINCT c.s, l.o AS label, ancestor AS inferred_type FROM {_CHARACTERS} c JOIN graph l ON l.s = c.s AND l.p = '{LABEL}' JOIN closure ON class = '{ONT}Character' ORDER BY 1, 2, 3 LIMIT 100""",
+    f""", {_CLOSURE} SELECT DISTINCT c.s, l.o AS label, ancestor AS inferred_type FROM {_CHARACTERS} c JOIN graph l ON l.s = c.s AND l.p = '{LABEL}' JOIN closure ON class = '{ONT}Character'""",
     ("graph", "hierarchy"),
-)(lambda s, d: infer.inferred_types(graph(s, d), ONT + "Character", closure(s, d), 100))
+)(lambda s, d: infer.inferred_types(graph(s, d), ONT + "Character", closure(s, d)))
 query("r06_related_via_sameas", f", {_FULL}, {_SAME}, {_RELATED} SELECT * FROM rel", ALL[:3])(lambda s, d: infer.related_via_sameas(full(s, d), rel(s, d, "seeds")))
 query(
     "r07_external_facts",
-    f"""SELECT entity, property, value FROM (SELECT g.s AS entity, e.p AS property, e.o AS value, row_number() OVER (PARTITION BY g.s ORDER BY e.p, e.o) AS n
-    FROM (SELECT DISTINCT s, o FROM graph WHERE p = '{SAME_AS}' AND contains(o, 'dbpedia.org')) g JOIN external e ON e.s = g.o WHERE e.o_lang IS NULL OR e.o_lang = 'en') WHERE n <= 50""",
+    f"""SELECT g.s AS entity, e.p AS property, e.o AS value FROM (SELECT DISTINCT s, o FROM graph WHERE p = '{SAME_AS}' AND contains(o, 'dbpedia.org')) g JOIN external e ON e.s = g.o WHERE e.o_lang IS NULL OR e.o_lang = 'en'""",
     ("graph", "external"),
 )(lambda s, d: infer.external_facts(graph(s, d), rel(s, d, "external")))
 query(
@@ -296,8 +307,8 @@ query("x01_percent_encode", f"SELECT p_partkey, {_sql_quote(_TITLE, '(),')} AS a
 )
 query("x02_local_name", f"SELECT DISTINCT p, {LOCAL.format('p')} AS name FROM graph", G)(lambda s, d: graph(s, d).select("p", S.local_name(F.col("p")).alias("name")).distinct())
 query("x03_strip_html", "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS plain FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.md5(S.strip_html(F.col("html"))).alias("plain")))
-query("x04_trim_ws", "SELECT doc_id, regexp_replace(chr(9) || ' ' || substr(text, 1, 30) || chr(10) || ' ', '^\\s+|\\s+$', '', 'g') AS t FROM documents")(
-    lambda s, d: table(s, d, "documents").select("doc_id", S.trim_ws(F.concat(F.lit("\t "), F.substring("text", 1, 30), F.lit("\n "))).alias("t"))
+query("x04_trim_ws", "SELECT doc_id, regexp_replace(chr(9) || ' ' || text || chr(10) || ' ', '^\\s+|\\s+$', '', 'g') AS t FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", S.trim_ws(F.concat(F.lit("\t "), F.col("text"), F.lit("\n "))).alias("t"))
 )
 query(
     "x05_language_name",
@@ -305,14 +316,14 @@ query(
 )(lambda s, d: table(s, d, "documents").select("lang", S.language_name(F.col("lang")).alias("name"), S.language_name(F.concat(F.lit("x"), F.col("lang"))).alias("other")).distinct())
 query(
     "e05_clean_entity_name",
-    "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(translate(substr(text, 1, 60), '() ', '___'), '''', ''), '[^\\p{L}\\p{N}_-]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS name FROM documents",
-)(lambda s, d: table(s, d, "documents").select("doc_id", S.clean_entity_name(F.substring("text", 1, 60)).alias("name")))
+    "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(translate(text, '() ', '___'), '''', ''), '[^\\p{L}\\p{N}_-]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS name FROM documents",
+)(lambda s, d: table(s, d, "documents").select("doc_id", S.clean_entity_name(F.col("text")).alias("name")))
 query(
     "n01_normalize_name",
-    "SELECT doc_id, regexp_replace(regexp_replace(translate(replace(lower(substr(text, 1, 60)), '''', ''), '-', ' '), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS name FROM documents",
-)(lambda s, d: table(s, d, "documents").select("doc_id", S.normalize_name(F.substring("text", 1, 60)).alias("name")))
-query("e07_split_on_br", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(replace(substr(text, 1, 80), '. ', '<BR />'), '<(?i:br)\\s*/?>'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> ''), '|') AS parts FROM documents")(
-    lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(S.split_on_br(F.replace(F.substring("text", 1, 80), F.lit(". "), F.lit("<BR />"))), "|").alias("parts"))
+    "SELECT doc_id, regexp_replace(regexp_replace(translate(replace(lower(text), '''', ''), '-', ' '), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS name FROM documents",
+)(lambda s, d: table(s, d, "documents").select("doc_id", S.normalize_name(F.col("text")).alias("name")))
+query("e07_split_on_br", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(replace(text, '. ', '<BR />'), '<(?i:br)\\s*/?>'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> ''), '|') AS parts FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(S.split_on_br(F.replace(F.col("text"), F.lit(". "), F.lit("<BR />"))), "|").alias("parts"))
 )
 query(
     "e09_is_valid_date",
@@ -500,42 +511,39 @@ query("t09_link_triples", f", {_LINKS} SELECT {_iri('name')} AS s, CASE link_typ
 _NORM = "trim(regexp_replace(translate(replace(lower({0}), '''', ''), '-', ' '), '\\s+', ' ', 'g'))"
 _WHO = f"""who AS (SELECT c.s, min({{'f': coalesce(l.o_lang <> 'en', false), 'o': l.o}}).o AS name FROM {_CHARACTERS} c JOIN graph l ON l.s = c.s AND l.p = '{LABEL}' GROUP BY c.s)"""
 _LASTCARD = f"deck AS (SELECT *, {_NORM.format('name_en')} AS norm FROM cards QUALIFY row_number() OVER (PARTITION BY {_NORM.format('name_en')} ORDER BY pos DESC) = 1)"
-_LINKED = f"{_WHO}, {_LASTCARD}, linked AS (SELECT w.s, d.* FROM who w JOIN deck d ON d.norm = {_NORM.format('w.name')})"
+_LINKED = f"""{_WHO}, {_LASTCARD}, equal AS (SELECT w.s, w.name AS who_name, d.* FROM who w JOIN deck d ON d.norm = {_NORM.format('w.name')}),
+  linked AS (SELECT * FROM equal UNION ALL SELECT w.s, w.name, d.* FROM who w JOIN deck d ON d.norm = {_NORM.format('w.name')} || 's' WHERE w.s NOT IN (SELECT s FROM equal))"""
 _CARD = f"'{NS.card}' || coalesce(card_id, replace(norm, ' ', '_'))"
+_FACTS = f"""facts AS (
+      SELECT s, '{PROP}card' AS p, {_CARD} AS o, 'iri' AS o_kind, {_NULLS} FROM linked UNION SELECT {_CARD}, '{TYPE}', '{ONT}Card', 'iri', NULL, NULL FROM linked UNION SELECT {_CARD}, '{LABEL}', name_en, 'literal', NULL, 'en' FROM linked
+      UNION SELECT {_CARD}, '{PROP}cardType', card_type, 'literal', NULL, NULL FROM linked UNION SELECT {_CARD}, '{SCHEMA}description', regexp_replace(text_en, '<[^>]+>', '', 'g'), 'literal', NULL, 'en' FROM linked WHERE text_en <> ''
+      UNION SELECT {_CARD}, '{PROP}prowess', CAST(TRY_CAST(prowess AS INTEGER) AS VARCHAR), 'literal', '{model.INTEGER}', NULL FROM linked WHERE TRY_CAST(prowess AS INTEGER) IS NOT NULL)"""
 GC = ("graph", "cards")
 
 
-def exact_only(s: SparkSession, d: str, f):
-    """The demo cards have equal names or far ones, so the ratio search finds nothing more."""
-    return f(graph(s, d), rel(s, d, "cards"))
-
-
 query("n02_similarity")(lambda s, d: table(s, d, "part").select("p_partkey", enrich.similarity(F.col("p_name"), F.col("p_type")).alias("ratio")))
-query("n03_match_cards_exact", f", {_LINKED} SELECT DISTINCT name, pos FROM (SELECT w.name, d.pos FROM who w JOIN deck d ON d.norm = {_NORM.format('w.name')})", GC)(
+query("n03_match_cards_exact", f", {_LINKED} SELECT DISTINCT who_name AS name, pos FROM equal", GC)(
     lambda s, d: enrich.match_cards_exact(enrich.labelled_characters(graph(s, d)).select("name").distinct(), rel(s, d, "cards")).select("name", "pos")
 )
-query("n04_match_fuzzy")(
-    lambda s, d: enrich.match_fuzzy(table(s, d, "part").select(F.col("p_name").alias("name")), table(s, d, "part").select(F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit("s")).alias("name_en")), 0.9)
+query("n04_match_fuzzy", "SELECT substr(md5(CAST(c_custkey AS VARCHAR)), 1, 12) AS name, c_custkey AS pos, 2.0::DOUBLE * 12 / 25 AS score FROM customer")(
+    lambda s, d: enrich.match_fuzzy(table(s, d, "customer").select(F.expr(NICK).alias("name")), table(s, d, "customer").select(F.col("c_custkey").alias("pos"), F.expr(f"{NICK} || 's'").alias("name_en")), 0.9)
 )
 query(
     "n05_enrich_cards",
-    f""", {_LINKED}, facts AS (
-      SELECT s, '{PROP}card' AS p, {_CARD} AS o, 'iri' AS o_kind, {_NULLS} FROM linked UNION SELECT {_CARD}, '{TYPE}', '{ONT}Card', 'iri', NULL, NULL FROM linked UNION SELECT {_CARD}, '{LABEL}', name_en, 'literal', NULL, 'en' FROM linked
-      UNION SELECT {_CARD}, '{PROP}cardType', card_type, 'literal', NULL, NULL FROM linked UNION SELECT {_CARD}, '{SCHEMA}description', regexp_replace(text_en, '<[^>]+>', '', 'g'), 'literal', NULL, 'en' FROM linked WHERE text_en <> ''
-      UNION SELECT {_CARD}, '{PROP}prowess', CAST(TRY_CAST(prowess AS INTEGER) AS VARCHAR), 'literal', '{model.INTEGER}', NULL FROM linked WHERE TRY_CAST(prowess AS INTEGER) IS NOT NULL)
-    SELECT * FROM facts""",
+    f", {_LINKED}, {_FACTS} SELECT * FROM facts",
     GC,
-)(lambda s, d: exact_only(s, d, lambda g, c: enrich.enrich_cards(g, c, 1.0)))
-query("n06_card_stats", f", {_LINKED} SELECT (SELECT count(*) FROM {_CHARACTERS}) AS checked, count(DISTINCT s) AS linked, count(DISTINCT s) * 5 AS triples FROM linked", GC)(lambda s, d: exact_only(s, d, lambda g, c: enrich.card_stats(g, c, 1.0)))
-_ROWS = f"""{_WHO}, sheet AS (SELECT *, {_NORM.format('name')} AS norm FROM csv QUALIFY row_number() OVER (PARTITION BY {_NORM.format('name')} ORDER BY pos DESC) = 1), rows_ AS (SELECT w.s, t.gender, t.race, t.hair, t.height, t.realm FROM who w JOIN sheet t ON t.norm = {_NORM.format('w.name')}),
+)(lambda s, d: enrich.enrich_cards(graph(s, d), rel(s, d, "cards")))
+query("n06_card_stats", f", {_LINKED} SELECT (SELECT count(*) FROM {_CHARACTERS}) AS checked, count(DISTINCT s) AS linked, count(DISTINCT s) * 5 AS triples FROM linked", GC)(lambda s, d: enrich.card_stats(graph(s, d), rel(s, d, "cards")))
+_SHEET = f"""sheet AS (SELECT *, {_NORM.format('name')} AS norm FROM csv QUALIFY row_number() OVER (PARTITION BY {_NORM.format('name')} ORDER BY pos DESC) = 1), rows_ AS (SELECT w.s, t.gender, t.race, t.hair, t.height, t.realm FROM who w JOIN sheet t ON t.norm = {_NORM.format('w.name')}),
   offered AS (SELECT s, '{SCHEMA}gender' AS p, lower(gender) AS o FROM rows_ WHERE gender <> '' UNION ALL SELECT s, '{PROP}raceLabel', race FROM rows_ WHERE race <> '' UNION ALL SELECT s, '{PROP}hairColor', hair FROM rows_ WHERE hair <> ''
     UNION ALL SELECT s, '{PROP}height', height FROM rows_ WHERE height <> '' UNION ALL SELECT s, '{PROP}realm', realm FROM rows_ WHERE realm <> ''),
   fresh AS (SELECT * FROM offered o WHERE o.p NOT IN ('{SCHEMA}gender', '{PROP}raceLabel') OR NOT EXISTS (SELECT 1 FROM graph g WHERE g.s = o.s AND g.p = o.p))"""
+_ROWS = f"{_WHO}, {_SHEET}"
 query("n07_enrich_csv", f", {_ROWS} SELECT s, p, o, 'literal' AS o_kind, {_NULLS} FROM fresh", ("graph", "csv"))(lambda s, d: enrich.enrich_csv(graph(s, d), rel(s, d, "csv")))
 query("n08_csv_stats", f", {_ROWS} SELECT (SELECT count(*) FROM {_CHARACTERS}) AS checked, (SELECT count(DISTINCT s) FROM rows_) AS enriched, (SELECT count(*) FROM fresh) AS triples", ("graph", "csv"))(lambda s, d: enrich.csv_stats(graph(s, d), rel(s, d, "csv")))
 _TOP1 = "top1 AS (SELECT query, lang, title FROM titles WHERE lang IN ('fr', 'de', 'es') QUALIFY row_number() OVER (PARTITION BY query, lang ORDER BY rank, title) = 1)"
 _MANY = f"""{_TOP1}, ents AS (SELECT t.s, min(l.o) AS name, min(CASE t.o WHEN '{ONT}Character' THEN 0 WHEN '{ONT}Location' THEN 1 ELSE 2 END) AS kind FROM graph t JOIN graph l ON l.s = t.s AND l.p = '{LABEL}' AND coalesce(l.o_lang, 'en') = 'en'
-    WHERE t.p = '{TYPE}' AND t.o IN ('{ONT}Character', '{ONT}Location', '{ONT}Artifact') GROUP BY t.s, t.o ORDER BY kind, t.s LIMIT 100),
+    WHERE t.p = '{TYPE}' AND t.o IN ('{ONT}Character', '{ONT}Location', '{ONT}Artifact') GROUP BY t.s, t.o),
   wanted AS (SELECT e.s, e.name, g.lang, p.title, coalesce(p.title <> e.name, false) AS added FROM ents e CROSS JOIN (VALUES ('fr'), ('de'), ('es')) g(lang) LEFT JOIN top1 p ON p.query = e.name AND p.lang = g.lang WHERE NOT EXISTS (SELECT 1 FROM graph h WHERE h.s = e.s AND h.p = '{LABEL}' AND h.o_lang = g.lang))"""
 GT = ("graph", "titles")
 query(
@@ -545,18 +553,50 @@ query(
 )(lambda s, d: enrich.enrich_multilingual(graph(s, d), rel(s, d, "titles")))
 query("n10_multilingual_stats", f", {_MANY} SELECT count(DISTINCT s) AS checked, count(*) FILTER (WHERE added) AS labels_added, count(DISTINCT s) FILTER (WHERE added) AS entities_enriched FROM wanted", GT)(lambda s, d: enrich.multilingual_stats(graph(s, d), rel(s, d, "titles")))
 query("n11_top1_title", f", {_TOP1} SELECT * FROM top1", ("titles",))(lambda s, d: enrich.top1_title(rel(s, d, "titles"), ("fr", "de", "es")))
-query("n12_enrich_all", f", {_ROWS} SELECT * FROM graph UNION SELECT s, p, o, 'literal', NULL, NULL FROM fresh", ("graph", "csv"))(lambda s, d: enrich.enrich_all(graph(s, d), table=rel(s, d, "csv")))
+query(
+    "n12_enrich_all",
+    f""", {_LINKED}, {_FACTS}, {_SHEET}, {_MANY} SELECT * FROM graph UNION SELECT * FROM facts UNION SELECT s, p, o, 'literal', NULL, NULL FROM fresh
+    UNION SELECT s, '{LABEL}', title, 'literal', NULL, lang FROM wanted WHERE added UNION SELECT s, '{SEE_ALSO}', '{NS.foreign_wiki}' || lang || '/wiki/' || replace(title, ' ', '_'), 'iri', NULL, NULL FROM wanted WHERE added""",
+    ("graph", "cards", "csv", "titles"),
+)(lambda s, d: enrich.enrich_all(graph(s, d), rel(s, d, "cards"), rel(s, d, "csv"), rel(s, d, "titles")))
 
 # --- sources, sinks, vocabulary ---------------------------------------------------------------
 
-query("s01_read_pages", f"SELECT title, wikitext FROM wiki", ("wiki",))(lambda s, d: rel(s, d, "wiki").select("title", "wikitext"))
+
+
+def _reread(s: SparkSession, df: DataFrame, name: str, fmt: str, read):
+    """``read`` over a copy of ``df`` that Spark has just written."""
+    path = scratch(s, name)
+    (df.write.option("header", True) if fmt == "csv" else df.write).format(fmt).save(path)
+    return read(s, path)
+
+
+query("s01_read_pages", "SELECT title, wikitext FROM wiki", ("wiki",))(lambda s, d: _reread(s, rel(s, d, "wiki"), "pages", "json", lambda s, path: readers.read_pages(s, path, "json")))
+query("s05_read_character_csv", "SELECT name, gender, nullif(race, '') AS race, hair, height, realm FROM csv WHERE name <> ''", ("csv",))(
+    lambda s, d: _reread(s, rel(s, d, "csv").drop("pos"), "csv", "csv", readers.read_character_csv).drop("pos")
+)
+
+
+def _card_texts(s: SparkSession, d: str) -> DataFrame:
+    """One card file per customer."""
+    return table(s, d, "customer").select(F.expr("'{\"set' || c_nationkey || '\": {\"cards\": {\"c' || c_custkey || '\": {\"id\": \"' || c_custkey || '\", \"name\": {\"en\": \"' || c_name || '\"}, \"type\": \"' || c_mktsegment || '\", \"attributes\": {\"prowess\": ' || c_custkey % 10 || '}}}}}'").alias("value"))
+
+
+def _cached_cards(s: SparkSession, d: str) -> DataFrame:
+    """The cards of one file that holds all sets, kept at the first call and read from there at the second."""
+    cards = table(s, d, "customer").groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"))))).alias("cards"))
+    files = cards.select(F.to_json(F.map_from_arrays(F.array(F.concat(F.lit("set"), F.col("c_nationkey").cast("string"))), F.array(F.struct("cards")))).alias("value"))
+    source, kept = scratch(s, "cards"), scratch(s, "kept-cards")
+    files.write.option("maxRecordsPerFile", 1).text(source)  # a file for each set
+    readers.cached_cards(s, source, kept)
+    return readers.cached_cards(s, source, kept).select("card_id", "name_en", "card_type")
+
+
 query(
     "s04_cards_from_json",
     "SELECT CAST(c_custkey AS VARCHAR) AS card_id, c_name AS name_en, c_mktsegment AS card_type, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CAST(c_custkey % 10 AS VARCHAR) END AS prowess FROM customer",
 )(
-    lambda s, d: readers.cards_from_json(
-        table(s, d, "customer").select(F.expr("'{\"set' || c_nationkey || '\": {\"cards\": {\"c' || c_custkey || '\": {\"id\": \"' || c_custkey || '\", \"name\": {\"en\": \"' || c_name || '\"}, \"type\": \"' || c_mktsegment || '\", \"attributes\": {\"prowess\": ' || c_custkey % 10 || '}}}}}'").alias("value"))
-    ).select("card_id", "name_en", "card_type", "prowess")
+    lambda s, d: readers.cards_from_json(_card_texts(s, d)).select("card_id", "name_en", "card_type", "prowess")
 )
 query("s06_ntriples_round_trip", "SELECT * FROM graph", G)(lambda s, d: readers.parse_ntriples(writers.to_ntriples(graph(s, d)), "line"))
 query("s07_page_links", """SELECT title, (i - 1)::INTEGER AS pos, u[i] AS url FROM (SELECT url AS title, regexp_extract_all(html || '<a href="' || url || '">', 'href="(https?://[^"]*)"', 1) AS u FROM pages) , range(1, len(u) + 1) r(i)""")(
@@ -566,5 +606,39 @@ _ESC = "replace(replace(replace(replace(replace(o, chr(92), chr(92) || chr(92)),
 _TERM = f"CASE WHEN o_kind = 'iri' THEN '<' || o || '>' ELSE '\"' || {_ESC} || '\"' || CASE WHEN o_lang IS NOT NULL THEN '@' || o_lang WHEN o_dt IS NOT NULL THEN '^^<' || o_dt || '>' ELSE '' END END"
 query("w02_to_ntriples", f"SELECT '<' || s || '> <' || p || '> ' || {_TERM} || ' .' AS line FROM graph", G)(lambda s, d: writers.to_ntriples(graph(s, d)))
 query("w03_to_turtle", f"SELECT s, '<' || s || '> ' || array_to_string(list_sort(list(CASE WHEN p = '{TYPE}' THEN 'a' ELSE '<' || p || '>' END || ' ' || {_TERM})), ' ;' || chr(10) || '    ') || ' .' AS block FROM graph GROUP BY s", G)(lambda s, d: writers.to_turtle(graph(s, d)))
-query("w04_to_jsonld")(lambda s, d: writers.to_jsonld(graph(s, d)))
-query("w05_to_rdfxml")(lambda s, d: writers.to_rdfxml(graph(s, d)))
+_VALUE = """CASE WHEN o_kind = 'iri' THEN '{"@id":' || to_json(o) || '}' ELSE '{"@value":' || to_json(o) || CASE WHEN o_lang IS NOT NULL THEN ',"@language":' || to_json(o_lang) WHEN o_dt IS NOT NULL THEN ',"@type":' || to_json(o_dt) ELSE '' END || '}' END"""
+query(
+    "w04_to_jsonld",
+    f"""SELECT s, '{{"@id":"' || s || '",' || array_to_string(list_sort(list('"' || p || '":[' || v || ']')), ',') || '}}' AS node FROM (SELECT s, p, array_to_string(list_sort(list({_VALUE})), ',') AS v FROM graph GROUP BY s, p) GROUP BY s""",
+    G,
+)(lambda s, d: writers.to_jsonld(graph(s, d)))
+_XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_TAG = f"'<p:' || regexp_extract(p, '([^/#]*)$', 1) || ' xmlns:p=\"' || {_XML.format("regexp_replace(p, '[^/#]*$', '')")} || '\"'"
+_ELEMENT = f"""CASE WHEN o_kind = 'iri' THEN {_TAG} || ' rdf:resource="' || {_XML.format('o')} || '"/>' ELSE {_TAG} || CASE WHEN o_lang IS NOT NULL THEN ' xml:lang="' || o_lang || '"' WHEN o_dt IS NOT NULL THEN ' rdf:datatype="' || o_dt || '"' ELSE '' END || '>' || {_XML.format('o')} || '</p:' || regexp_extract(p, '([^/#]*)$', 1) || '>' END"""
+query("w05_to_rdfxml", f"""SELECT s, '<rdf:Description rdf:about="' || {_XML.format('s')} || '">' || array_to_string(list_sort(list({_ELEMENT})), '') || '</rdf:Description>' AS element FROM graph GROUP BY s""", G)(lambda s, d: writers.to_rdfxml(graph(s, d)))
+
+
+def _added_to_saved(s: SparkSession, d: str) -> DataFrame:
+    """The external graph saved, then the graph added to it as a set at a new path, and read back."""
+    one, two = scratch(s, "graph"), scratch(s, "graph")
+    writers.write_graph(rel(s, d, "external"), one)
+    writers.write_graph(graph(s, d).unionByName(rel(s, d, "external")), two, before=readers.read_graph(s, one))
+    return readers.read_graph(s, two)
+
+
+def _exported(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "export")
+    writers.export_graph(graph(s, d), path, "nt")
+    return readers.read_ntriples(s, path)
+
+
+query("w01_write_graph", "SELECT * FROM graph UNION SELECT * FROM external", ("graph", "external"))(_added_to_saved)
+query("w06_export_graph", "SELECT * FROM graph", G)(_exported)
+query("w08_cache_cards", "SELECT CAST(c_custkey AS VARCHAR) AS card_id, c_name AS name_en, c_mktsegment AS card_type FROM customer")(_cached_cards)
+_DECLARED = "declared(cls) AS (VALUES " + ", ".join(f"('{ONT}{c[0]}')" for c in ontology.CLASSES) + ")"
+query("o01_ontology_use", f", {_DECLARED} SELECT cls, count(DISTINCT s) AS n FROM declared LEFT JOIN graph ON p = '{TYPE}' AND o = cls GROUP BY cls", G)(
+    lambda s, d: match(ontology.ontology_triples(s), p=TYPE, o=model.OWL + "Class").select(F.col("s").alias("cls")).join(edges(graph(s, d), TYPE, o="cls"), "cls", "left").groupBy("cls").agg(F.count_distinct("s").alias("n"))
+)
+query("o02_shape_targets", f", {_SHAPES} SELECT target AS target_class, path, con AS \"constraint\", value, count(DISTINCT s) AS n FROM shapes LEFT JOIN graph ON p = '{TYPE}' AND o = target GROUP BY 1, 2, 3, 4", G)(
+    lambda s, d: ontology.shape_table(s).join(edges(graph(s, d), TYPE, o="target_class"), "target_class", "left").groupBy("target_class", "path", "constraint", "value").agg(F.count_distinct("s").alias("n"))
+)

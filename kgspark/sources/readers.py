@@ -75,7 +75,8 @@ def read_character_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
     """Triples of N-Triples lines; comments and blank lines are left out."""
-    term = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
+    # Quotes within a literal are escaped, so the last one ends it; a greedy run takes no stack, however long a literal is.
+    term = r'(?s)^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"(.*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
     part = lambda i: F.regexp_extract(column, term, i)
     some = lambda c: F.when(c != "", c)
     is_iri = F.col(column).rlike(r"^\s*<[^>]*>\s+<[^>]*>\s+<")
@@ -95,6 +96,12 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_ntriples(spark.read.text(path)).select(*TRIPLE_COLUMNS)
 
 
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    """A graph that ``write_graph`` saved; a filter on the predicate reads its folders alone."""
+    saved = spark.read.schema("s string, o string, o_kind string, o_dt string, o_lang string, pred string").parquet(path)
+    return saved.withColumnRenamed("pred", "p").select(*TRIPLE_COLUMNS)
+
+
 def page_links(pages: DataFrame, column: str = "html") -> DataFrame:
     """(title, pos, url): external addresses in links of pages."""
     urls = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r'href="(https?://[^"]*)"'), 1)

@@ -5,22 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.model import FOAF, NS, OWL, RDF, RDFS, SCHEMA, TRIPLE_COLUMNS, TYPE, XSD, Namespaces
+from kgspark.operators.ontology import ontology_triples, shape_triples
 
 
-def write_graph(graph: DataFrame, path: str, before: DataFrame | None = None, spread: int = 1) -> None:
+def write_graph(graph: DataFrame, path: str, before: DataFrame | None = None, unique: bool = False) -> None:
     """Save as Parquet, a folder per predicate; ``before``: a saved graph to add to, as a set, at a new path.
 
-    Type triples make up much of a graph, so each predicate goes to ``spread`` files by subject.
+    Rows are dealt by predicate and rebalanced, so Spark splits those of a frequent predicate, as
+    type is, and small ones share a task. ``unique``: the triples are known to be a set.
     """
     out = graph.select(*TRIPLE_COLUMNS)
     if before is not None:
-        out = before.select(*TRIPLE_COLUMNS).unionByName(out)
-    salt = F.pmod(F.xxhash64("s"), F.lit(spread))
-    out.dropDuplicates().repartition("p", salt).withColumn("pred", F.col("p")).write.mode("overwrite").partitionBy("pred").parquet(path)
+        out, unique = before.select(*TRIPLE_COLUMNS).unionByName(out), False
+    out = out if unique else out.dropDuplicates()
+    out.withColumnRenamed("p", "pred").hint("rebalance", "pred").write.mode("overwrite").partitionBy("pred").parquet(path)
 
 
 def escape(c: Column) -> Column:
@@ -95,6 +97,16 @@ def wrapped(lines: DataFrame, head: str, tail: str) -> DataFrame:
     return lines.toDF("value").mapInPandas(run, "value string")
 
 
+def write_ontology(spark: SparkSession, path: str, fmt: str = "turtle", ns: Namespaces = NS) -> None:
+    """The vocabulary as text files."""
+    export_graph(ontology_triples(spark, ns), path, fmt)
+
+
+def write_shapes(spark: SparkSession, path: str, fmt: str = "turtle", ns: Namespaces = NS) -> None:
+    """The basic shapes as text files."""
+    export_graph(shape_triples(spark, ns), path, fmt)
+
+
 def export_graph(graph: DataFrame, path: str, fmt: str) -> None:
     """The whole graph as text files: nt, turtle, jsonld (a node per line) or xml."""
     if fmt == "nt":

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ def test_closure_on_a_cycle(spark):
     g = triples_of(spark, [(s, SUBCLASS, o, "iri") for s, o in edges])
     closure = infer.subclass_closure(g)
     assert closure.count() == 9
+    chain = triples_of(spark, [(f"c{i}", SUBCLASS, f"c{i + 1}", "iri") for i in range(120)])
+    assert infer.subclass_closure(chain).count() == 121 * 122 // 2
     types = spark.createDataFrame([("x", "d"), ("y", "a")], "entity string, type string")
     assert {(r.entity, r["class"]) for r in infer.with_ancestors(types, closure).collect()} == {("x", "d"), ("y", "a"), ("y", "b"), ("y", "c")}
 
@@ -85,6 +88,30 @@ def test_fuzzy_equals_brute_force(spark):
         assert found == wanted
 
 
+def test_fuzzy_equals_brute_force_at_random(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abc01") for _ in range(rng.randrange(1, 24))) for _ in range(60)] + ["template 0000" + str(i) for i in range(0, 400, 7)]
+    deck = [n for n in names[::3]]
+    for n in names[::2]:
+        n = list(n)
+        for _ in range(rng.randrange(0, 3)):
+            n.insert(rng.randrange(len(n) + 1), rng.choice("abc01"))
+        if rng.random() < 0.5:
+            n.pop(rng.randrange(len(n)))
+        deck.append("".join(n))
+    cards = spark.createDataFrame(list(enumerate(deck)), "pos long, name_en string")
+    for threshold in (0.7, 0.9):
+        found = {r.name: (r.pos, round(r.score, 9)) for r in enrich.match_fuzzy(spark.createDataFrame([(n,) for n in names], "name string"), cards, threshold).collect()}
+        wanted = {}
+        for n in names:
+            score, pos = max((SequenceMatcher(None, n, c).ratio(), -i) for i, c in enumerate(deck) if c)
+            if score >= threshold:
+                wanted[n] = (-pos, round(score, 9))
+        assert found == wanted
+
+
 def test_csv_and_languages(spark):
     g = merge(people(spark, "Frodo Baggins"), triples_of(spark, [(NS.res + "Frodo_Baggins", SCHEMA + "gender", "male", "literal"), (NS.res + "Frodo_Baggins", NS.prop + "raceLabel", "Hobbit", "literal")]))
     sheet = spark.createDataFrame([(0, "Frodo Baggins", "Male", "Hobbit", "Brown", "1.06m", "The Shire")], "pos long, name string, gender string, race string, hair string, height string, realm string")
@@ -99,8 +126,13 @@ def test_round_trips(spark, tmp_path):
     writers.export_graph(g, str(tmp_path / "nt"), "nt")
     assert set(readers.read_ntriples(spark, str(tmp_path / "nt")).collect()) == set(g.collect())
     writers.write_graph(g, str(tmp_path / "one"))
-    writers.write_graph(g.limit(1), str(tmp_path / "two"), before=spark.read.parquet(str(tmp_path / "one")))
-    assert set(spark.read.parquet(str(tmp_path / "two")).select(*TRIPLE_COLUMNS).collect()) == set(g.collect())
+    writers.write_graph(g.limit(1), str(tmp_path / "two"), before=readers.read_graph(spark, str(tmp_path / "one")))
+    assert set(readers.read_graph(spark, str(tmp_path / "two")).collect()) == set(g.collect())
+    typed = readers.read_graph(spark, str(tmp_path / "two")).filter(F.col("p") == TYPE)
+    assert typed.count() == 1 and "PartitionFilters: [isnotnull(pred" in typed._jdf.queryExecution().toString()
+    writers.write_ontology(spark, str(tmp_path / "ontology"), "nt")
+    writers.write_shapes(spark, str(tmp_path / "shapes"), "nt")
+    assert readers.read_ntriples(spark, str(tmp_path / "ontology")).count() == 65 and readers.read_ntriples(spark, str(tmp_path / "shapes")).count() == 24
     for fmt in ("turtle", "jsonld", "xml"):
         writers.export_graph(g.coalesce(1), str(tmp_path / fmt), fmt)
     for node in spark.read.text(str(tmp_path / "jsonld")).collect():
