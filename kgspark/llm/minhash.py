@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import checkpointed, mix64, slices_by_bytes, text_or_empty, utf8_of
+from kgspark.llm.common import discard, mix64, slices_by_bytes, stored, text_or_empty, utf8_of
 from kgspark.llm.components import connected_components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -113,6 +113,38 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in parts)
 
 
+def _alike(sketches: np.ndarray, side: np.ndarray, both: bool, least_equal: int) -> list[tuple[int, int]]:
+    """Pairs of a bucket whose sketches agree in ``least_equal`` places, as a forest that connects what all such pairs connect.
+
+    A member is first held against the first member of each tree, then against those that are not
+    yet in its tree, so a bucket of near copies costs little more than one comparison each.
+    With ``both``, only pairs from different blocks (``side``) are compared.
+    """
+    tree, links = np.arange(len(sketches)), []
+    for i in range(1, len(sketches)):
+        for heads in (True, False):
+            others = tree[:i] != tree[i]
+            if heads:
+                others &= tree[:i] == np.arange(i)
+            if both:
+                others &= side[:i] != side[i]
+            others = np.flatnonzero(others)
+            near = others[(sketches[others] == sketches[i]).sum(axis=1) >= least_equal]
+            for j in near[np.unique(tree[near], return_index=True)[1]].tolist():
+                one, two = sorted((tree[i], tree[j]))
+                tree[: i + 1][tree[: i + 1] == two] = one
+                links.append((i, j))
+    return links
+
+
+def _common(one: np.ndarray, two: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    return int((two[at] == one).sum())
+
+
 def _confirm(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, both: bool, percent: int, least_equal: int) -> list[tuple[int, int]]:
     """Links that connect all members which true links connect: most alike first, each pair not yet connected is compared on full sets.
 
@@ -141,18 +173,36 @@ def _confirm(sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray, bot
         return i
 
     ranked = np.concatenate(pairs)
-    members: dict[int, set] = {}
     links = []
     for _, i, j in ranked[np.argsort(-ranked[:, 0], kind="stable")].tolist():
         if (a := root(i)) != (b := root(j)):
-            one, two = (members.get(x) or members.setdefault(x, set(sets[x].tolist())) for x in (i, j))
-            common = len(one & two)
-            if 100 * common >= percent * (len(one) + len(two) - common):
+            common = _common(sets[i], sets[j])
+            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
                 parent[a] = b
                 links.append((i, j))
     return links
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], n_keys: int, links) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each run of rows that agree in their first ``n_keys`` columns; the rest of a row goes to ``links``."""
+    key, held = None, {}
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n_keys] != key:
+                if len(held) > 1:
+                    out += links(key, held)
+                key, held = row[:n_keys], {}
+            held[row[n_keys]] = row[n_keys + 1 :]
+        yield _pairs(out)
+    if len(held) > 1:
+        yield _pairs(links(key, held))
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 80,
@@ -172,19 +222,23 @@ def near_duplicates(
        signature cut into bands and a sketch of one byte for each coordinate. Bands are so chosen
        that a pair at the threshold shares none with a chance below 1e-6.
     2. Documents of one fingerprint are one class; the class is represented by its smallest id.
-    3. Representatives that share a band are tied to the least of them (a star, not all pairs), and
-       the components of these ties are groups of candidates: a superset of the true ones.
-    4. Each group is compared inside tasks: pairs whose sketches are within five standard
-       deviations of the threshold, most alike first, are confirmed on full sets unless already
-       connected. Only links of a spanning forest leave a task. A group of over ``block`` members
-       or ``block_shingles`` shingles is dealt out as pairs of blocks, so all its pairs are met
-       while no task holds more than two blocks.
+    3. Representatives that share a band meet in its bucket. Pairs of a bucket whose sketches are
+       not more than five standard deviations below the threshold are ties; a task emits a
+       spanning forest of them. The components of ties are groups of candidates, so texts that
+       share a band by chance, or a template of middling similarity, don't grow into one group.
+    4. Each group is compared inside tasks: such pairs, most alike first, are confirmed on full
+       sets unless already connected, and again only a spanning forest leaves a task. A bucket of
+       over ``block`` members, or a group of over ``block`` members or ``block_shingles``
+       shingles, is dealt out as pairs of blocks, so all its pairs are met while no task holds
+       more than two blocks.
     5. The components of confirmed links are the result.
 
     Returns one row per input row: id, n_shingles, component_id (smallest id reachable), kept
-    (the id is its component's). Null text counts as empty; a null id forms no links by itself
-    and keeps a null component unless its text is copied by a row with an id; repeated rows share
-    a class; an empty table gives an empty result; other columns are ignored.
+    (the id is its component's). Ids are integers. Null text counts as empty; a null id forms no
+    links by itself and keeps a null component unless its text is copied by a row with an id;
+    repeated rows share a class; an empty table gives an empty result; other columns, whatever
+    their names, are ignored. A text is held whole by the task that reads it, with about 40 bytes
+    for each of its own.
     """
     threshold = percent / 100
     n_bands, n_rows = bands_for(threshold, coordinates)
@@ -214,21 +268,35 @@ def near_duplicates(
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = checkpointed(texts.mapInArrow(sign, "id long, n long, d1 long, d2 long, bands array<long>, sketch binary"))
+    rows = stored(texts.mapInArrow(sign, "id long, n long, d1 long, d2 long, bands array<long>, sketch binary"))
 
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "n", "bands", "sketch")
-    classes = checkpointed(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min(first).alias("m")).select("d1", "d2", F.col("m.id").alias("rep"), "m.n", "m.bands", "m.sketch"))
+    classes = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min(first).alias("m")).select("d1", "d2", F.col("m.id").alias("rep"), "m.n", "m.bands", "m.sketch"))
     reps = classes.filter("rep IS NOT NULL")
 
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("band", "hub")
-    ties = banded.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    shared = stored(banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"))
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    buckets = banded.join(shared, "band").select("band", "rep", blocks.alias("blocks")).join(reps.select("rep", "sketch"), "rep")
+    buckets = buckets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = buckets.select("*", others).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "own", "sketch")
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(key: tuple, held: dict) -> list[tuple[int, int]]:
+            ids = sorted(held, key=lambda x: (held[x][0], x))
+            sketches = np.frombuffer(b"".join(held[x][1] for x in ids), np.uint8).reshape(len(ids), coordinates)
+            return [(ids[i], ids[j]) for i, j in _alike(sketches, np.array([held[x][0] for x in ids]), key[1] != key[2], least_equal)]
+
+        return _by_group(batches, 3, links)
+
+    ties = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(tie, "a long, b long")
     groups = connected_components(ties).withColumnRenamed("component", "grp")
 
     shape = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("grp").agg(
         F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
     )
-    members = checkpointed(
+    members = stored(
         groups.join(shape, "grp")
         .join(reps.select(F.col("rep").alias("node"), "d1", "d2", "sketch"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -246,37 +314,23 @@ def near_duplicates(
 
     with_text = members.join(texts, F.col("node") == F.col("id")).select("text", "d1", "d2", "node", "grp", "blocks", "own", "sketch")
     sets = with_text.mapInArrow(full_sets, "node long, grp long, blocks int, own int, sketch binary, shingles binary")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("*", others).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "sketch", "shingles")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
-
-        def links() -> tuple[list, list]:
+        def links(key: tuple, held: dict) -> list[tuple[int, int]]:
             ids = list(held)
             sketches = np.frombuffer(b"".join(held[x][1] for x in ids), np.uint8).reshape(len(ids), coordinates)
             found = _confirm([np.frombuffer(held[x][2], np.uint64) for x in ids], sketches, np.array([held[x][0] for x in ids]), key[1] != key[2], percent, least_equal)
-            return [ids[i] for i, _ in found], [ids[j] for _, j in found]
+            return [(ids[i], ids[j]) for i, j in found]
 
-        for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for grp, i, j, own, node, sketch, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (grp, i, j) != key:
-                    if len(held) > 1:
-                        for side, more in zip(out, links(), strict=True):
-                            side.extend(more)
-                    key, held = (grp, i, j), {}
-                held[node] = (own, sketch, shingles)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links()], ["a", "b"])
-
-    met = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    links = checkpointed(met.mapInArrow(confirm, "a long, b long"))
-    found = connected_components(links)
+        return _by_group(batches, 3, links)
 
+    dealt = dealt.select("grp", "i", "j", "node", "own", "sketch", "shingles").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    links = stored(dealt.mapInArrow(confirm, "a long, b long"))
+    found = connected_components(links)
     named = classes.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    named = checkpointed(named)
+    named = stored(named)
+    discard(classes, shared, members, links)
     return (
         rows.select("id", "n", "d1", "d2")
         .join(named, ["d1", "d2"], "left")
