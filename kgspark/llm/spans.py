@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import checkpointed, stored, text_or_empty
+from kgspark.llm.common import checkpointed, discard, stored, text_or_empty
 
 _BREAK = re.compile(r"[.!?]+[\x20\x09-\x0D]+|[\n\r]+|[\x20\x09-\x0D](?=[A-ZÀ-ÖØ-Þ])")
 
@@ -60,13 +60,18 @@ def remove_repeated_spans(docs: DataFrame, several: int = 2, words: int = 12, al
     repeated within a document are settled in its own task, so each document sends a hash once.
     Partial counts keep a common run cheap, and Spark splits its partition in the join back.
 
-    Null text stays null, without sentences; a null id comes last; rows that share an id count as
-    one document among others; an empty table gives no rows; input columns called n_sentences
-    or n_removed are replaced. A document whose text is wholly removed stays as an empty text.
+    Ids may have any type with an order; a null id comes last. Documents of one id, or of none, that
+    differ in text are documents each, in the order of a hash of their texts; rows that agree in
+    id and text count as one document and are treated alike. Null text stays null, without
+    sentences; an empty text has none; a very long text is split by the task that reads it, with a
+    row for each run. An empty table gives no rows; input columns called n_sentences or n_removed
+    are replaced, others keep their names and values. A document whose text is wholly removed
+    stays as an empty text.
     """
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc")
+    order = F.col(id_col).alias("doc")
     print_ = F.xxhash64(text_or_empty(text_col)).alias("print")
+    place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "print")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,11 +92,13 @@ def remove_repeated_spans(docs: DataFrame, several: int = 2, words: int = 12, al
                 ["doc", "print", "first", "past", "again", "h1", "h2"],
             )
 
-    spans = docs.select(order, print_, text_or_empty(text_col)).mapInArrow(hashed, "doc long, print long, first int, past int, again boolean, h1 long, h2 long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    spans = docs.select(order, print_, text_or_empty(text_col)).mapInArrow(hashed, f"doc {kind}, print long, first int, past int, again boolean, h1 long, h2 long")
     spans = stored(spans)
-    repeated = spans.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min("doc").alias("home")).filter("places > 1").drop("places")
-    elsewhere = spans.join(checkpointed(repeated), ["h1", "h2"]).filter("doc > home OR again")
+    repeated = stored(spans.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min(place).alias("home")).filter("places > 1").drop("places"))
+    elsewhere = spans.join(repeated, ["h1", "h2"]).filter(F.col("again") | (place > F.col("home")))
     gone = checkpointed(elsewhere.groupBy("doc", "print").agg(F.collect_set(F.struct("first", "past")).alias("gone")))
+    discard(spans, repeated)
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,6 +119,7 @@ def remove_repeated_spans(docs: DataFrame, several: int = 2, words: int = 12, al
     others = [c for c in names if c != text_col]
     keyed = docs.select(order, print_, *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).alias("text"))
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
-    joined = keyed.join(gone, ["doc", "print"], "left").select("text", "gone", *[f"c{i}" for i in range(len(others))])
+    same = keyed["doc"].eqNullSafe(gone["doc"]) & (keyed["print"] == gone["print"])
+    joined = keyed.join(gone, same, "left").select("text", "gone", *[f"c{i}" for i in range(len(others))])
     done = joined.mapInArrow(rebuilt, "kept_text string, n_sentences long, n_removed long" + (f", {kinds}" if kinds else ""))
     return done.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"c{others.index(c)}").alias(c) for c in names], "n_sentences", "n_removed")
