@@ -104,10 +104,18 @@ def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
     ours, theirs = ByteLevelEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
-    for text in ("", "  a  b", " x", "x ", "a\n b", "don't I'll we've'S", "　a 　b", "<|endoftext|> hi", "é\x1c x \x85 y", "tab\t x\r\n\r\n  y", "日本語 텍스트 12³ ½", "a" * 5000):
+    for text in ("", "  a  b", " x", "x ", "a\n b", "don't I'll we've'S", "　a 　b", "<|endoftext|> hi", "é\x1c x \x85 y", "tab\t x\r\n\r\n  y", "日本語 텍스트 12³ ½", "a" * 5000, "x<|endoftext|> <|endoftext|><|endoftext", "a" + " " * 4000 + "x", "a" + " \n" * 4000 + "\n7", "\t" * 3000 + "<|endoftext|>" + " " * 3000, "\u3000" * 2500 + "y" + "\x1c" * 2000 + "z"):
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_takes_very_long_runs():
+    ours = ByteLevelEncoder(tokenizer_path())
+    for run in (" ", "\n", " \t", "x", "7", "!", "é"):
+        text = "a " + run * (3_000_000 // len(run)) + "x"
+        ids = np.frombuffer(ours.encode(text), "<u4").tolist()
+        assert ours.bpe.decode_bytes(ids).decode() == text
+
+
 @pytest.mark.parametrize("buffered", [500, 1 << 20])
 def test_packing_round_trip(spark, corpus, empty, buffered):
     unique = {r[0]: r for r in corpus}
@@ -152,6 +160,32 @@ def test_repeated_spans(docs, corpus, empty, spark):
     assert remove_repeated_spans(docs).count() == len(corpus) and remove_repeated_spans(empty).count() == 0
 
 
+def test_repeated_spans_against_brute_force(spark, corpus):
+    """All runs of all documents in one dictionary; the first place by (id, nulls last, text hash) stays."""
+    rng = random.Random(12)
+    pool = [prose(rng, rng.randrange(1, 30)).capitalize() + rng.choice([". ", "! ", "\n"]) for _ in range(60)]
+    rows = [(i if i % 9 else None, "".join(rng.choice(pool) for _ in range(rng.randrange(0, 14)))) for i in range(120)] + [(5, pool[3] + pool[4] + pool[5]), (5, pool[3] + pool[4] + pool[6]), (7, None), (None, None)]
+    rows += [(r[0], r[1]) for r in corpus]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"doc": F.lit(1), "gone": F.lit("g"), "n_removed": F.lit("old")}).repartition(4)
+    print_ = {r.text: r.p for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("p")).collect()}
+    place = lambda i, t: (i is None, i or 0, print_[t])
+    first = {}
+    for i, t in rows:
+        for a, b, digest in runs(sentences(t or ""), 2, 12, 25):
+            first[digest] = min(first.get(digest, (True, 1 << 62, 0)), place(i, t))
+    wanted = []
+    for i, t in rows:
+        parts, gone, seen = sentences(t or ""), set(), set()
+        for a, b, digest in runs(parts, 2, 12, 25):
+            if digest in seen or place(i, t) > first[digest]:
+                gone |= set(range(a, b))
+            seen.add(digest)
+        wanted.append(str((i, t if t is None else "".join(p for k, p in enumerate(parts) if k not in gone), len(parts), len(gone))))
+    out = remove_repeated_spans(docs)
+    assert out.columns == ["doc_id", "text", "doc", "gone", "n_sentences", "n_removed"]
+    assert sorted(str((r.doc_id, r.text, r.n_sentences, r.n_removed)) for r in out.collect()) == sorted(wanted)
+
+
 def test_whole_repeated_passages_go(spark):
     rng = random.Random(8)
     for sizes in ([30, 22], [22, 30], [30, 5], [4, 9, 3], [9, 2, 3], [40, 3, 30, 2], [1, 1, 30, 1, 1]):
@@ -191,7 +225,7 @@ def brute_bytes(texts, length):
         yield len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g)
 
 
-@pytest.mark.parametrize("members", [1, 16_384])
+@pytest.mark.parametrize("members", [1, 6, 16_384])
 def test_repeated_bytes(spark, docs, corpus, empty, members):
     wanted = sorted(map(str, brute_bytes([r[1] for r in corpus], 80)))
     rows = remove_repeated_bytes(docs, length=80, gram=32, most_members=members).collect()
@@ -226,6 +260,19 @@ def test_top_k(spark):
     assert top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = random.Random(4)
+    vectors = [(i, [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.choice([0, 3, 5]) for _ in range(4)]) for i in range(300)] + [(400, [1e300] * 4), (401, [-1e300] * 4), (402, [1.7e308] * 4)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("id", F.lit("x")).withColumn("shard", F.lit(None))
+    good = {i: [int(np.floor(x * 1024)) for x in v] for i, v in vectors if i != 402}
+    wanted = set()
+    for q in [i for i in good if i % 100 == 0]:
+        scores = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(good[q], v)))) for i, v in good.items() if i != q}
+        wanted |= {(q, k, i, scores[i]) for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:10], 1)}
+    for shard in (37, 10_000):
+        assert {tuple(r) for r in top_k(table, shard_rows=shard).collect()} == wanted
+
+
 def test_near_duplicates(docs, corpus, empty):
     def shingles(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
