@@ -57,16 +57,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that ten or more sources share."""
+    """All documents without the lines that ten or more sources share; a null text counts as one empty line."""
     kept = remove_shared_lines(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return kept.select("doc_id", F.greatest("n_lines", F.lit(1)).alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, text, source, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
-  FROM (SELECT doc_id, coalesce(text, '') AS text, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+WITH numbered AS (
+  SELECT *, row_number() OVER () AS row_key FROM documents
+), lines AS (
+  SELECT row_key, doc_id, source, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+  FROM (SELECT row_key, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM numbered)
 ), shared AS (
   SELECT bare FROM lines WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 10
 ), marked AS (
@@ -74,7 +76,7 @@ WITH lines AS (
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id, text
+FROM marked GROUP BY row_key, doc_id
 """
 
 

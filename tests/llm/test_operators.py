@@ -16,7 +16,7 @@ from kgspark.llm.minhash import bands_for, near_duplicates
 from kgspark.llm.mixing import mix_sources
 from kgspark.llm.packing import ByteLevelEncoder, pack_documents
 from kgspark.llm.quality import fit_quality, score_quality
-from kgspark.llm.queries import tokenizer_path
+from kgspark.llm.queries import ORACLE_SQL, op4_line_dedup, tokenizer_path
 from kgspark.llm.spans import remove_repeated_spans, runs, sentences
 from kgspark.llm.suffixes import Suffixes, remove_repeated_bytes
 from kgspark.llm.topk import top_k
@@ -147,6 +147,18 @@ def test_shared_lines(spark, empty):
     assert remove_shared_lines(docs, most_sites=10).count() == len(rows) and remove_shared_lines(empty).count() == 0
 
 
+def test_shared_lines_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, f"own {i}\n shared \n\nnear", f"s{i % 12}") for i in range(24)] + [(91, None, "s2"), (92, "", None), (None, "near\nx", None), (0, "own 0\n shared \n\nnear", "s0")]
+    folder = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(folder)
+    own = [tuple(r) for r in op4_line_dedup(spark, str(tmp_path)).collect()]
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+    assert sorted(own, key=str) == sorted(connection.execute(ORACLE_SQL["op4_line_dedup"]).fetchall(), key=str) and len(own) == len(rows)
+
+
 def test_repeated_spans(docs, corpus, empty, spark):
     for r in corpus:
         assert "".join(sentences(r[1] or "")) == (r[1] or "")
@@ -398,3 +410,30 @@ def test_pipeline(spark, tmp_path):
             assert docs.filter("doc_id >= 100").count() == 0 and docs.count() == 60
     assert docs.agg(F.sum("length")).first()[0] > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[-1]
+
+
+@pytest.mark.parametrize("full", [True, False])
+def test_pipeline_on_odd_rows(spark, tmp_path, full):
+    """Nulls in any column, empty texts, repeated rows, clashing column names; and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    good = [(i, prose(rng, 30), "en", f"s{i % 3}", 0) for i in range(30)]
+    rows = good + [good[4], good[4], (None, good[5][1], None, None, None), (None, prose(rng, 30), None, None, None), (40, None, "en", "s1", 0), (41, "", "en", None, 0), (42, prose(rng, 9000), "en", "s1", 0)]
+    rows += [(60 + i, "BUY!! " * 40, "en", "s2", 0) for i in range(20)]
+    clashing = {c: F.lit("x") for c in ("row_key", "copies", "copy", "score", "id", "text_key", "gone", "split", "size", "component_id")}
+    table = spark.createDataFrame(rows if full else [], "doc_id long, text string, lang string, source string, n_chars long").withColumns(clashing)
+    spark.createDataFrame([(r[0], int(r[0] < 60)) for r in rows if r[0] is not None and full], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = table
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name.replace(" ", "_")))
+        docs = spark.read.parquet(str(tmp_path / name.replace(" ", "_")))
+        if not full:
+            assert docs.count() == 0
+        elif name == "quality classifier":
+            assert {r[1] for r in good} <= {r.text for r in docs.collect()} and docs.filter("doc_id >= 60").count() == 0
+        elif name == "MinHash near-dedup":
+            texts = [r.text for r in docs.collect() if r.text]
+            assert len(texts) == len(set(texts)) and {r[1] for r in good} <= set(texts)
+            assert docs.filter("doc_id IS NULL AND text <> ''").count() == 1
