@@ -298,7 +298,7 @@ def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
     return current.drop("above")
 
 
-def conversation_trie(conversations: DataFrame, fan_in: int = 64) -> DataFrame:
+def conversation_trie(conversations: DataFrame, fan_in: int = 64, flush_nodes: int = 200_000) -> DataFrame:
     """One row per distinct sequence of first turns of the rebuilt conversations.
 
     Conversation c begins with the first h turns of the conversation c - c % 100, h = crc32(c) % 6,
@@ -318,7 +318,7 @@ def conversation_trie(conversations: DataFrame, fan_in: int = 64) -> DataFrame:
     one node are hashed by one task, as SHA-256 demands, which streams them.
     """
     turns = ordered_turns(conversations)
-    partial = stored(partial_tries(turns))
+    partial = stored(partial_tries(turns, flush_nodes))
     nodes = stored(merged_nodes(partial.filter("ids IS NULL").drop("first_id", "ids"), fan_in))
     shared = nodes.filter("n > 1")
     per_parent = nodes.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("key")).agg(
