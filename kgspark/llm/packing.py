@@ -21,16 +21,17 @@ from kgspark.llm.common import text_or_empty
 BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
-#: All white space of a long run but its last character; the pattern above cuts there too, but only by trying every length.
-_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}(?=[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])")
+#: Fixed value: the characters of ``\s`` above. A long run of them is one match, which nothing may shorten.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}+")
 
 
 class ByteLevelEncoder:
     """Ids of a byte-level BPE vocabulary file of ``tokenizers``, as that library gives them.
 
     The vocabulary is run by ``tiktoken``, which gives the same ids several times faster. A text
-    is cut at the strings of special tokens, which have ids of their own, and before the last
-    character of each long run of white space, where a pre-token ends in any case.
+    is cut at the strings of special tokens, which have ids of their own, and, where other text
+    follows a long run of white space, before the last character of the run: there a pre-token
+    ends in any case. A run at the end of a text, or before a special token, is one pre-token.
     """
 
     def __init__(self, path: str):
@@ -57,8 +58,9 @@ class ByteLevelEncoder:
     def _plain(self, text: str) -> array:
         ids, at = array("I"), 0
         for space in _LONG_SPACE.finditer(text):
-            ids += array("I", self.bpe.encode_ordinary(text[at : space.end()]))
-            at = space.end()
+            if space.end() < len(text):
+                ids += array("I", self.bpe.encode_ordinary(text[at : space.end() - 1]))
+                at = space.end() - 1
         return ids + array("I", self.bpe.encode_ordinary(text[at:]))
 
 

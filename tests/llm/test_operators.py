@@ -108,8 +108,23 @@ def test_encoder_equals_tokenizers():
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_on_runs_of_white_space():
+    """Every class of white space, about the length from which runs are cut, at an end, before a special token and before text."""
+    from tokenizers import Tokenizer
+
+    ours, theirs = ByteLevelEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in range(0x1C, 0x20)]
+    special = next(iter(ours.special))
+    rng = random.Random(3)
+    texts = [head + c * n + end for c in spaces for n in (999, 1000, 1001, 1002, 2000, 2001, 4100) for head in ("", "x") for end in ("", special, "a", "é!", special + "b")]
+    texts += ["".join(rng.choice(["w", " ", "1", special]) + "".join(rng.choice(spaces[: rng.choice([2, 6, 25])]) for _ in range(rng.choice([1, 5, 1200]))) for _ in range(3)) for _ in range(100)]
+    for text in texts:
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_takes_very_long_runs():
     ours = ByteLevelEncoder(tokenizer_path())
+    assert [len(ours.encode("a" + c * 3_000_000)) > 4 for c in " \n\u3000"] == [True] * 3
     for run in (" ", "\n", " \t", "x", "7", "!", "é"):
         text = "a " + run * (3_000_000 // len(run)) + "x"
         ids = np.frombuffer(ours.encode(text), "<u4").tolist()
