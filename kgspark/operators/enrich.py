@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.functions.scalars import normalize_name, strip_html, underscored
-from kgspark.model import INTEGER, LABEL, NS, SCHEMA, SEE_ALSO, TRIPLE_COLUMNS, TYPE, Namespaces, fact, facts_to_triples, first_label, instances, iri
+from kgspark.model import INTEGER, LABEL, NS, SCHEMA, SEE_ALSO, TRIPLE_COLUMNS, TYPE, Namespaces, checkpointed, fact, facts_to_triples, first_label, instances, iri
 
 
 @F.pandas_udf(T.DoubleType())
@@ -55,39 +55,94 @@ def _rarest_first(names: DataFrame, name: str, grams: DataFrame, often: DataFram
     return names.join(ranked, name, "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
 
 
-def match_fuzzy(names: DataFrame, cards: DataFrame, threshold: float = 0.85, q: int = 3) -> DataFrame:
-    """(name, pos, score): per name the card of highest ratio of at least the threshold, the first card on a tie.
+def _shorter(c: Column, most: int) -> Column:
+    """Strings left by deleting as many letters as the column ``gone`` says, ``most`` at most, as an array without repeats."""
+    each = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    levels = [F.array(c)]
+    for _ in range(most):
+        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], each))))
+    out = levels[0]
+    for n, level in enumerate(levels[1:], 1):
+        out = F.when(F.col("gone") == n, level).otherwise(out)
+    return out
 
-    A ratio of t needs at least t/2 of all letters in common, in order. So the two lengths bound
-    the letters that match nothing; each of them breaks at most ``q`` grams of its own name and
-    ``q`` - 1 of the other, and the rest are shared. Of two names that share so many grams the
-    rarest few of either hold a common one: these are what names and cards meet by, together with
-    both lengths, so frequent grams join nothing. Names too short for a sure gram meet by length
-    alone. Pairs whose letter counts rule the ratio out are dropped before Python sees them. All
-    of this is exact, not approximate.
-    """
-    own = names.select("name", normalize_name(F.col("name")).alias("a")).filter("a <> ''").distinct()
-    own = own.select("name", "a", F.length("a").alias("na"), _histogram(F.col("a")).alias("ha"))
-    other = cards.select("pos", normalize_name(F.col("name_en")).alias("b")).filter("b <> ''").groupBy("b").agg(F.min("pos").alias("pos"))
-    other = other.select("b", "pos", F.length("b").alias("nb"), _histogram(F.col("b")).alias("hb"))
-    own_grams, other_grams = _grams(own.select("a").distinct(), "a", q), _grams(other, "b", q)
-    often = own_grams.select("gram").unionByName(other_grams.select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
 
+def _choose(n: str, k: Column, most: int) -> Column:
+    """Binomial coefficient of a length for k up to ``most``; beyond, a number that no bound admits."""
+    out = F.lit(1 << 40).cast("long")
+    for j in range(most, -1, -1):
+        product = F.lit(1).cast("long")
+        for i in range(j):
+            product = product * (F.col(n) - i) / (i + 1)
+        out = F.when(k == j, product.cast("long")).otherwise(out)
+    return out
+
+
+#: Names are met by deletions only where at most so many letters go and so many strings are left on either side.
+MOST_GONE, MOST_STRINGS = 3, 6_000
+
+
+def _fuzzy_pairs(own: DataFrame, other: DataFrame, threshold: float, q: int) -> DataFrame:
+    """(name, a, b, pos) of all names that may reach the threshold, and of few that don't; see ``match_fuzzy``."""
     factor = threshold / (2 - threshold)
     reach = lambda n: F.explode(F.sequence(F.ceil(F.col(n) * factor - 1e-9).cast("int"), F.floor(F.col(n) / factor + 1e-9).cast("int")))
     common = F.ceil(threshold * (F.col("na") + F.col("nb")) / 2 - 1e-9).cast("int")
+    gone_a, gone_b = F.col("na") - common, F.col("nb") - common
+    few = (F.greatest(gone_a, gone_b) <= MOST_GONE) & (F.greatest(_choose("na", gone_a, MOST_GONE), _choose("nb", gone_b, MOST_GONE)) <= MOST_STRINGS)
+    possible = common <= F.least("na", "nb")
+    # One row per name and length on the other side; the lengths there are no more than the longest name has letters.
+    own = own.withColumn("nb", reach("na")).filter(possible).join(other.select("nb").distinct(), "nb", "left_semi").withColumn("few", few)
+    other = other.withColumn("na", reach("nb")).filter(possible).join(own.select("na").distinct(), "na", "left_semi").withColumn("few", few)
+
+    deleted = lambda side, c, gone: side.filter("few").withColumn("gone", gone).withColumn("key", F.explode(F.transform(_shorter(F.col(c), MOST_GONE), lambda x: F.xxhash64(x))))
+    near = deleted(own, "a", gone_a).select("name", "a", "ha", "na", "nb", "key").join(deleted(other, "b", gone_b).select("b", "pos", "hb", "na", "nb", "key"), ["na", "nb", "key"])
+
+    own, other = own.filter("NOT few"), other.filter("NOT few")
+    own_grams, other_grams = _grams(own.select("a").distinct(), "a", q), _grams(other.select("b").distinct(), "b", q)
+    often = own_grams.select("gram").unionByName(other_grams.select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
     left = lambda x, y: F.col(x) - q + 1 - q * (F.col(x) - common) - (q - 1) * (F.col(y) - common)
     shared = F.greatest(left("na", "nb"), left("nb", "na"))
     keys = F.explode(F.when(shared > 0, F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - shared + 1, F.lit(0)))).otherwise(F.array(F.lit("")))).alias("key")
-    possible = common <= F.least("na", "nb")
-    own = _rarest_first(own, "a", own_grams, often).withColumn("nb", reach("na")).filter(possible).select("name", "a", "ha", "na", "nb", keys)
-    other = _rarest_first(other, "b", other_grams, often).withColumn("na", reach("nb")).filter(possible).select("b", "pos", "hb", "na", "nb", keys)
-    pairs = own.join(other, ["na", "nb", "key"])
+    far = (
+        _rarest_first(own, "a", own_grams, often).select("name", "a", "ha", "na", "nb", keys)
+        .join(_rarest_first(other, "b", other_grams, often).select("b", "pos", "hb", "na", "nb", keys), ["na", "nb", "key"])
+    )
     differ = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     most = (1 - threshold) * (F.col("na") + F.col("nb")) + 1e-9
-    pairs = pairs.filter(differ <= most).select("name", "a", "b", "pos").distinct()
-    scored = pairs.withColumn("score", name_ratio("a", "b")).filter(F.col("score") >= threshold)
-    return scored.groupBy("name").agg(F.max(F.struct("score", (-F.col("pos")).alias("at"))).alias("m")).select("name", (-F.col("m.at")).alias("pos"), F.col("m.score").alias("score"))
+    return near.drop("key").unionByName(far.drop("key")).filter(differ <= most).select("name", "a", "b", "pos").repartition(_tasks(own), "name", "b").distinct()
+
+
+def _tasks(df: DataFrame) -> int:
+    """Partitions for rows that are few bytes but much work each, which Spark would join into few tasks by their bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def match_fuzzy(names: DataFrame, cards: DataFrame, threshold: float = 0.85, q: int = 3) -> DataFrame:
+    """(name, pos, score): per name the card of highest ratio of at least the threshold, the first card on a tie.
+
+    A ratio of t needs at least t/2 of all letters in common, in order, so the two lengths bound
+    the letters that match nothing. Where these are few, names and cards meet by the strings that
+    are left when so many letters are deleted: exactly the pairs with enough in common meet, even
+    if all names follow one template. Where they are many, each of them breaks at most ``q`` grams of
+    its own name and ``q`` - 1 of the other, and the rest are shared: of two names that share so
+    many grams the rarest few of either hold a common one, and these are what they meet by,
+    together with both lengths. Names too short for a sure gram meet by length alone. Pairs whose
+    letter counts rule the ratio out are dropped before Python sees them.
+
+    Half-way between the threshold and 1 comes first; a name that reaches it has seen all that are
+    as near, so only the others go on. All of this is exact, not approximate.
+    """
+    own = names.select("name", normalize_name(F.col("name")).alias("a")).filter("a <> ''").distinct()
+    own = own.select("name", "a", F.length("a").alias("na"), _histogram(F.col("a")).alias("ha")).repartition(_tasks(names), "name")
+    other = cards.select("pos", normalize_name(F.col("name_en")).alias("b")).filter("b <> ''").groupBy("b").agg(F.min("pos").alias("pos"))
+    other = other.select("b", "pos", F.length("b").alias("nb"), _histogram(F.col("b")).alias("hb")).repartition(_tasks(names), "b")
+    best = None
+    for level in ((1 + threshold) / 2, threshold):
+        left = own if best is None else own.join(best.select("name"), "name", "left_anti")
+        scored = _fuzzy_pairs(left, other, level, q).withColumn("score", name_ratio("a", "b")).filter(F.col("score") >= level)
+        top = scored.groupBy("name").agg(F.max(F.struct("score", (-F.col("pos")).alias("at"))).alias("m")).select("name", (-F.col("m.at")).alias("pos"), F.col("m.score").alias("score"))
+        best = checkpointed(top) if best is None else best.unionByName(top)
+    return best
 
 
 def labelled_characters(graph: DataFrame, ns: Namespaces = NS) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,8 +74,6 @@ def test_cards(spark):
 
 
 def test_fuzzy_equals_brute_force(spark):
-    from difflib import SequenceMatcher
-
     names = ["gandalf", "gandolf", "galadriel", "galadriell", "thorin oakenshield", "thorin oakensheild", "frodo", "frodos", "bilbo baggins", ""]
     deck = spark.createDataFrame([(i, n) for i, n in enumerate(names[::-1])], "pos long, name_en string")
     for threshold in (0.85, 0.9):
@@ -88,9 +87,27 @@ def test_fuzzy_equals_brute_force(spark):
         assert found == wanted
 
 
-def test_fuzzy_equals_brute_force_at_random(spark):
-    from difflib import SequenceMatcher
+@pytest.mark.parametrize("threshold", [0.85, 0.9])
+def test_fuzzy_on_names_of_one_template(spark, threshold):
+    """All names share most of their grams; they differ in digits, a letter more, less or changed."""
+    rng = random.Random(6)
+    names = [f"Agent#{i:06d}" for i in rng.sample(range(3000), 60)] + [f"The agent of number {i:04d} in long" for i in range(20)] + ["x", "", "--"]
+    change = [lambda x: x + "s", lambda x: x.replace("#", ""), lambda x: x.replace("A", "E"), lambda x: x[:5] + x[6:] + "ly", lambda x: x[::-1], lambda x: x[1:] + x[0]]
+    cards = [(i, rng.choice(change)(x)) for i, x in enumerate(names + names[:20])]
+    norm = lambda x: " ".join(x.lower().replace("'", "").replace("-", " ").split())
+    first = {}
+    for pos, x in cards:
+        first.setdefault(norm(x), pos)
+    want = {}
+    for n in names:
+        scores = [(SequenceMatcher(None, norm(n), x).ratio(), -pos) for x, pos in first.items() if x] if norm(n) else []
+        if scores and max(scores)[0] >= threshold:
+            want[n] = (-max(scores)[1], round(max(scores)[0], 9))
+    got = enrich.match_fuzzy(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(cards, "pos int, name_en string"), threshold).collect()
+    assert {r.name: (r.pos, round(r.score, 9)) for r in got} == want
 
+
+def test_fuzzy_equals_brute_force_at_random(spark):
     rng = random.Random(3)
     names = ["".join(rng.choice("abc01") for _ in range(rng.randrange(1, 24))) for _ in range(60)] + ["template 0000" + str(i) for i in range(0, 400, 7)]
     deck = [n for n in names[::3]]
