@@ -16,6 +16,8 @@ from kgspark.functions.scalars import EXCLUDED_PREFIXES, detect_type
 CALENDARS = ("FA", "SA", "TA", "FoA", "YT", "YS", "VY")
 _HIDDEN = re.compile(r"<!--.*?-->|<nowiki>.*?</nowiki>", re.S)
 _MARK = re.compile(r"\{\{|\}\}|\[\[|\]\]")
+#: Values without markup, entities, quotes or white space other than single spaces are their own display text.
+_PLAIN = re.compile(r"[^\[\]{}<>&'\s]+(?: [^\[\]{}<>&'\s]+)*")
 
 
 def spans(text: str, opening: str = "{{", closing: str = "}}") -> list[tuple[int, int]]:
@@ -44,6 +46,8 @@ def fields(body: str, mark: str = "|") -> list[str]:
 
 def visible(text: str) -> str:
     """Text without comments; what nowiki tags hold can't open anything."""
+    if "<" not in text:
+        return text
     return _HIDDEN.sub(lambda m: "" if m.group().startswith("<!--") else html.escape(m.group()[8:-9]).replace("{", "&#123;").replace("[", "&#91;"), text)
 
 
@@ -78,17 +82,23 @@ def strip_code(text: str) -> str:
 
 
 def clean_wikitext(text: str | None) -> str:
+    if text and _PLAIN.fullmatch(text):
+        return text.strip('"')
     plain = re.sub(r"<[^>]+>", "", re.sub(r"\[\d+\]", "", strip_code(text or "")))
     return re.sub(r"\s+", " ", plain).strip().strip("\"'")
 
 
 def internal_links(text: str | None) -> list[str]:
+    if not text or "[[" not in text:
+        return []
     text = visible(text or "")
     titles = (fields(text[a:b])[0].strip() for a, b in spans(text, "[[", "]]"))
     return [t for t in titles if not t.lower().startswith(EXCLUDED_PREFIXES) and "#" not in t]
 
 
 def clean_date(text: str | None) -> str:
+    if text and _PLAIN.fullmatch(text):
+        return text
     text = visible(text or "")
     for first, past in spans(text):
         name, *rest = fields(text[first:past])
@@ -100,17 +110,20 @@ def clean_date(text: str | None) -> str:
 
 
 PARSED = "template string, params map<string,string>, plain map<string,string>, links map<string,array<string>>, dates map<string,string>"
+_READINGS = {"plain": clean_wikitext, "links": internal_links, "dates": clean_date}
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, readings: tuple[str, ...] = ("plain", "links", "dates")) -> DataFrame:
     """Pages with their infobox: template, params, and per parameter the plain text, links and date.
 
-    Only pages that may hold an infobox go through Python, each once; the others get nulls. Adds
-    itype (null without an infobox) and status: success, no_infobox or no_page. Extra columns are
-    kept.
+    Only pages that may hold an infobox go through Python, each once; the others get nulls.
+    ``readings`` names the columns that are wanted besides template and params, so that what
+    nothing reads isn't made. Adds itype (null without an infobox) and status: success,
+    no_infobox or no_page. Extra columns are kept.
     """
     may = F.coalesce(F.col("wikitext").rlike("(?i)infobox|campaign|battle"), F.lit(False))
     columns = pages.columns
+    wanted = [x for x in PARSED.split(", ") if x.split(" ")[0] in ("template", "params", *readings)]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,13 +131,14 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             own = [b[1] if b else None for b in boxes]
             batch["template"] = [b[0] if b else None for b in boxes]
             batch["params"] = own
-            for name, f in (("plain", clean_wikitext), ("links", internal_links), ("dates", clean_date)):
+            for name in readings:
+                f = _READINGS[name]
                 batch[name] = [None if p is None else {k: f(v) for k, v in p.items()} for p in own]
             yield batch
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    parsed = pages.filter(may).mapInPandas(parse, f"{kinds}, {PARSED}")
-    nulls = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ", 1) for x in PARSED.split(", "))]
+    parsed = pages.filter(may).mapInPandas(parse, ", ".join([kinds, *wanted]))
+    nulls = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split(" ", 1) for x in wanted)]
     rest = pages.filter(~may).select(*columns, *nulls)
     status = F.when(F.col("wikitext").isNull(), "no_page").when(F.col("template").isNull(), "no_infobox").otherwise("success")
     return parsed.unionByName(rest).withColumn("itype", F.when(F.col("template").isNotNull(), detect_type(F.col("template")))).withColumn("status", status)

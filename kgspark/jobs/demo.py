@@ -109,9 +109,12 @@ SELECT c_name AS title,
 FROM customer
 UNION ALL SELECT n_name, '{{Infobox place|name=' || n_name || '|location=[[Region ' || CAST(n_regionkey AS STRING) || ']]|founded={{SA|' || CAST(n_nationkey AS STRING) || '}}|description=The <b>land</b> of ' || n_name || '}}' FROM nation
 UNION ALL SELECT 'Part ' || CAST(p_partkey AS STRING), '{{Infobox weapon|name=' || p_name || '|type=' || p_type || '|owner=[[Owner ' || CAST(p_size AS STRING) || ']]|maker=[[' || p_brand || ']] [[Smith]]}}' FROM part
-UNION ALL SELECT 'Order ' || CAST(o_orderkey AS STRING), CASE WHEN o_orderstatus = 'F' THEN '{{Battle' ELSE '{{Campaign' END || '|name=Order ' || CAST(o_orderkey AS STRING) || '|date=' || substr(CAST(o_orderdate AS STRING), 1, 10) || '|location=[[Nation 1]] and [[Nation 2]]|result=' || o_orderpriority || '}}' FROM orders WHERE o_orderkey % 4 = 0
+UNION ALL SELECT 'Order ' || CAST(o_orderkey AS STRING), CASE WHEN o_orderstatus = 'F' THEN '{{Battle' ELSE '{{Campaign' END || '|name=Order ' || CAST(o_orderkey AS STRING) || '|date=' || substr(CAST(o_orderdate AS STRING), 1, 10) || '|location=[[Nation 1]] and [[Nation 2]]|result=' || o_orderpriority || '}}' FROM orders
 """
 
+#: Addresses of some images; the others follow from their names.
+IMAGES_SQL = "SELECT 'Face ' || CAST(c_custkey AS STRING) || '.jpg' AS filename, 'https://img.example.org/' || CAST(c_custkey AS STRING) AS url FROM customer WHERE c_custkey % 4 = 0"
+
 #: Members of categories: by market segment and by nation, so titles repeat, in three namespaces.
 CATEGORIES_SQL = "SELECT DISTINCT CAST(ascii(c_mktsegment) AS INT) AS cat_idx, c_mktsegment AS category, 40 AS lim FROM customer UNION ALL SELECT 200 + n_nationkey, n_name, 25 FROM nation"
 MEMBERS_SQL = """
@@ -154,7 +157,7 @@ UNION ALL SELECT {NICK}, 'xx', 1, 'Unknown' FROM customer
 """
 
 RELATIONS = {
-    "graph": GRAPH_SQL, "external": EXTERNAL_SQL, "seeds": SEEDS_SQL, "hierarchy": HIERARCHY_SQL, "wiki": PAGES_SQL, "categories": CATEGORIES_SQL, "members": MEMBERS_SQL,
+    "graph": GRAPH_SQL, "external": EXTERNAL_SQL, "seeds": SEEDS_SQL, "hierarchy": HIERARCHY_SQL, "wiki": PAGES_SQL, "imageinfo": IMAGES_SQL, "categories": CATEGORIES_SQL, "members": MEMBERS_SQL,
     "names": NAMES_SQL, "hits": HITS_SQL, "props": PROPS_SQL, "entity_hits": ENTITY_HITS_SQL, "cards": CARDS_SQL, "csv": CSV_SQL, "titles": TITLES_SQL,
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "pages")

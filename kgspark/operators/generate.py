@@ -1,4 +1,4 @@
-"""Triples of parsed pages: one array of facts per page, exploded once."""
+"""Triples of parsed pages: one array of (subject, fact) per page, of both directions, exploded once."""
 
 from __future__ import annotations
 
@@ -116,14 +116,27 @@ def with_iris(parsed: DataFrame, ns: Namespaces = NS) -> DataFrame:
     return parsed.withColumns({"entity": entity_iri(F.col("title"), ns), "doc": page_iri(F.col("title"), ns)})
 
 
-def base_triples(pages: DataFrame, ns: Namespaces = NS) -> DataFrame:
-    """The six triples of any page: topic both ways, document type, label, address both ways."""
+def _of(subject: Column, facts: Column) -> Column:
+    """Facts with their subject, as an array of (s, f)."""
+    return F.transform(facts, lambda f: F.struct(subject.alias("s"), f.alias("f")))
+
+
+def exploded(rows: DataFrame, facts: Column) -> DataFrame:
+    """The triples of an array of (s, f); nulls are left out."""
+    return rows.select(F.explode(facts).alias("x")).select("x.s", "x.f").filter("s IS NOT NULL AND f IS NOT NULL").select("s", "f.*")
+
+
+def base_facts(ns: Namespaces = NS) -> Column:
+    """Topic both ways, document type, label, address both ways: of pages with their IRIs."""
     url = F.concat(F.lit(ns.wiki), underscored(F.col("title")))
-    rows = with_iris(pages, ns)
     entity = F.array(iri(FOAF + "isPrimaryTopicOf", F.col("doc")), fact(LABEL, F.col("title"), lang="en"), iri(SEE_ALSO, url))
     doc = F.array(iri(FOAF + "primaryTopic", F.col("entity")), iri(TYPE, F.lit(FOAF + "Document")), iri(SCHEMA + "url", url))
-    both = F.concat(F.transform(entity, lambda f: F.struct(F.col("entity").alias("s"), f.alias("f"))), F.transform(doc, lambda f: F.struct(F.col("doc").alias("s"), f.alias("f"))))
-    return rows.select(F.explode(both).alias("x")).select("x.s", "x.f.*")
+    return F.concat(_of(F.col("entity"), entity), _of(F.col("doc"), doc))
+
+
+def base_triples(pages: DataFrame, ns: Namespaces = NS) -> DataFrame:
+    """The six triples of any page."""
+    return exploded(with_iris(pages, ns), base_facts(ns))
 
 
 def type_triples(parsed: DataFrame, ns: Namespaces = NS) -> DataFrame:
@@ -136,10 +149,13 @@ def body_triples(parsed: DataFrame, facts: Column, types: tuple[str, ...] | None
     return facts_to_triples(with_iris(rows, ns), "entity", facts)
 
 
-def ownership(parsed: DataFrame, ns: Namespaces = NS) -> DataFrame:
+def owner_facts(ns: Namespaces = NS) -> Column:
     """The inverse edges of owners: owner owns object."""
-    rows = with_iris(parsed.filter(F.col("itype").isin(*OBJECT)), ns).select("entity", F.explode(_links("owner")).alias("owner"))
-    return facts_to_triples(rows.withColumn("owner", entity_iri(F.col("owner"), ns)), "owner", F.array(iri(SCHEMA + "owns", F.col("entity"))))
+    return F.transform(_links("owner"), lambda x: F.struct(entity_iri(x, ns).alias("s"), iri(SCHEMA + "owns", F.col("entity")).alias("f")))
+
+
+def ownership(parsed: DataFrame, ns: Namespaces = NS) -> DataFrame:
+    return exploded(with_iris(parsed.filter(F.col("itype").isin(*OBJECT)), ns), owner_facts(ns))
 
 
 def image_triples(parsed: DataFrame, imageinfo: DataFrame | None = None, ns: Namespaces = NS) -> DataFrame:
@@ -152,26 +168,49 @@ def image_triples(parsed: DataFrame, imageinfo: DataFrame | None = None, ns: Nam
     return facts_to_triples(rows, "entity", F.array(iri(SCHEMA + "image", F.coalesce(known, image_hash_url(F.col("file"), ns)))))
 
 
+def _link_property() -> Column:
+    return F.when(F.col("link_type") == "wikipedia", SEE_ALSO).when(F.col("link_type").isin("dbpedia", "wikidata", "yago"), SAME_AS)
+
+
 def link_triples(links: DataFrame, ns: Namespaces = NS) -> DataFrame:
     """Equivalences and references of discovered links; ``links`` has name, link_type and uri."""
-    p = F.when(F.col("link_type") == "wikipedia", SEE_ALSO).when(F.col("link_type").isin("dbpedia", "wikidata", "yago"), SAME_AS)
-    rows = links.filter(p.isNotNull()).withColumn("entity", entity_iri(F.col("name"), ns))
-    return facts_to_triples(rows, "entity", F.array(iri(p, F.col("uri"))))
+    rows = links.filter(_link_property().isNotNull()).withColumn("entity", entity_iri(F.col("name"), ns))
+    return facts_to_triples(rows, "entity", F.array(iri(_link_property(), F.col("uri"))))
 
 
-def generate_graph(parsed: DataFrame, links: DataFrame | None = None, imageinfo: DataFrame | None = None, ns: Namespaces = NS) -> DataFrame:
-    """All triples of pages with an infobox; pages of other types, books among them, are read like characters."""
-    own = parsed.filter("status = 'success'")
-    kind = F.col("itype")
+def page_facts(parsed: DataFrame, links: DataFrame | None = None, imageinfo: DataFrame | None = None, ns: Namespaces = NS) -> DataFrame:
+    """(title, facts): all facts of each page with an infobox, with their subjects, as one array without repeats.
+
+    Pages of other types, books among them, are read like characters. A page is parsed and its
+    facts are built once; the image table and the links, ``links`` grouped by name, join the
+    arrays, not the triples.
+    """
+    own = with_iris(parsed.filter("status = 'success'"), ns)
+    kind, entity = F.col("itype"), F.col("entity")
     body = F.when(kind.isin(*PLACE), place_facts(ns)).when(kind.isin(*OBJECT), object_facts(ns)).when(kind.isin(*EVENT), event_facts(ns)).otherwise(character_facts(ns))
     types = F.transform(type_iris(kind, ns), lambda x: iri(TYPE, x))
-    parts = [base_triples(own, ns), facts_to_triples(with_iris(own, ns), "entity", F.concat(types, body)), ownership(own, ns), image_triples(own, imageinfo, ns)]
+    owned = F.when(kind.isin(*OBJECT), owner_facts(ns)).otherwise(F.array().cast("array<struct<s:string,f:struct<p:string,o:string,o_kind:string,o_dt:string,o_lang:string>>>"))
+    image = F.try_element_at("params", F.lit("image"))
+    rows = own.select("title", "entity", image_name(image).alias("filename"), image_hash_url(image, ns).alias("url"), F.concat(base_facts(ns), _of(entity, F.concat(types, body)), owned).alias("facts"))
+    if imageinfo is not None:
+        known = imageinfo.filter("filename IS NOT NULL").groupBy("filename").agg(F.min("url").alias("known"))
+        rows = rows.join(known, "filename", "left").withColumn("url", F.coalesce("known", "url"))
+    facts = [F.col("facts"), _of(entity, F.array(iri(SCHEMA + "image", F.col("url"))))]
     if links is not None:
-        parts.append(link_triples(links.join(own.select(F.col("title").alias("name")), "name", "left_semi"), ns))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(*TRIPLE_COLUMNS).dropDuplicates()
+        by_name = links.select(F.col("name").alias("title"), iri(_link_property(), F.col("uri")).alias("link")).filter("link IS NOT NULL").groupBy("title").agg(F.collect_set("link").alias("found"))
+        rows = rows.join(by_name, "title", "left")
+        facts.append(_of(entity, F.coalesce("found", F.array().cast(by_name.schema["found"].dataType))))
+    return rows.select("title", F.array_distinct(F.filter(F.concat(*facts), lambda x: x["s"].isNotNull() & x["f"].isNotNull())).alias("facts"))
+
+
+def generate_graph(parsed: DataFrame, links: DataFrame | None = None, imageinfo: DataFrame | None = None, ns: Namespaces = NS) -> DataFrame:
+    """All triples of pages with an infobox, as a set."""
+    return exploded(page_facts(parsed, links, imageinfo, ns), F.col("facts")).select(*TRIPLE_COLUMNS).dropDuplicates()
+
+
+def page_sizes(facts: DataFrame) -> DataFrame:
+    """(title, triples): the size of each page's own graph, before graphs are merged."""
+    return facts.select("title", F.size("facts").cast("long").alias("triples"))
 
 
 def category_pages(members: DataFrame, categories: DataFrame, default_limit: int = 50) -> DataFrame:
