@@ -13,8 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kgspark.model import DBPEDIA, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, TYPE, WIKIDATA, shared_folder
-from kgspark.sources.readers import read_graph
-from kgspark.sources.writers import write_graph
+from kgspark.sources.store import insert, read_store
 
 RES, ONT, PROP = NS.res, NS.ont, NS.prop
 
@@ -163,7 +162,7 @@ RELATIONS = {
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "pages")
 
 
-_SAVED: dict[tuple[str, str, str], str] = {}
+_SAVED: dict[tuple[str, str, str, str], str] = {}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,11 +174,24 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
-def saved(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A relation of triples, built once per application and folder and saved by predicate in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def store_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where a relation of triples is saved by predicate: in the shared folder, once per application and state of the tables.
+
+    The state is the files' lengths and times, so tables that change are saved anew.
+    """
+    files = []
+    for t in [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", RELATIONS[name])]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+        files.append(tuple((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in status))
+    key = (spark.sparkContext.applicationId, sf_dir, name, hashlib.md5(repr(files).encode()).hexdigest())
     if key not in _SAVED:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        write_graph(relation(spark, sf_dir, name), path, unique=True)
+        insert(spark, path, relation(spark, sf_dir, name), unique=True)
         _SAVED[key] = path
-    return read_graph(spark, _SAVED[key])
+    return _SAVED[key]
+
+
+def saved(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A relation of triples, read where ``store_of`` keeps it."""
+    return read_store(spark, store_of(spark, sf_dir, name))

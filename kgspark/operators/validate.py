@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import local_name
-from kgspark.model import DOMAIN, LABEL, NS, RANGE, RDF, SCHEMA, SUBCLASS, SUBPROPERTY, TRIPLE_COLUMNS, TYPE, Namespaces, edges, match
+from kgspark.model import DOMAIN, LABEL, NS, RANGE, RDF, SCHEMA, SUBCLASS, SUBPROPERTY, TRIPLE_COLUMNS, TYPE, Namespaces, checkpointed, edges, match
 from kgspark.operators.infer import subclass_closure, with_ancestors
 
 LABELLED = ("Character", "Location", "Artifact")
@@ -87,22 +87,41 @@ def shacl_validate(graph: DataFrame, shapes: DataFrame, ns: Namespaces = NS) ->
     return each.filter(wrong).select(F.col("s").alias("entity"), "path", "constraint", "value")
 
 
-def rdfs_materialize(graph: DataFrame, ontology: DataFrame) -> DataFrame:
-    """The graph with what subproperties, domains, ranges and subclasses entail.
-
-    Properties go up first, then domains and ranges of all stated and inherited properties give
-    types, then types go up: in this order one pass of each is complete, as no rule here feeds an
-    earlier one. Spark broadcasts the vocabulary by its measured size.
-    """
-    schema = ontology.unionByName(graph.filter(F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)).select(*ontology.columns)).dropDuplicates()
-    up = subclass_closure(schema, SUBPROPERTY).select(F.col("class").alias("p"), F.col("ancestor").alias("super")).filter("p <> super")
-    wider = graph.join(up, "p").select("s", F.col("super").alias("p"), "o", "o_kind", "o_dt", "o_lang")
-    stated = graph.select(*TRIPLE_COLUMNS).unionByName(wider)
+def _entailed(rows: DataFrame, up: DataFrame, schema: DataFrame, classes: DataFrame) -> DataFrame:
+    """What subproperties, domains, ranges and subclasses entail from ``rows`` in one pass each, in this order."""
+    wider = rows.join(up, "p").select("s", F.col("super").alias("p"), "o", "o_kind", "o_dt", "o_lang")
+    stated = rows.unionByName(wider)
     domain = stated.join(edges(schema, DOMAIN, "p", "cls"), "p").select(F.col("s").alias("entity"), F.col("cls").alias("type"))
     range_ = stated.filter("o_kind = 'iri'").join(edges(schema, RANGE, "p", "cls"), "p").select(F.col("o").alias("entity"), F.col("cls").alias("type"))
     types = edges(stated, TYPE, "entity", "type").unionByName(domain).unionByName(range_).distinct()
-    typed = with_ancestors(types, subclass_closure(schema)).select(F.col("entity").alias("s"), F.lit(TYPE).alias("p"), F.col("class").alias("o"), F.lit("iri").alias("o_kind"), *[F.lit(None).cast("string").alias(c) for c in ("o_dt", "o_lang")])
-    return stated.unionByName(typed).dropDuplicates()
+    typed = with_ancestors(types, classes).select(F.col("entity").alias("s"), F.lit(TYPE).alias("p"), F.col("class").alias("o"), F.lit("iri").alias("o_kind"), *[F.lit(None).cast("string").alias(c) for c in ("o_dt", "o_lang")])
+    return wider.unionByName(typed)
+
+
+def rdfs_materialize(graph: DataFrame, ontology: DataFrame) -> DataFrame:
+    """The graph with what subproperties, domains, ranges and subclasses entail, as a fixpoint.
+
+    Semi-naive: each round derives from what the round before has added, and what is known
+    already is left out. In the order of ``_entailed`` the first round gives all that a common
+    vocabulary entails, so the second one, over the new triples alone, is the last. If new triples
+    belong to the vocabulary itself, as under a property below rdfs:subClassOf, its closures are
+    made anew and the next round starts from all triples.
+    """
+    vocabulary = F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)
+    known = fresh = graph.select(*TRIPLE_COLUMNS).dropDuplicates()
+    schema, grown = checkpointed(ontology.select(*TRIPLE_COLUMNS).unionByName(graph.filter(vocabulary).select(*TRIPLE_COLUMNS)).dropDuplicates()), True
+    while True:
+        if grown:
+            up = subclass_closure(schema, SUBPROPERTY).select(F.col("class").alias("p"), F.col("ancestor").alias("super")).filter("p <> super")
+            classes = subclass_closure(schema)
+        fresh = checkpointed(_entailed(known if grown else fresh, up, schema, classes).subtract(known))
+        if fresh.isEmpty():
+            return known
+        known = known.unionByName(fresh)
+        added = fresh.filter(vocabulary)
+        grown = not added.isEmpty()
+        if grown:
+            schema = checkpointed(schema.unionByName(added).dropDuplicates())
 
 
 def report_lines(found: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from kgspark import model
 from kgspark.functions import scalars as S
 from kgspark.functions.wikitext import parse_pages
-from kgspark.jobs.demo import RELATIONS, relation, saved
+from kgspark.jobs.demo import RELATIONS, relation, saved, store_of
 from kgspark.model import DBPEDIA, FOAF, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, SUBCLASS, TRIPLE_COLUMNS, TYPE, WIKIDATA, YAGO, edges, match, merge
 from kgspark.operators import enrich, explore, generate, infer, linking, ontology, validate
-from kgspark.sources import readers, writers
+from kgspark.sources import readers, store, writers
 
 ONT, PROP, RES = NS.ont, NS.prop, NS.res
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,9 +175,23 @@ query(
     G,
 )(lambda s, d: explore.linked_entities(graph(s, d)))
 query("q13_match_pattern", f"SELECT * FROM graph WHERE p = '{PROP}objectType' AND o = 'ECONOMY'", G)(lambda s, d: match(graph(s, d), p=PROP + "objectType", o="ECONOMY"))
-query("q14_insert_triples", "SELECT * FROM graph UNION SELECT * FROM external", ("graph", "external"))(lambda s, d: merge(graph(s, d), rel(s, d, "external")))
-query("q14_clear_and_load", "SELECT * FROM external", ("external",))(lambda s, d: merge(model.clear(graph(s, d)), rel(s, d, "external")))
-query("q14_delete_triples", f"SELECT * FROM graph EXCEPT SELECT * FROM graph WHERE p = '{LABEL}'", G)(lambda s, d: model.delete(graph(s, d), match(graph(s, d), p=LABEL)))
+def changed(s: SparkSession, d: str, change: Callable[[str], object]) -> DataFrame:
+    """A branch of the saved graph after a change; the graph that other queries read stays as it is."""
+    path = scratch(s, "branch")
+    store.branch(s, store_of(s, d, "graph"), path)
+    change(path)
+    return store.read_store(s, path)
+
+
+query("q14_insert_triples", "SELECT * FROM graph UNION SELECT * FROM external", ("graph", "external"))(lambda s, d: changed(s, d, lambda path: store.insert(s, path, rel(s, d, "external"))))
+query("q14_clear_and_load", "SELECT * FROM external", ("external",))(lambda s, d: changed(s, d, lambda path: (store.drop(s, path), store.insert(s, path, rel(s, d, "external")))))
+_GONE = f"(p = '{LABEL}' AND o_lang IS NULL OR p = '{SAME_AS}' AND contains(o, '1') OR p = '{SCHEMA}owns' AND contains(s, '7'))"
+query("q14_delete_triples", f"SELECT * FROM graph WHERE NOT coalesce({_GONE}, false)", G)(lambda s, d: changed(s, d, lambda path: store.remove(s, path, graph(s, d).filter(_GONE))))
+query("q14_update_and_compact", f"SELECT * FROM graph WHERE NOT coalesce({_GONE}, false) UNION SELECT * FROM external UNION SELECT * FROM graph WHERE p = '{SAME_AS}'", ("graph", "external"))(
+    lambda s, d: changed(
+        s, d, lambda path: (store.remove(s, path, graph(s, d).filter(_GONE)), store.insert(s, path, rel(s, d, "external").unionByName(match(graph(s, d), p=SAME_AS))), store.compact(s, path))
+    )
+)
 
 # --- inference --------------------------------------------------------------------------------
 
@@ -627,25 +641,30 @@ query("s07_page_links", """SELECT title, (i - 1)::INTEGER AS pos, u[i] AS url FR
 _ESC = "replace(replace(replace(replace(replace(o, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
 _TERM = f"CASE WHEN o_kind = 'iri' THEN '<' || o || '>' ELSE '\"' || {_ESC} || '\"' || CASE WHEN o_lang IS NOT NULL THEN '@' || o_lang WHEN o_dt IS NOT NULL THEN '^^<' || o_dt || '>' ELSE '' END END"
 query("w02_to_ntriples", f"SELECT '<' || s || '> <' || p || '> ' || {_TERM} || ' .' AS line FROM graph", G)(lambda s, d: writers.to_ntriples(graph(s, d)))
-query("w03_to_turtle", f"SELECT s, '<' || s || '> ' || array_to_string(list_sort(list(CASE WHEN p = '{TYPE}' THEN 'a' ELSE '<' || p || '>' END || ' ' || {_TERM})), ' ;' || chr(10) || '    ') || ' .' AS block FROM graph GROUP BY s", G)(lambda s, d: writers.to_turtle(graph(s, d)))
+# Blocks are taken apart again, since a subject of many triples has several.
+query("w03_to_turtle", f"SELECT s, CASE WHEN p = '{TYPE}' THEN 'a' ELSE '<' || p || '>' END || ' ' || {_TERM} AS line FROM graph", G)(
+    lambda s, d: writers.to_turtle(graph(s, d)).select("s", F.explode(F.split(F.expr("substr(block, length(s) + 4, length(block) - length(s) - 5)"), " ;\n    ")).alias("line"))
+)
 _VALUE = """CASE WHEN o_kind = 'iri' THEN '{"@id":' || to_json(o) || '}' ELSE '{"@value":' || to_json(o) || CASE WHEN o_lang IS NOT NULL THEN ',"@language":' || to_json(o_lang) WHEN o_dt IS NOT NULL THEN ',"@type":' || to_json(o_dt) ELSE '' END || '}' END"""
-query(
-    "w04_to_jsonld",
-    f"""SELECT s, '{{"@id":"' || s || '",' || array_to_string(list_sort(list('"' || p || '":[' || v || ']')), ',') || '}}' AS node FROM (SELECT s, p, array_to_string(list_sort(list({_VALUE})), ',') AS v FROM graph GROUP BY s, p) GROUP BY s""",
-    G,
-)(lambda s, d: writers.to_jsonld(graph(s, d)))
+query("w04_to_jsonld", f"""SELECT s, p, {_VALUE} AS v FROM graph""", G)(
+    lambda s, d: writers.to_jsonld(graph(s, d))
+    .select("s", F.explode(F.map_filter(F.from_json("node", "map<string,string>"), lambda k, _: k != "@id")).alias("p", "values"))
+    .select("s", "p", F.explode(F.from_json("values", "array<string>")).alias("v"))
+)
 _XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _TAG = f"'<p:' || regexp_extract(p, '([^/#]*)$', 1) || ' xmlns:p=\"' || {_XML.format("regexp_replace(p, '[^/#]*$', '')")} || '\"'"
 _ELEMENT = f"""CASE WHEN o_kind = 'iri' THEN {_TAG} || ' rdf:resource="' || {_XML.format('o')} || '"/>' ELSE {_TAG} || CASE WHEN o_lang IS NOT NULL THEN ' xml:lang="' || o_lang || '"' WHEN o_dt IS NOT NULL THEN ' rdf:datatype="' || o_dt || '"' ELSE '' END || '>' || {_XML.format('o')} || '</p:' || regexp_extract(p, '([^/#]*)$', 1) || '>' END"""
-query("w05_to_rdfxml", f"""SELECT s, '<rdf:Description rdf:about="' || {_XML.format('s')} || '">' || array_to_string(list_sort(list({_ELEMENT})), '') || '</rdf:Description>' AS element FROM graph GROUP BY s""", G)(lambda s, d: writers.to_rdfxml(graph(s, d)))
+query("w05_to_rdfxml", f"SELECT {_XML.format('s')} AS s, {_ELEMENT} AS line FROM graph", G)(
+    lambda s, d: writers.to_rdfxml(graph(s, d)).select("s", F.explode(F.regexp_extract_all("element", F.lit("<p:[^>]*/>|<p:[^>]*[^/>]>[^<]*</p:[^>]*>"), 0)).alias("line"))
+)
 
 
 def _added_to_saved(s: SparkSession, d: str) -> DataFrame:
-    """The external graph saved, then the graph added to it as a set at a new path, and read back."""
-    one, two = scratch(s, "graph"), scratch(s, "graph")
-    writers.write_graph(rel(s, d, "external"), one)
-    writers.write_graph(graph(s, d).unionByName(rel(s, d, "external")), two, before=readers.read_graph(s, one))
-    return readers.read_graph(s, two)
+    """The external graph saved, then the graph added to it as a set, and read back."""
+    path = scratch(s, "graph")
+    store.insert(s, path, rel(s, d, "external"))
+    store.insert(s, path, graph(s, d).unionByName(rel(s, d, "external")))
+    return store.read_store(s, path)
 
 
 def _exported(s: SparkSession, d: str) -> DataFrame:

@@ -96,12 +96,6 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_ntriples(spark.read.text(path)).select(*TRIPLE_COLUMNS)
 
 
-def read_graph(spark: SparkSession, path: str) -> DataFrame:
-    """A graph that ``write_graph`` saved; a filter on the predicate reads its folders alone."""
-    saved = spark.read.schema("s string, o string, o_kind string, o_dt string, o_lang string, pred string").parquet(path)
-    return saved.withColumnRenamed("pred", "p").select(*TRIPLE_COLUMNS)
-
-
 def page_links(pages: DataFrame, column: str = "html") -> DataFrame:
     """(title, pos, url): external addresses in links of pages."""
     urls = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r'href="(https?://[^"]*)"'), 1)

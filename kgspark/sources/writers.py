@@ -12,19 +12,6 @@ from kgspark.model import FOAF, NS, OWL, RDF, RDFS, SCHEMA, TRIPLE_COLUMNS, TYPE
 from kgspark.operators.ontology import ontology_triples, shape_triples
 
 
-def write_graph(graph: DataFrame, path: str, before: DataFrame | None = None, unique: bool = False) -> None:
-    """Save as Parquet, a folder per predicate; ``before``: a saved graph to add to, as a set, at a new path.
-
-    Rows are dealt by predicate and rebalanced, so Spark splits those of a frequent predicate, as
-    type is, and small ones share a task. ``unique``: the triples are known to be a set.
-    """
-    out = graph.select(*TRIPLE_COLUMNS)
-    if before is not None:
-        out, unique = before.select(*TRIPLE_COLUMNS).unionByName(out), False
-    out = out if unique else out.dropDuplicates()
-    out.withColumnRenamed("p", "pred").hint("rebalance", "pred").write.mode("overwrite").partitionBy("pred").parquet(path)
-
-
 def escape(c: Column) -> Column:
     out = c
     for char, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -47,25 +34,69 @@ def prefixes(ns: Namespaces = NS) -> dict[str, str]:
     return {"res": ns.res, "page": ns.page, "ont": ns.ont, "prop": ns.prop, "card": ns.card, "schema": SCHEMA, "rdf": RDF, "rdfs": RDFS, "owl": OWL, "foaf": FOAF, "xsd": XSD}
 
 
-def to_turtle(graph: DataFrame) -> DataFrame:
-    """(s, block): one block per subject, predicates and objects in order; hubs are objects, so blocks stay small."""
+#: A block is closed after so many lines or characters; a subject of more has several blocks.
+MOST_LINES, MOST_CHARACTERS = 10_000, 1 << 20
+
+
+def blocks(lines: DataFrame, name: str, head: str, between: str, tail: str, most_lines: int = MOST_LINES) -> DataFrame:
+    """(s, block) of (s, key, line): a subject's lines in order, with a text around and between them.
+
+    Lines are dealt by ranges of (s, key, line) and sorted there, so the lines of a hub are spread over
+    tasks, and each task writes blocks as it reads, holding one at a time. A subject that a range
+    or ``most_lines`` cuts goes on in another block, which all formats here read as the same
+    subject. ``head`` and ``tail`` may hold ``{s}``; lines of an equal non-null key are put
+    together as ``key[line,line]``.
+    """
+    ordered = lines.repartitionByRange("s", "key", "line").sortWithinPartitions("s", "key", "line")
+
+    def block(subject: str, own: list[tuple[str | None, str]]) -> str:
+        if own[0][0] is None:
+            body = between.join(line for _, line in own)
+        else:
+            keyed: dict[str, list[str]] = {}
+            for key, line in own:
+                keyed.setdefault(key, []).append(line)
+            body = between.join(f"{key}[{','.join(some)}]" for key, some in keyed.items())
+        return head.replace("{s}", subject) + body + tail
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, own, size, done, length = None, [], 0, [], 0
+        for batch in batches:
+            for s, key, line in zip(batch["s"], batch["key"], batch["line"], strict=True):
+                if own and (s != subject or len(own) >= most_lines or size >= MOST_CHARACTERS):
+                    done.append((subject, block(subject, own)))
+                    length += size
+                    own, size = [], 0
+                    if len(done) >= 10_000 or length >= 8 * MOST_CHARACTERS:
+                        yield pd.DataFrame(done, columns=["s", name])
+                        done, length = [], 0
+                subject = s
+                own.append((key, line))
+                size += len(line)
+        if own:
+            done.append((subject, block(subject, own)))
+        if done:
+            yield pd.DataFrame(done, columns=["s", name])
+
+    return ordered.mapInPandas(run, f"s string, {name} string")
+
+
+def to_turtle(graph: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
+    """(s, block): predicates and objects of a subject in order; a hub has several blocks."""
     pair = F.concat(F.when(F.col("p") == TYPE, "a").otherwise(F.concat(F.lit("<"), "p", F.lit(">"))), F.lit(" "), object_term())
-    lines = F.array_join(F.array_sort(F.collect_list(pair)), " ;\n    ")
-    return graph.groupBy("s").agg(lines.alias("lines")).select("s", F.concat(F.lit("<"), "s", F.lit("> "), "lines", F.lit(" .")).alias("block"))
+    return blocks(graph.select("s", F.lit(None).cast("string").alias("key"), pair.alias("line")), "block", "<{s}> ", " ;\n    ", " .", most_lines)
 
 
-def to_jsonld(graph: DataFrame) -> DataFrame:
-    """(s, node): one JSON-LD node object per subject."""
+def to_jsonld(graph: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
+    """(s, node): JSON-LD node objects, one per subject; a hub has several with its id."""
     value = (
         F.when(F.col("o_kind") == "iri", F.to_json(F.struct(F.col("o").alias("@id"))))
         .when(F.col("o_lang").isNotNull(), F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_lang").alias("@language"))))
         .when(F.col("o_dt").isNotNull(), F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_dt").alias("@type"))))
         .otherwise(F.to_json(F.struct(F.col("o").alias("@value"))))
     )
-    values = graph.groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias("v"))
-    keyed = F.concat(F.lit('"'), F.col("p"), F.lit('":['), F.col("v"), F.lit("]"))
-    nodes = values.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(keyed)), ",").alias("body"))
-    return nodes.select("s", F.concat(F.lit('{"@id":"'), "s", F.lit('",'), "body", F.lit("}")).alias("node"))
+    key = F.concat(F.lit('"'), F.col("p"), F.lit('":'))
+    return blocks(graph.select("s", key.alias("key"), value.alias("line")), "node", '{"@id":"{s}",', ",", "}", most_lines)
 
 
 def _xml(c: Column) -> Column:
@@ -74,15 +105,15 @@ def _xml(c: Column) -> Column:
     return c
 
 
-def to_rdfxml(graph: DataFrame) -> DataFrame:
-    """(s, element): one description element per subject; each property names its own namespace."""
+def to_rdfxml(graph: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
+    """(s, element): description elements, one per subject, several for a hub; each property names its own namespace."""
     local = F.regexp_extract("p", r"([^/#]*)$", 1)
     space = F.regexp_replace("p", r"[^/#]*$", "")
     opening = F.concat(F.lit("<p:"), local, F.lit(' xmlns:p="'), _xml(space), F.lit('"'))
     tail = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit(' xml:lang="'), "o_lang", F.lit('"'))).when(F.col("o_dt").isNotNull(), F.concat(F.lit(' rdf:datatype="'), "o_dt", F.lit('"'))).otherwise("")
     element = F.when(F.col("o_kind") == "iri", F.concat(opening, F.lit(' rdf:resource="'), _xml(F.col("o")), F.lit('"/>'))).otherwise(F.concat(opening, tail, F.lit(">"), _xml(F.col("o")), F.lit("</p:"), local, F.lit(">")))
-    body = graph.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(element)), "").alias("body"))
-    return body.select("s", F.concat(F.lit('<rdf:Description rdf:about="'), _xml(F.col("s")), F.lit('">'), "body", F.lit("</rdf:Description>")).alias("element"))
+    named = graph.select(_xml(F.col("s")).alias("s"), F.lit(None).cast("string").alias("key"), element.alias("line"))
+    return blocks(named, "element", '<rdf:Description rdf:about="{s}">', "", "</rdf:Description>", most_lines)
 
 
 def wrapped(lines: DataFrame, head: str, tail: str) -> DataFrame:
