@@ -245,10 +245,13 @@ def multilingual_stats(graph: DataFrame, titles: DataFrame, languages: tuple[str
 
 
 def enrich_all(graph: DataFrame, cards: DataFrame | None = None, table: DataFrame | None = None, titles: DataFrame | None = None, max_entities: int | None = None, ns: Namespaces = NS) -> DataFrame:
-    """The graph after cards, then the character table, then titles in other languages; each is optional."""
+    """The graph after cards, then the character table, then titles in other languages; each is optional.
+
+    What a step adds is materialised once, since the next steps read the graph several times.
+    """
     for more, f in ((cards, enrich_cards), (table, enrich_csv)):
         if more is not None:
-            graph = graph.select(*TRIPLE_COLUMNS).unionByName(f(graph, more, ns=ns)).dropDuplicates()
+            graph = graph.select(*TRIPLE_COLUMNS).unionByName(checkpointed(f(graph, more, ns=ns))).dropDuplicates()
     if titles is not None:
         graph = graph.unionByName(enrich_multilingual(graph, titles, max_entities=max_entities, ns=ns)).dropDuplicates()
     return graph
