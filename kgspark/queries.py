@@ -611,6 +611,15 @@ def _reread(s: SparkSession, df: DataFrame, name: str, fmt: str, read):
 
 
 query("s01_read_pages", "SELECT title, wikitext FROM wiki", ("wiki",))(lambda s, d: _reread(s, rel(s, d, "wiki"), "pages", "json", lambda s, path: readers.read_pages(s, path, "json")))
+def _xml_pages(s: SparkSession, d: str) -> DataFrame:
+    """The wiki as an XML dump, a ``page`` element per page, and read back."""
+    path = scratch(s, "dump")
+    pages = rel(s, d, "wiki").select("title", F.struct(F.col("wikitext").alias("text")).alias("revision"))
+    pages.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    return readers.read_pages(s, path, "xml")
+
+
+query("s01_read_xml_dump", "SELECT title, wikitext FROM wiki", ("wiki",))(_xml_pages)
 query("s05_read_character_csv", "SELECT name, gender, nullif(race, '') AS race, hair, height, realm FROM csv WHERE name <> ''", ("csv",))(
     lambda s, d: _reread(s, rel(s, d, "csv").drop("pos"), "csv", "csv", readers.read_character_csv).drop("pos")
 )
