@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.model import LABEL, SAME_AS, SUBCLASS, TRIPLE_COLUMNS, TYPE, checkpointed, edges, match
+from kgspark.sources.ordered import Finder, scan
 
 
 def subclass_closure(graph: DataFrame, p: str = SUBCLASS) -> DataFrame:
@@ -44,44 +45,60 @@ def all_classes(graph: DataFrame, seeds: DataFrame, closure: DataFrame) -> DataF
     return with_ancestors(types, closure).join(labels, "class", "left").select("entity", "class", "class_label").distinct()
 
 
-def describe(graph: DataFrame, seeds: DataFrame) -> DataFrame:
-    """All triples with a seed as subject or object."""
-    out = graph.join(seeds, graph.s == seeds.entity, "left_semi")
-    into = graph.join(seeds, graph.o == seeds.entity, "left_semi")
-    return out.unionByName(into).select(*TRIPLE_COLUMNS).dropDuplicates()
+def describe(graph: DataFrame, seeds: DataFrame, find: Finder | None = None) -> DataFrame:
+    """All triples with a seed as subject or object; ``find``, here and below, looks them up instead of reading the graph."""
+    if find:
+        keys = seeds.select("entity").distinct()
+        out, into = find(keys, "entity", "s"), find(keys, "entity", "o")
+    else:
+        out = graph.join(seeds, graph.s == seeds.entity, "left_semi")
+        into = graph.join(seeds, graph.o == seeds.entity, "left_semi")
+    return out.select(*TRIPLE_COLUMNS).unionByName(into.select(*TRIPLE_COLUMNS)).dropDuplicates()
 
 
-def _same(graph: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _same(graph: DataFrame, seeds: DataFrame, find: Finder | None = None) -> tuple[DataFrame, DataFrame]:
     """(entity, same) of equivalences stated from, and to, the seeds."""
+    if find:
+        keys, is_same = seeds.select("entity").distinct(), F.col("p") == SAME_AS
+        out = find(keys, "entity", "s").filter(is_same).select("entity", F.col("o").alias("same"))
+        return out, find(keys, "entity", "o").filter(is_same).select("entity", F.col("s").alias("same"))
     out = edges(graph, SAME_AS, "entity", "same").join(seeds, "entity", "left_semi")
     into = edges(graph, SAME_AS, "same", "entity").join(seeds, "entity", "left_semi").select("entity", "same")
     return out, into
 
 
-def relations_with_sameas(graph: DataFrame, seeds: DataFrame) -> DataFrame:
+def relations_with_sameas(graph: DataFrame, seeds: DataFrame, find: Finder | None = None) -> DataFrame:
     """(entity, subject, predicate, object, source): direct relations and those of stated equivalents, in five branches."""
-    t = graph.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"))
-    out, into = _same(graph, seeds)
-    rest = t.filter(F.col("predicate") != SAME_AS)
-    part = lambda df, source: df.select("entity", "subject", "predicate", "object", F.lit(source).alias("source"))
+    out, into = _same(graph, seeds, find)
+    own, find = seeds.select("entity"), find or scan(graph)
+
+    def part(keys: DataFrame, key: str, by: str, source: str) -> DataFrame:
+        rows = find(keys, key, by)
+        rows = rows if source == "direct" else rows.filter(F.col("p") != SAME_AS)
+        return rows.select("entity", F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), F.lit(source).alias("source"))
+
     return (
-        part(t.join(seeds.select("entity"), F.col("subject") == F.col("entity")), "direct")
-        .unionByName(part(t.join(seeds.select("entity"), F.col("object") == F.col("entity")), "direct"))
-        .unionByName(part(rest.join(out, F.col("subject") == F.col("same")), "sameAs-outgoing"))
-        .unionByName(part(rest.join(into, F.col("subject") == F.col("same")), "sameAs-incoming"))
-        .unionByName(part(rest.join(out, F.col("object") == F.col("same")), "sameAs-as-object"))
+        part(own, "entity", "s", "direct")
+        .unionByName(part(own, "entity", "o", "direct"))
+        .unionByName(part(out, "same", "s", "sameAs-outgoing"))
+        .unionByName(part(into, "same", "s", "sameAs-incoming"))
+        .unionByName(part(out, "same", "o", "sameAs-as-object"))
         .distinct()
     )
 
 
-def describe_with_inference(graph: DataFrame, seeds: DataFrame, closure: DataFrame) -> DataFrame:
+def describe_with_inference(graph: DataFrame, seeds: DataFrame, closure: DataFrame, find: Finder | None = None) -> DataFrame:
     """The description of the seeds with inherited types and equivalences turned to start from the seed."""
-    out, into = _same(graph, seeds)
+    out, into = _same(graph, seeds, find)
     nothing = [F.lit(None).cast("string").alias(c) for c in ("o_dt", "o_lang")]
-    types = with_ancestors(edges(graph, TYPE, "entity", "type").join(seeds, "entity", "left_semi"), closure)
+    if find:
+        own = find(seeds.select("entity").distinct(), "entity", "s").filter(F.col("p") == TYPE).select("entity", F.col("o").alias("type"))
+    else:
+        own = edges(graph, TYPE, "entity", "type").join(seeds, "entity", "left_semi")
+    types = with_ancestors(own, closure)
     inferred = types.select(F.col("entity").alias("s"), F.lit(TYPE).alias("p"), F.col("class").alias("o"), F.lit("iri").alias("o_kind"), *nothing)
     same = out.unionByName(into).select(F.col("entity").alias("s"), F.lit(SAME_AS).alias("p"), F.col("same").alias("o"), F.lit("iri").alias("o_kind"), *nothing)
-    return inferred.unionByName(describe(graph, seeds)).unionByName(same).dropDuplicates()
+    return inferred.unionByName(describe(graph, seeds, find)).unionByName(same).dropDuplicates()
 
 
 def inferred_types(graph: DataFrame, cls: str, closure: DataFrame, limit: int | None = None) -> DataFrame:
@@ -107,11 +124,12 @@ def external_facts(graph: DataFrame, external: DataFrame, host: str = "dbpedia.o
     return facts if most is None else facts.withColumn("n", F.row_number().over(W.partitionBy("entity").orderBy("property", "value"))).filter(F.col("n") <= most).drop("n")
 
 
-def relations_out_sameas(graph: DataFrame, seeds: DataFrame) -> DataFrame:
+def relations_out_sameas(graph: DataFrame, seeds: DataFrame, find: Finder | None = None) -> DataFrame:
     """(entity, predicate, object): outgoing relations of the seeds and of their stated equivalents, repeats kept."""
-    out, _ = _same(graph, seeds)
-    own = graph.join(seeds.select("entity"), F.col("s") == F.col("entity")).select("entity", F.col("p").alias("predicate"), F.col("o").alias("object"))
-    return own.unionByName(graph.join(out, F.col("s") == F.col("same")).select("entity", F.col("p").alias("predicate"), F.col("o").alias("object")))
+    out, _ = _same(graph, seeds, find)
+    find = find or scan(graph)
+    part = lambda keys, key: find(keys, key, "s").select("entity", F.col("p").alias("predicate"), F.col("o").alias("object"))
+    return part(seeds.select("entity"), "entity").unionByName(part(out, "same"))
 
 
 def inference_report(graph: DataFrame, seeds: DataFrame, closure: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from kgspark.functions.wikitext import parse_pages
 from kgspark.jobs.demo import RELATIONS, relation, saved, store_of
 from kgspark.model import DBPEDIA, FOAF, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, SUBCLASS, TRIPLE_COLUMNS, TYPE, WIKIDATA, YAGO, edges, match, merge
 from kgspark.operators import enrich, explore, generate, infer, linking, ontology, validate
-from kgspark.sources import readers, store, writers
+from kgspark.sources import ordered, readers, store, writers
 
 ONT, PROP, RES = NS.ont, NS.prop, NS.res
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,14 @@ def full(spark: SparkSession, d: str) -> DataFrame:
     return graph(spark, d).unionByName(rel(spark, d, "external"))
 
 
+def looked_up(spark: SparkSession, d: str, *names: str) -> ordered.Finder:
+    """Lookups in saved relations, whose layers are copied in the order of subjects and objects once."""
+    paths = [store_of(spark, d, name) for name in names]
+    for path in paths:
+        ordered.order(spark, path)
+    return ordered.finder(spark, *paths)
+
+
 LOCAL = "regexp_extract(regexp_extract({0}, '([^/]*)$', 1), '([^#]*)$', 1)"
 G = ("graph",)
 
@@ -265,6 +273,15 @@ query(
     ALL,
 )(reasoning_page)
 
+# The same over copies in the order of subjects and objects.
+for _name, _plain, _own, _run in (
+    ("q01_describe_ordered", "q01_describe", ("graph",), lambda g, seeds, up, find: infer.describe(g, seeds, find)),
+    ("r03_relations_ordered", "r03_relations_with_sameas", ALL[:2], lambda g, seeds, up, find: infer.relations_with_sameas(g, seeds, find)),
+    ("r04_describe_ordered", "r04_describe_with_inference", ALL[:2], lambda g, seeds, up, find: infer.describe_with_inference(g, seeds, up(), find)),
+    ("r09_relations_out_ordered", "r09_relations_out_sameas", ALL[:2], lambda g, seeds, up, find: infer.relations_out_sameas(g, seeds, find)),
+):
+    query(_name, ORACLE_SQL[_plain])(lambda s, d, own=_own, run=_run: run(full(s, d), rel(s, d, "seeds"), lambda: closure(s, d), looked_up(s, d, *own)))
+
 # --- validation -------------------------------------------------------------------------------
 
 _V1 = f"""v1 AS (SELECT DISTINCT s AS entity, {LOCAL.format('o')} AS type, 'Missing required rdfs:label' AS violation, 'error' AS severity FROM graph t
