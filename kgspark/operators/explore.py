@@ -33,9 +33,12 @@ def home_statistics(graph: DataFrame, ns: Namespaces = NS) -> DataFrame:
     )
 
 
-def search_label(graph: DataFrame, term: str, cls: str | None = None, limit: int = 50) -> DataFrame:
-    """(s, label, type): labels that contain a term in any case, with each type; the filter runs on labels alone."""
-    found = edges(graph, LABEL, o="label").filter(F.lower("label").contains(term.lower()))
+def search_label(graph: DataFrame, term: str, cls: str | None = None, limit: int = 50, labels: DataFrame | None = None) -> DataFrame:
+    """(s, label, type): labels that contain a term in any case, with each type; the filter runs on labels alone.
+
+    ``labels``, here and below: label triples that an index found for the term, in place of all labels.
+    """
+    found = edges(graph if labels is None else labels, LABEL, o="label").filter(F.lower("label").contains(term.lower()))
     types = edges(graph, TYPE, o="type")
     out = found.join(types, "s", "left") if cls is None else found.join(types.filter(F.col("type") == cls), "s")
     return out.distinct().orderBy("s", "label", "type").limit(limit)
@@ -52,10 +55,10 @@ def bucket(cls: Column, ns: Namespaces = NS) -> Column:
     )
 
 
-def search_entities(graph: DataFrame, term: str, wanted: str | None = None, limit: int = 50, ns: Namespaces = NS) -> DataFrame:
+def search_entities(graph: DataFrame, term: str, wanted: str | None = None, limit: int = 50, ns: Namespaces = NS, labels: DataFrame | None = None) -> DataFrame:
     """(s, label, bucket): one row per matching entity of a known type; of several buckets the first by precedence."""
     order = F.array(*[F.lit(x) for x in ("character", "location", "artifact", "event", "other")])
-    found = edges(graph, LABEL, o="label").filter(F.lower("label").contains(term.lower()))
+    found = edges(graph if labels is None else labels, LABEL, o="label").filter(F.lower("label").contains(term.lower()))
     types = edges(graph, TYPE, o="type").withColumn("bucket", bucket(F.col("type"), ns)).filter("bucket IS NOT NULL")
     rows = found.join(types, "s").groupBy("s").agg(F.min("label").alias("label"), F.min(F.array_position(order, F.col("bucket"))).alias("b"))
     rows = rows.select("s", "label", F.element_at(order, F.col("b").cast("int")).alias("bucket"))

@@ -14,7 +14,7 @@ from kgspark.functions.wikitext import parse_pages
 from kgspark.jobs.demo import RELATIONS, relation, saved, store_of
 from kgspark.model import DBPEDIA, FOAF, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, SUBCLASS, TRIPLE_COLUMNS, TYPE, WIKIDATA, YAGO, edges, match, merge
 from kgspark.operators import enrich, explore, generate, infer, linking, ontology, validate
-from kgspark.sources import ordered, readers, store, writers
+from kgspark.sources import grams, ordered, readers, store, writers
 
 ONT, PROP, RES = NS.ont, NS.prop, NS.res
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,16 @@ query(
     WHERE bucket = 'character' ORDER BY s LIMIT 50""",
     G,
 )(lambda s, d: explore.search_entities(graph(s, d), "1", "character"))
+def indexed(s: SparkSession, d: str, term: str) -> DataFrame:
+    """Label triples of the saved graph that hold a term, by the index of its labels, which is built once."""
+    path = store_of(s, d, "graph")
+    grams.index_labels(s, path)
+    return grams.labels_with(s, path, term)
+
+
+query("q02_search_indexed", ORACLE_SQL["q02_search_label"])(lambda s, d: explore.search_label(graph(s, d), "Ring", labels=indexed(s, d, "Ring")))
+query("q03_search_indexed", ORACLE_SQL["q03_search_entities"])(lambda s, d: explore.search_entities(graph(s, d), "1", "character", labels=indexed(s, d, "1")))
+query("q02_labels_with_term", f"SELECT * FROM graph WHERE p = '{LABEL}' AND contains(lower(o), 'lue')", G)(lambda s, d: indexed(s, d, "LUE"))
 query(
     "q04_entity_links",
     f""", k AS (SELECT s, o, CASE WHEN starts_with(o, '{NS.wiki}') THEN NULL WHEN contains(o, 'fandom') THEN 'fandom' WHEN contains(o, 'dbpedia') THEN 'dbpedia'

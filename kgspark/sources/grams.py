@@ -27,9 +27,10 @@ RAREST = 3
 
 def _grams(text: Column) -> Column:
     """The distinct runs of three characters of a text in lower case, and the shorter ones at its end."""
-    char = F.split(F.lower(text), "")
-    at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
-    return F.array_distinct(F.transform(char, lambda c, i: F.concat(c, at(char, i + 1), at(char, i + 2))))
+    at = lambda chars, i: F.coalesce(F.get(chars, i), F.lit(""))
+    runs = lambda chars: F.transform(chars, lambda c, i: F.concat(c, at(chars, i + 1), at(chars, i + 2)))
+    # The characters are bound once, as the element of an array; named directly, they would be split again for each place.
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(F.lower(text), "")), runs)))
 
 
 def _bucket(first: Column) -> Column:
@@ -79,18 +80,16 @@ def index_labels(spark: SparkSession, path: str, slot_rows: int = 1_000_000) ->
 def _ids(spark: SparkSession, data: str, term: str) -> DataFrame | None:
     """The ids of labels that may hold a term; None where a gram of the term is in no label."""
     posted = spark.read.schema("gram string, id long, bucket int").parquet(f"{data}/postings")
-    bucket = lambda chars: F.col("bucket").isin([r.b for r in chars])
+    in_buckets = lambda own: F.col("bucket").isin(*[_bucket(F.lit(c)) for c in dict.fromkeys(g[0] for g in own)])  # noqa: E731  # constants, so they prune folders
     wanted = list(dict.fromkeys(term[i : i + 3] for i in range(len(term) - 2))) or [term]
-    known = spark.createDataFrame([(c,) for c in dict.fromkeys(g[0] for g in wanted)], "c string").select(_bucket(F.col("c")).alias("b")).collect()
     if len(term) < 3:  # every place of a label begins a gram
-        return posted.filter(bucket(known)).filter(F.col("gram").startswith(term)).select("id").distinct()
+        return posted.filter(in_buckets(wanted)).filter(F.col("gram").startswith(term)).select("id").distinct()
     counts = spark.read.schema("gram string, n long, bucket int").parquet(f"{data}/counts")
-    n = {r.gram: r.n for r in counts.filter(bucket(known)).filter(F.col("gram").isin(wanted)).collect()}  # as many rows as the term has grams
+    n = {r.gram: r.n for r in counts.filter(in_buckets(wanted)).filter(F.col("gram").isin(wanted)).collect()}  # as many rows as the term has grams
     if len(n) < len(wanted):
         return None
     rarest = sorted(wanted, key=lambda g: (n[g], g))[:RAREST]
-    known = spark.createDataFrame([(c,) for c in dict.fromkeys(g[0] for g in rarest)], "c string").select(_bucket(F.col("c")).alias("b")).collect()
-    met = posted.filter(bucket(known)).filter(F.col("gram").isin(rarest))
+    met = posted.filter(in_buckets(rarest)).filter(F.col("gram").isin(rarest))
     return met.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(rarest)).select("id")
 
 
