@@ -71,7 +71,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
     Terms are weighed by inverse document frequency in the sample, and the sample's leading
     singular vectors span the latent space. Returns the projection, the unit vectors and their
-    labels: about 2.7 MB at the default bounds, whatever the size of the corpus.
+    labels: about 2.7 MB at the default bounds, whatever the size of the corpus. ``labelled_sample``
+    says which rows are left out; null and empty texts have no terms; other columns are ignored.
     """
     sample = labelled_sample(docs, labels, label_col, {0: most_labelled // 2, 1: most_labelled // 2}, id_col, text_col)
 
@@ -105,7 +106,8 @@ def score_quality(docs: DataFrame, model: dict, neighbours: int = 15, id_col: st
 
     The model is broadcast; each task computes exact cosines of its documents with all labelled
     vectors, in blocks. Null or empty texts, which have no direction, get the mean label of the
-    model (0.5 without labels). Repeated rows get equal scores; an empty table gives no rows.
+    model (0.5 without labels). Of labelled vectors that are equally near at the last place, any may
+    vote. Ids may be null, each row is scored by itself, and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -141,16 +141,17 @@ def fit_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> dict:
-    """Fit the machine on the strings of labelled sentences.
+    """Fit the machine on the strings (words, and letters spelled out) of labelled documents.
 
-    Sentences take the label of their document, of which at most ``most_toxic`` and ``most_clean``
-    are read; Spark counts in how many documents of each label a string occurs. A string that
+    Of documents at most ``most_toxic`` and ``most_clean`` are read; Spark counts in how many documents of each label a string occurs. A string that
     toxic documents hold more often than chance is a positive instance, weighed by the root of
     that excess, and every string is a negative instance by the root of its clean count.
     Landmarks are the strings of the largest excess and, after each of three rounds, clean strings
     that scored highest; those also join the training set. The landmark kernel's inverse root
     gives Nyström features for a linear machine, and a logistic curve fitted on the sample's
-    documents turns decisions into probabilities.
+    documents turns decisions into probabilities. ``labelled_sample`` says which rows are left out;
+    null and empty texts have no strings; without toxic or without clean documents the machine calls
+    every text by the label that there is (clean, if there is none).
     """
     sample = labelled_sample(docs, labels, label_col, {1: most_toxic, 0: most_clean}, id_col, text_col)
 
@@ -241,7 +242,8 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     """(id, score): the probability that a text is toxic, by its most toxic string.
 
     Each task holds the landmarks and remembers a bounded number of strings. Null or empty texts
-    score as a text without any string; repeated rows score alike; an empty table gives no rows.
+    score as a text without any string; ids may be null; repeated rows score alike; an empty table
+    gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     return _scored(docs.select(F.col(id_col), text_or_empty(text_col)), model, f"`{id_col}` {kind}")
