@@ -1,4 +1,7 @@
-"""From raw documents to packed training windows: quality, shared lines, near-duplicates, mixing, packing."""
+"""From raw documents to packed training windows: quality, shared lines, near-duplicates, mixing, packing.
+
+Stages read the five columns of documents and drop others; of an empty table each makes an empty one.
+"""
 
 from __future__ import annotations
 
@@ -17,14 +20,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.5 or more."""
+    """Documents that the quality classifier scores 0.5 or more; a null or empty text scores as the share of good labels among those learned."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = score_quality(docs, model, carry=COLUMNS[1:])
     return scored.filter("score >= 0.5").select(*COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the lines that ten or more sources share; n_chars follows the text."""
+    """All rows without the lines that ten or more sources share; n_chars follows the text, and both stay null for a null text."""
     return remove_shared_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -40,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each row as often as the mix of sources takes it; null ids and repeated rows are rows like others, a null source is one of its own."""
     keyed = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")))
     taken = mix_sources(keyed, carry=("row_key",)).filter("copies > 0").select("row_key", "copies")
     copies = keyed.join(taken, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
@@ -48,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of at most 2048 tokens over all documents of the mix."""
+    """Windows of at most 2048 tokens over all rows of the mix, null texts as empty ones; columns other than id and text are ignored."""
     return pack_documents(docs, tokenizer_path())
 
 
