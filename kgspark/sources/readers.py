@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.model import TRIPLE_COLUMNS
+from kgspark.sources.jsonsplit import split_cards
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -19,7 +20,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 def cards_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
     """Flat cards of texts that each hold {set: {cards: {id: card}}} or cards by themselves.
 
-    Sets are dealt out again after the first explode, since a whole file is one row. ``pos`` is
+    Sets are dealt out again after the first explode, since a text is one row; files are better read by ``read_cards``. ``pos`` is
     the place in the file's order; names and texts may be strings or {language: string}; what is
     no object is left out.
     """
@@ -28,7 +29,11 @@ def cards_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
     inner = F.get_json_object("body", "$.cards")
     many = sets.filter(inner.isNotNull()).select("set_pos", F.posexplode(F.from_json(inner, named)).alias("card_pos", "key", "card")).filter(F.col("card").startswith("{"))
     alone = sets.filter(inner.isNull()).select("set_pos", F.lit(0).alias("card_pos"), F.col("set_id").alias("key"), F.col("body").alias("card"))
-    cards = many.unionByName(alone)
+    return flat_cards(many.unionByName(alone).select((F.col("set_pos").cast("long") * 1_000_000_000 + F.col("card_pos")).alias("pos"), "card"))
+
+
+def flat_cards(cards: DataFrame) -> DataFrame:
+    """The fields of cards, given as (pos, card); what isn't there is null, names and texts are then empty."""
 
     def english(field: str) -> Column:
         raw = F.get_json_object("card", f"$.{field}")
@@ -42,7 +47,7 @@ def cards_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
 
     first = lambda *fields: F.coalesce(*[F.nullif(F.get_json_object("card", f"$.{f}"), F.lit("")) for f in fields])
     return cards.select(
-        (F.col("set_pos").cast("long") * 1_000_000_000 + F.col("card_pos")).alias("pos"),
+        "pos",
         first("id", "code").alias("card_id"),
         F.coalesce(F.nullif(english("name"), F.lit("")), english("Name")).alias("name_en"),
         F.coalesce(F.nullif(english("text"), F.lit("")), english("Text")).alias("text_en"),
@@ -55,8 +60,8 @@ def cards_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
-    """Flat cards of JSON files."""
-    return cards_from_json(spark.read.text(path, wholetext=True))
+    """Flat cards of JSON files of any size; ``pos`` follows the order of files and of cards within one."""
+    return flat_cards(split_cards(spark, path))
 
 
 def cached_cards(spark: SparkSession, source: str, kept: str) -> DataFrame:
