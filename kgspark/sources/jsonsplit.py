@@ -4,7 +4,8 @@ A file is read as the fragments between its closing braces, so Spark splits it w
 stands. What a fragment means depends on what came before: whether it begins within a string, and
 in which objects. A first pass sums up each split for both beginnings, a fold over the summaries of
 a file gives each split its true one, and a second pass cuts the cards out. Cards that a split's
-edge breaks are put together again from their pieces; whole ones are not shuffled for it.
+edge breaks are put together again from their pieces. The fragments are shuffled once, by split; whole cards are not
+shuffled again.
 """
 
 from __future__ import annotations
@@ -178,8 +179,8 @@ def split_cards(spark: SparkSession, path: str) -> DataFrame:
     """(pos, card): the JSON text of each card of files that hold {set: {cards: {id: card}}} or cards by themselves.
 
     ``pos`` follows the files' order and, within one, that of the text. An entry of the file without
-    an object ``cards`` is a card itself; entries and cards that are no objects are left out, as is
-    what a file that breaks off leaves open. Empty files have no cards. A task holds a batch of
+    an object ``cards`` is a card itself; entries and cards that are no objects are left out.
+    Files must be valid JSON; in one that breaks off, the object at the break may count as closed there. Empty files have no cards. A task holds a batch of
     fragments and the card that it reads, whatever the size of the file or of a set; splits are as
     long as ``spark.sql.files.maxPartitionBytes`` says. A compressed file is one split.
     """
