@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import dbpedia_iri, is_domain_title, wikipedia_url, yago_iri
-from kgspark.model import WIKIDATA
+from kgspark.model import WIKIDATA, large
 
 #: What is added to a name for another search, in order.
 SUFFIXES = ("", " (Middle-earth)", " (character)", " Tolkien", " Lord of the Rings")
@@ -22,14 +22,14 @@ def search_variants(names: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> D
 
 def match_wikipedia(names: DataFrame, search_hits: DataFrame, most: int = 5) -> DataFrame:
     """(name, title): the first title of the domain, by variant and then by rank. Hits are tested before the shuffle."""
-    found = search_variants(names).join(search_hits.filter(F.col("rank") <= most), "query")
+    found = search_variants(names).join(large(search_hits.filter(F.col("rank") <= most)), "query")
     found = found.filter(is_domain_title(F.col("title"), F.col("name")))
     return found.groupBy("name").agg(F.min(F.struct("variant", "rank", "title"))["title"].alias("title"))
 
 
 def wikidata_from_title(titles: DataFrame, page_props: DataFrame) -> DataFrame:
     """(name, title, item), item null where the table has none."""
-    return titles.join(page_props.select("title", F.col("wikibase_item").alias("item")), "title", "left").select("name", "title", "item")
+    return titles.join(large(page_props.select("title", F.col("wikibase_item").alias("item"))), "title", "left").select("name", "title", "item")
 
 
 def wikidata_fallback(names: DataFrame, matched: DataFrame, entity_hits: DataFrame, most: int = 5) -> DataFrame:
@@ -39,8 +39,8 @@ def wikidata_fallback(names: DataFrame, matched: DataFrame, entity_hits: DataFra
     for word in DESCRIPTION_WORDS:
         domain = domain | described.contains(word)
     hits = entity_hits.filter((F.col("rank") <= most) & domain)
-    left = names.select("name").distinct().join(matched, "name", "left_anti")
-    return left.join(hits, F.col("name") == F.col("query")).groupBy("name").agg(F.min(F.struct("rank", "id"))["id"].alias("item"))
+    left = names.select("name").distinct().join(large(matched), "name", "left_anti")
+    return left.join(large(hits), F.col("name") == F.col("query")).groupBy("name").agg(F.min(F.struct("rank", "id"))["id"].alias("item"))
 
 
 def discover_links(names: DataFrame, search_hits: DataFrame, page_props: DataFrame, entity_hits: DataFrame) -> DataFrame:
@@ -58,10 +58,10 @@ def discover_links(names: DataFrame, search_hits: DataFrame, page_props: DataFra
 def linking_summary(names: DataFrame, links: DataFrame) -> DataFrame:
     """One row: distinct names, and those with a link."""
     linked = links.select("name").distinct().withColumn("hit", F.lit(1))
-    return names.select("name").distinct().join(linked, "name", "left").agg(F.count("*").alias("total"), F.count("hit").alias("found"))
+    return names.select("name").distinct().join(large(linked), "name", "left").agg(F.count("*").alias("total"), F.count("hit").alias("found"))
 
 
 def verify_links(links: DataFrame, known: DataFrame) -> DataFrame:
     """Links with a flag whether their IRI is a known subject."""
     subjects = known.select("uri").distinct().withColumn("hit", F.lit(True))
-    return links.join(subjects, "uri", "left").select("name", "link_type", "uri", F.coalesce("hit", F.lit(False)).alias("exists"))
+    return links.join(large(subjects), "uri", "left").select("name", "link_type", "uri", F.coalesce("hit", F.lit(False)).alias("exists"))
