@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,16 +38,18 @@ def prefixes(ns: Namespaces = NS) -> dict[str, str]:
 MOST_LINES, MOST_CHARACTERS = 10_000, 1 << 20
 
 
-def blocks(lines: DataFrame, name: str, head: str, between: str, tail: str, most_lines: int = MOST_LINES) -> DataFrame:
-    """(s, block) of (s, key, line): a subject's lines in order, with a text around and between them.
+def blocks(graph: DataFrame, key: Column, line: Column, name: str, head: str, between: str, tail: str, most_lines: int | None = MOST_LINES, quoted: Callable[[str], str] = str) -> DataFrame:
+    """(s, block): the lines of a subject's triples in order of (key, line), with a text around and between them.
 
-    Lines are dealt by ranges of (s, key, line) and sorted there, so the lines of a hub are spread over
-    tasks, and each task writes blocks as it reads, holding one at a time. A subject that a range
+    Triples are dealt by ranges of (s, p, o), so a hub is spread over tasks; lines are made and sorted
+    there, and each task writes blocks as it reads, holding one at a time. A subject that a range
     or ``most_lines`` cuts goes on in another block, which all formats here read as the same
-    subject. ``head`` and ``tail`` may hold ``{s}``; lines of an equal non-null key are put
-    together as ``key[line,line]``.
+    subject. With ``most_lines`` None each subject has one block, as large as it is. ``head`` and ``tail`` may hold
+    ``{s}``, ``quoted`` by the format; lines of an equal non-null key are put together as ``key[line,line]``.
     """
-    ordered = lines.repartitionByRange("s", "key", "line").sortWithinPartitions("s", "key", "line")
+    dealt = graph.select(*TRIPLE_COLUMNS).repartitionByRange(*(("s",) if most_lines is None else ("s", "p", "o")))
+    ordered = dealt.select("s", key.cast("string").alias("key"), line.alias("line")).sortWithinPartitions("s", "key", "line")
+    full = lambda n, size: most_lines is not None and (n >= most_lines or size >= MOST_CHARACTERS)
 
     def block(subject: str, own: list[tuple[str | None, str]]) -> str:
         if own[0][0] is None:
@@ -57,13 +59,13 @@ def blocks(lines: DataFrame, name: str, head: str, between: str, tail: str, most
             for key, line in own:
                 keyed.setdefault(key, []).append(line)
             body = between.join(f"{key}[{','.join(some)}]" for key, some in keyed.items())
-        return head.replace("{s}", subject) + body + tail
+        return head.replace("{s}", quoted(subject)) + body + tail
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         subject, own, size, done, length = None, [], 0, [], 0
         for batch in batches:
             for s, key, line in zip(batch["s"], batch["key"], batch["line"], strict=True):
-                if own and (s != subject or len(own) >= most_lines or size >= MOST_CHARACTERS):
+                if own and (s != subject or full(len(own), size)):
                     done.append((subject, block(subject, own)))
                     length += size
                     own, size = [], 0
@@ -81,13 +83,13 @@ def blocks(lines: DataFrame, name: str, head: str, between: str, tail: str, most
     return ordered.mapInPandas(run, f"s string, {name} string")
 
 
-def to_turtle(graph: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
+def to_turtle(graph: DataFrame, most_lines: int | None = MOST_LINES) -> DataFrame:
     """(s, block): predicates and objects of a subject in order; a hub has several blocks."""
     pair = F.concat(F.when(F.col("p") == TYPE, "a").otherwise(F.concat(F.lit("<"), "p", F.lit(">"))), F.lit(" "), object_term())
-    return blocks(graph.select("s", F.lit(None).cast("string").alias("key"), pair.alias("line")), "block", "<{s}> ", " ;\n    ", " .", most_lines)
+    return blocks(graph, F.lit(None), pair, "block", "<{s}> ", " ;\n    ", " .", most_lines)
 
 
-def to_jsonld(graph: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
+def to_jsonld(graph: DataFrame, most_lines: int | None = MOST_LINES) -> DataFrame:
     """(s, node): JSON-LD node objects, one per subject; a hub has several with its id."""
     value = (
         F.when(F.col("o_kind") == "iri", F.to_json(F.struct(F.col("o").alias("@id"))))
@@ -96,24 +98,32 @@ def to_jsonld(graph: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
         .otherwise(F.to_json(F.struct(F.col("o").alias("@value"))))
     )
     key = F.concat(F.lit('"'), F.col("p"), F.lit('":'))
-    return blocks(graph.select("s", key.alias("key"), value.alias("line")), "node", '{"@id":"{s}",', ",", "}", most_lines)
+    return blocks(graph, key, value, "node", '{"@id":"{s}",', ",", "}", most_lines)
+
+
+_XML_CODES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 
 
 def _xml(c: Column) -> Column:
-    for char, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for char, code in _XML_CODES:
         c = F.replace(c, F.lit(char), F.lit(code))
     return c
 
 
-def to_rdfxml(graph: DataFrame, most_lines: int = MOST_LINES) -> DataFrame:
+def _xml_text(text: str) -> str:
+    for char, code in _XML_CODES:
+        text = text.replace(char, code)
+    return text
+
+
+def to_rdfxml(graph: DataFrame, most_lines: int | None = MOST_LINES) -> DataFrame:
     """(s, element): description elements, one per subject, several for a hub; each property names its own namespace."""
     local = F.regexp_extract("p", r"([^/#]*)$", 1)
     space = F.regexp_replace("p", r"[^/#]*$", "")
     opening = F.concat(F.lit("<p:"), local, F.lit(' xmlns:p="'), _xml(space), F.lit('"'))
     tail = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit(' xml:lang="'), "o_lang", F.lit('"'))).when(F.col("o_dt").isNotNull(), F.concat(F.lit(' rdf:datatype="'), "o_dt", F.lit('"'))).otherwise("")
     element = F.when(F.col("o_kind") == "iri", F.concat(opening, F.lit(' rdf:resource="'), _xml(F.col("o")), F.lit('"/>'))).otherwise(F.concat(opening, tail, F.lit(">"), _xml(F.col("o")), F.lit("</p:"), local, F.lit(">")))
-    named = graph.select(_xml(F.col("s")).alias("s"), F.lit(None).cast("string").alias("key"), element.alias("line"))
-    return blocks(named, "element", '<rdf:Description rdf:about="{s}">', "", "</rdf:Description>", most_lines)
+    return blocks(graph, F.lit(None), element, "element", '<rdf:Description rdf:about="{s}">', "", "</rdf:Description>", most_lines, _xml_text)
 
 
 def wrapped(lines: DataFrame, head: str, tail: str) -> DataFrame:
