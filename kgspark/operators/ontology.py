@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.model import COMMENT, DOMAIN, INTEGER, LABEL, NS, OWL, RANGE, SCHEMA, SH, SUBCLASS, SUBPROPERTY, TYPE, Namespaces, triples_of
+from kgspark.model import COMMENT, DOMAIN, INTEGER, LABEL, NS, OWL, RANGE, SCHEMA, SH, SUBCLASS, SUBPROPERTY, TYPE, Namespaces, edges, triples_of
 
 #: Classes with superclass, label and comment.
 CLASSES = (
@@ -82,6 +82,15 @@ def shape_table(spark: SparkSession, extended: bool = True, ns: Namespaces = NS)
     return spark.createDataFrame(rows, "target_class string, path string, constraint string, value string")
 
 
+def with_instances(classes: DataFrame, cls: str, graph: DataFrame) -> DataFrame:
+    """Rows of a small table with the number ``n`` of instances of the class in a column, 0 where there are none.
+
+    Instances are counted before they meet the table, so no task holds all rows of a class.
+    """
+    own = edges(graph, TYPE, o=cls).join(classes.select(cls).distinct(), cls, "left_semi")
+    return classes.join(own.groupBy(cls).agg(F.count_distinct("s").alias("n")), cls, "left").fillna(0, ["n"])
+
+
 def shape_triples(spark: SparkSession, ns: Namespaces = NS) -> DataFrame:
     """The basic shapes as triples."""
     rows: list[tuple] = []
