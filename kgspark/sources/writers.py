@@ -110,12 +110,6 @@ def _xml(c: Column) -> Column:
     return c
 
 
-def _xml_text(text: str) -> str:
-    for char, code in _XML_CODES:
-        text = text.replace(char, code)
-    return text
-
-
 def to_rdfxml(graph: DataFrame, most_lines: int | None = MOST_LINES) -> DataFrame:
     """(s, element): description elements, one per subject, several for a hub; each property names its own namespace."""
     local = F.regexp_extract("p", r"([^/#]*)$", 1)
@@ -123,7 +117,13 @@ def to_rdfxml(graph: DataFrame, most_lines: int | None = MOST_LINES) -> DataFram
     opening = F.concat(F.lit("<p:"), local, F.lit(' xmlns:p="'), _xml(space), F.lit('"'))
     tail = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit(' xml:lang="'), "o_lang", F.lit('"'))).when(F.col("o_dt").isNotNull(), F.concat(F.lit(' rdf:datatype="'), "o_dt", F.lit('"'))).otherwise("")
     element = F.when(F.col("o_kind") == "iri", F.concat(opening, F.lit(' rdf:resource="'), _xml(F.col("o")), F.lit('"/>'))).otherwise(F.concat(opening, tail, F.lit(">"), _xml(F.col("o")), F.lit("</p:"), local, F.lit(">")))
-    return blocks(graph, F.lit(None), element, "element", '<rdf:Description rdf:about="{s}">', "", "</rdf:Description>", most_lines, _xml_text)
+
+    def quoted(text: str) -> str:  # within the function, so that executors get it by value
+        for char, code in _XML_CODES:
+            text = text.replace(char, code)
+        return text
+
+    return blocks(graph, F.lit(None), element, "element", '<rdf:Description rdf:about="{s}">', "", "</rdf:Description>", most_lines, quoted)
 
 
 def wrapped(lines: DataFrame, head: str, tail: str) -> DataFrame:
