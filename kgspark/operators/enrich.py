@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.functions.scalars import normalize_name, strip_html, underscored
-from kgspark.model import INTEGER, LABEL, NS, SCHEMA, SEE_ALSO, TRIPLE_COLUMNS, TYPE, Namespaces, checkpointed, fact, facts_to_triples, first_label, instances, iri
+from kgspark.model import INTEGER, LABEL, NS, SCHEMA, SEE_ALSO, TRIPLE_COLUMNS, TYPE, Namespaces, checkpointed, fact, facts_to_triples, first_label, instances, iri, large
 
 
 @F.pandas_udf(T.DoubleType())
@@ -51,8 +51,8 @@ def _grams(names: DataFrame, name: str, q: int) -> DataFrame:
 
 def _rarest_first(names: DataFrame, name: str, grams: DataFrame, often: DataFrame) -> DataFrame:
     """``names`` with their grams in order of their number over both sides."""
-    ranked = grams.join(often, "gram").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("often", "gram")))["gram"].alias("ranked"))
-    return names.join(ranked, name, "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
+    ranked = grams.join(large(often), "gram").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("often", "gram")))["gram"].alias("ranked"))
+    return names.join(large(ranked), name, "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>")))
 
 
 def _shorter(c: Column, most: int) -> Column:
@@ -95,7 +95,7 @@ def _fuzzy_pairs(own: DataFrame, other: DataFrame, threshold: float, q: int) ->
     other = other.withColumn("na", reach("nb")).filter(possible).join(own.select("na").distinct(), "na", "left_semi").withColumn("few", few)
 
     deleted = lambda side, c, gone: side.filter("few").withColumn("gone", gone).withColumn("key", F.explode(F.transform(_shorter(F.col(c), MOST_GONE), lambda x: F.xxhash64(x))))
-    near = deleted(own, "a", gone_a).select("name", "a", "ha", "na", "nb", "key").join(deleted(other, "b", gone_b).select("b", "pos", "hb", "na", "nb", "key"), ["na", "nb", "key"])
+    near = deleted(own, "a", gone_a).select("name", "a", "ha", "na", "nb", "key").join(large(deleted(other, "b", gone_b).select("b", "pos", "hb", "na", "nb", "key")), ["na", "nb", "key"])
 
     own, other = own.filter("NOT few"), other.filter("NOT few")
     own_grams, other_grams = _grams(own.select("a").distinct(), "a", q), _grams(other.select("b").distinct(), "b", q)
@@ -105,7 +105,7 @@ def _fuzzy_pairs(own: DataFrame, other: DataFrame, threshold: float, q: int) ->
     keys = F.explode(F.when(shared > 0, F.slice("ranked", F.lit(1), F.greatest(F.size("ranked") - shared + 1, F.lit(0)))).otherwise(F.array(F.lit("")))).alias("key")
     far = (
         _rarest_first(own, "a", own_grams, often).select("name", "a", "ha", "na", "nb", keys)
-        .join(_rarest_first(other, "b", other_grams, often).select("b", "pos", "hb", "na", "nb", keys), ["na", "nb", "key"])
+        .join(large(_rarest_first(other, "b", other_grams, often).select("b", "pos", "hb", "na", "nb", keys)), ["na", "nb", "key"])
     )
     differ = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     most = (1 - threshold) * (F.col("na") + F.col("nb")) + 1e-9
@@ -138,7 +138,7 @@ def match_fuzzy(names: DataFrame, cards: DataFrame, threshold: float = 0.85, q:
     other = other.select("b", "pos", F.length("b").alias("nb"), _histogram(F.col("b")).alias("hb")).repartition(_tasks(names), "b")
     best = None
     for level in ((1 + threshold) / 2, threshold):
-        left = own if best is None else own.join(best.select("name"), "name", "left_anti")
+        left = own if best is None else own.join(large(best.select("name")), "name", "left_anti")
         scored = _fuzzy_pairs(left, other, level, q).withColumn("score", name_ratio("a", "b")).filter(F.col("score") >= level)
         top = scored.groupBy("name").agg(F.max(F.struct("score", (-F.col("pos")).alias("at"))).alias("m")).select("name", (-F.col("m.at")).alias("pos"), F.col("m.score").alias("score"))
         best = checkpointed(top) if best is None else best.unionByName(top)
