@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import entity_iri, image_hash_url, image_name, is_valid_date, page_iri, split_on_br, trim_ws, underscored
-from kgspark.model import FOAF, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, TRIPLE_COLUMNS, TYPE, Namespaces, fact, facts_to_triples, iri
+from kgspark.model import FOAF, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, TRIPLE_COLUMNS, TYPE, Namespaces, fact, facts_to_triples, iri, large
 
 #: Link titles that are no children.
 NO_CHILDREN = ("twins", "twin", "several", "many", "unknown", "none")
@@ -163,7 +163,7 @@ def image_triples(parsed: DataFrame, imageinfo: DataFrame | None = None, ns: Nam
     rows = with_iris(parsed, ns).select("entity", F.try_element_at("params", F.lit("image")).alias("file")).filter("file IS NOT NULL")
     rows = rows.withColumn("filename", image_name(F.col("file")))
     if imageinfo is not None:
-        rows = rows.join(imageinfo.select("filename", "url"), "filename", "left")
+        rows = rows.join(large(imageinfo.select("filename", "url")), "filename", "left")
     known = F.col("url") if imageinfo is not None else F.lit(None).cast("string")
     return facts_to_triples(rows, "entity", F.array(iri(SCHEMA + "image", F.coalesce(known, image_hash_url(F.col("file"), ns)))))
 
@@ -194,11 +194,13 @@ def page_facts(parsed: DataFrame, links: DataFrame | None = None, imageinfo: Dat
     rows = own.select("title", "entity", image_name(image).alias("filename"), image_hash_url(image, ns).alias("url"), F.concat(base_facts(ns), _of(entity, F.concat(types, body)), owned).alias("facts"))
     if imageinfo is not None:
         known = imageinfo.filter("filename IS NOT NULL").groupBy("filename").agg(F.min("url").alias("known"))
-        rows = rows.join(known, "filename", "left").withColumn("url", F.coalesce("known", "url"))
+        # Pages without an image are spread by their titles, which no name of a file begins like.
+        rows = rows.withColumn("file", F.coalesce("filename", F.concat(F.lit("\0"), "title")))
+        rows = rows.join(large(known.withColumnRenamed("filename", "file")), "file", "left").withColumn("url", F.coalesce("known", "url"))
     facts = [F.col("facts"), _of(entity, F.array(iri(SCHEMA + "image", F.col("url"))))]
     if links is not None:
         by_name = links.select(F.col("name").alias("title"), iri(_link_property(), F.col("uri")).alias("link")).filter("link IS NOT NULL").groupBy("title").agg(F.collect_set("link").alias("found"))
-        rows = rows.join(by_name, "title", "left")
+        rows = rows.join(large(by_name), "title", "left")
         facts.append(_of(entity, F.coalesce("found", F.array().cast(by_name.schema["found"].dataType))))
     return rows.select("title", F.array_distinct(F.filter(F.concat(*facts), lambda x: x["s"].isNotNull() & x["f"].isNotNull())).alias("facts"))
 
@@ -231,7 +233,7 @@ def select_categories(categories: DataFrame, names: list[str] | None = None, lim
 def dedupe_pages(category_titles: DataFrame, statuses: DataFrame) -> DataFrame:
     """Titles with their status and a flag for repeats: a title counts once, at its first place, unless it ended in an error."""
     ordered = W.partitionBy("title").orderBy("cat_idx", "pos")
-    ended = category_titles.join(statuses.select("title", "status"), "title", "left").withColumn("status", F.coalesce("status", F.lit("no_page")))
+    ended = category_titles.join(large(statuses.select("title", "status")), "title", "left").withColumn("status", F.coalesce("status", F.lit("no_page")))
     failed = F.col("status").isin("no_page") | F.col("status").startswith("error")
     return ended.withColumn("duplicate", (F.row_number().over(ordered) > 1) & ~failed)
 
@@ -253,7 +255,7 @@ def build_stats(processed: DataFrame, page_sizes: DataFrame) -> DataFrame:
     """Totals of a build, as one row; ``page_sizes`` has title and triples, counted before graphs are merged."""
     fresh = ~F.col("duplicate")
     failed = F.col("status").isin("no_page") | F.col("status").startswith("error")
-    return processed.join(page_sizes, "title", "left").agg(
+    return processed.join(large(page_sizes), "title", "left").agg(
         F.count_if(fresh).alias("processed"),
         F.count_if(fresh & (F.col("status") == "success")).alias("success"),
         F.count_if(fresh & (F.col("status") == "no_infobox")).alias("no_infobox"),
