@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,18 +107,22 @@ def rdfs_materialize(graph: DataFrame, ontology: DataFrame) -> DataFrame:
     already is left out. In the order of ``_entailed`` the first round gives all that a common
     vocabulary entails, so the second one, over the new triples alone, is the last. If new triples
     belong to the vocabulary itself, as under a property below rdfs:subClassOf, its closures are
-    made anew and the next round starts from all triples.
+    made anew and the next round starts from all triples. New triples are types or have a superproperty,
+    so they are held against the triples of these predicates alone; the graph is shuffled once, to make it a set.
     """
     vocabulary = F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)
-    known = fresh = graph.select(*TRIPLE_COLUMNS).dropDuplicates()
+    own = known = fresh = graph.select(*TRIPLE_COLUMNS)
+    more: list[DataFrame] = []
     schema, grown = checkpointed(ontology.select(*TRIPLE_COLUMNS).unionByName(graph.filter(vocabulary).select(*TRIPLE_COLUMNS)).dropDuplicates()), True
     while True:
         if grown:
             up = subclass_closure(schema, SUBPROPERTY).select(F.col("class").alias("p"), F.col("ancestor").alias("super")).filter("p <> super")
             classes = subclass_closure(schema)
-        fresh = checkpointed(_entailed(known if grown else fresh, up, schema, classes).subtract(known))
+            made = [TYPE, *[r["super"] for r in up.select("super").distinct().collect()]]  # of the vocabulary, not of the data
+        fresh = checkpointed(_entailed(known if grown else fresh, up, schema, classes).subtract(known.filter(F.col("p").isin(made))))
         if fresh.isEmpty():
-            return known
+            return reduce(DataFrame.unionByName, more, own.dropDuplicates())
+        more.append(fresh)
         known = known.unionByName(fresh)
         added = fresh.filter(vocabulary)
         grown = not added.isEmpty()
