@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import local_name
-from kgspark.model import LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, TYPE, Namespaces, edges, instances
+from kgspark.model import LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, TYPE, Namespaces, edges, instances, likely
 
 #: Link types by a part of their address, in the order they are tried.
 HOSTS = ("fandom", "dbpedia", "wikidata", "yago", "wikipedia")
@@ -100,7 +100,7 @@ def facet_entities(graph: DataFrame, classes: list[str], sources: list[str], mos
 
 def entity_page(graph: DataFrame, seeds: DataFrame, ns: Namespaces = NS) -> DataFrame:
     """One row per seed: label, description, image, types, labels (English first), properties and number of links."""
-    own = graph.join(seeds.select(F.col("entity").alias("s")), "s", "left_semi")
+    own = likely(graph, "s", seeds, "entity").join(seeds.select(F.col("entity").alias("s")), "s", "left_semi")
     foreign = F.coalesce(F.col("o_lang") != "en", F.lit(False))
     first = lambda p: F.min(F.when(F.col("p") == p, F.struct(foreign, F.col("o"))))["o"]
     source = F.when(F.col("p").isin(ns.prop + "hairColor", ns.prop + "height"), "csv").otherwise("fandom")
@@ -145,7 +145,7 @@ def entities_all_types(graph: DataFrame, cls: str) -> DataFrame:
 
 def exists(graph: DataFrame, seeds: DataFrame, predicates: dict[str, list[str]]) -> DataFrame:
     """One row per seed, one boolean per name: whether it has a triple of one of the predicates."""
-    found = graph.join(seeds.select(F.col("entity").alias("s")), "s", "left_semi").groupBy("s").agg(*[F.bool_or(F.col("p").isin(*ps)).alias(n) for n, ps in predicates.items()])
+    found = likely(graph, "s", seeds, "entity").join(seeds.select(F.col("entity").alias("s")), "s", "left_semi").groupBy("s").agg(*[F.bool_or(F.col("p").isin(*ps)).alias(n) for n, ps in predicates.items()])
     return seeds.select(F.col("entity").alias("s")).distinct().join(found, "s", "left").fillna(False, list(predicates))
 
 

@@ -28,6 +28,13 @@ def test_likely_rows_hold_all_matches_and_the_rest_none(spark):
     assert likely(rows, "a", keys, "k").count() == 50 and likely(rows, "a", keys.limit(0), "k").isEmpty()
 
 
+def test_lookups_shuffle_only_likely_rows(spark):
+    graph, seeds = small(spark), spark.createDataFrame([("http://a/e2",)], "entity string")
+    for df in (infer.describe(graph, seeds), infer.relations_with_sameas(graph, seeds), explore.entity_page(graph, seeds), explore.exists(graph, seeds, {"x": [TYPE]})):
+        assert "_word" in plan(df)
+    assert {r.source for r in infer.relations_with_sameas(graph, seeds).collect()} == {"direct", "sameAs-outgoing"}
+
+
 def test_copies_hold_no_texts_and_lookups_find_them(spark, tmp_path):
     path = str(tmp_path / "g")
     store.insert(spark, path, small(spark))
