@@ -2,8 +2,8 @@
 
 Each layer that adds labels has an index of its own beside it, so an insert indexes only what it
 adds, and branches share what they have in common. An index holds postings (gram, label id) in
-buckets by first character, sorted by gram; the number of labels of each gram; and the labels
-themselves in slots by id. A search reads the postings of its term's rarest grams, then the slots
+buckets by first character, sorted by gram within each task's file; the number of labels of each gram; and
+the labels themselves in slots by id. Postings are written by the task that holds their labels and never shuffled. A search reads the postings of its term's rarest grams, then the slots
 of what they have in common, and looks at those labels. Equal ids of different labels only cost a look.
 """
 
@@ -20,9 +20,11 @@ from kgspark.model import LABEL, TRIPLE_COLUMNS
 from kgspark.sources.store import ADDED, GONE, _file, _rows, _union, manifest
 
 #: Buckets of postings. The first character decides, so grams that begin as a short term does lie together.
-BUCKETS = 64
+BUCKETS = 16
 #: Postings of this many of a term's grams are read; what they leave is looked at.
 RAREST = 3
+#: Characters of the labels whose postings one task sorts, in memory, and writes as files of its own.
+TASK_CHARS = 8_000_000
 
 
 def _grams(text: Column) -> Column:
@@ -48,13 +50,15 @@ def _state(spark: SparkSession, layer: dict) -> dict | None:
 
 def _index(spark: SparkSession, layer: dict, slot_rows: int) -> None:
     place, data = _place(layer), uuid.uuid4().hex
-    rows = _rows(spark, layer, [LABEL]).select(*TRIPLE_COLUMNS).filter("length(o) > 0").withColumn("id", F.xxhash64("o"))
-    slots = max(1, math.ceil(rows.count() / slot_rows))
+    rows = _rows(spark, layer, [LABEL]).select(*TRIPLE_COLUMNS).filter("length(o) > 0").withColumn("id", F.hash("o").cast("long"))
+    n = rows.agg(F.count("*").alias("rows"), F.sum(F.length("o")).alias("chars")).first()
+    slots = max(1, math.ceil(n.rows / slot_rows))
     slot = F.pmod(F.col("id"), F.lit(slots)).cast("int")
     rows.withColumn("slot", slot).repartition(slots, "slot").sortWithinPartitions("slot", "id").write.partitionBy("slot").parquet(f"{place}/{data}/labels")
-    posted = rows.select("id", "o").distinct().select("id", F.explode(_grams(F.col("o"))).alias("gram")).distinct().withColumn("bucket", _bucket(F.substring("gram", 1, 1)))
-    # Ranges of (bucket, gram, id) split a gram that most labels hold.
-    posted.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(f"{place}/{data}/postings")
+    # The tasks hold whole labels, so a gram that most labels hold is split over all of them.
+    dealt = rows.select("id", "o").repartition(max(1, math.ceil((n.chars or 0) / TASK_CHARS)), "id").dropDuplicates(["id", "o"])
+    posted = dealt.select("id", F.explode(_grams(F.col("o"))).alias("gram")).withColumn("bucket", _bucket(F.substring("gram", 1, 1)))
+    posted.sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(f"{place}/{data}/postings")
     written = spark.read.schema("gram string, id long, bucket int").parquet(f"{place}/{data}/postings")
     counts = written.groupBy("bucket", "gram").agg(F.count("*").alias("n"))
     counts.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{place}/{data}/counts")
@@ -90,7 +94,8 @@ def _ids(spark: SparkSession, data: str, term: str) -> DataFrame | None:
         return None
     rarest = sorted(wanted, key=lambda g: (n[g], g))[:RAREST]
     met = posted.filter(in_buckets(rarest)).filter(F.col("gram").isin(rarest))
-    return met.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(rarest)).select("id")
+    # Of labels with equal ids one may hold one gram and another the next: they are looked at.
+    return met.groupBy("id").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(rarest)).select("id")
 
 
 def labels_with(spark: SparkSession, path: str, term: str) -> DataFrame:

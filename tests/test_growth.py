@@ -48,3 +48,13 @@ def test_copies_hold_no_texts_and_lookups_find_them(spark, tmp_path):
         assert rows_of(found) == rows_of(scan(keys, "k", by).select(found.columns)) and found.count() == n
 
 
+def test_postings_lie_where_their_labels_are(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "g")
+    store.insert(spark, path, small(spark))
+    monkeypatch.setattr(grams, "TASK_CHARS", 200)
+    grams.index_labels(spark, path)
+    files = grams.labels_with(spark, path, "ame").inputFiles()
+    assert len({f.rsplit("part-", 1)[1][:5] for f in files if "/postings/" in f}) > 1  # a frequent gram is spread over the tasks that hold its labels
+    assert grams.labels_with(spark, path, "ame 1").count() == 11 and grams.labels_with(spark, path, "xt Long").count() == 1
+
+
