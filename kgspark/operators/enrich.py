@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgspark.functions.scalars import normalize_name, strip_html, underscored
-from kgspark.model import INTEGER, LABEL, NS, SCHEMA, SEE_ALSO, TRIPLE_COLUMNS, TYPE, Namespaces, checkpointed, fact, facts_to_triples, first_label, instances, iri, large
+from kgspark.model import INTEGER, LABEL, NS, SCHEMA, SEE_ALSO, TRIPLE_COLUMNS, TYPE, Namespaces, checkpointed, fact, facts_to_triples, first_label, instances, iri, large, likely, match
 
 
 @F.pandas_udf(T.DoubleType())
@@ -95,7 +95,10 @@ def _fuzzy_pairs(own: DataFrame, other: DataFrame, threshold: float, q: int) ->
     other = other.withColumn("na", reach("nb")).filter(possible).join(own.select("na").distinct(), "na", "left_semi").withColumn("few", few)
 
     deleted = lambda side, c, gone: side.filter("few").withColumn("gone", gone).withColumn("key", F.explode(F.transform(_shorter(F.col(c), MOST_GONE), lambda x: F.xxhash64(x))))
-    near = deleted(own, "a", gone_a).select("name", "a", "ha", "na", "nb", "key").join(large(deleted(other, "b", gone_b).select("b", "pos", "hb", "na", "nb", "key")), ["na", "nb", "key"])
+    keyed = deleted(other, "b", gone_b).select("b", "pos", "hb", "na", "nb", "key")
+    # Long names leave hundreds of strings each, of which few are met. So they go before the shuffle, by filters of each pair of lengths.
+    bits = 1 << max(6, 26 - other.filter("few").select("na", "nb").distinct().count().bit_length())
+    near = likely(deleted(own, "a", gone_a).select("name", "a", "ha", "na", "nb", "key"), "key", keyed, "key", bits, ("na", "nb")).join(large(keyed), ["na", "nb", "key"])
 
     own, other = own.filter("NOT few"), other.filter("NOT few")
     own_grams, other_grams = _grams(own.select("a").distinct(), "a", q), _grams(other.select("b").distinct(), "b", q)
@@ -147,15 +150,17 @@ def match_fuzzy(names: DataFrame, cards: DataFrame, threshold: float = 0.85, q:
 
 def labelled_characters(graph: DataFrame, ns: Namespaces = NS) -> DataFrame:
     """(s, name): characters with one label each."""
-    return instances(graph, ns.ont + "Character").join(first_label(graph).withColumnRenamed("label", "name"), "s").filter("name <> ''")
+    who = instances(graph, ns.ont + "Character")
+    labels = likely(match(graph, p=LABEL), "s", who, "s")
+    return who.join(first_label(labels).withColumnRenamed("label", "name"), "s").filter("name <> ''")
 
 
 def matched_cards(graph: DataFrame, cards: DataFrame, threshold: float = 0.9, ns: Namespaces = NS) -> DataFrame:
     """(s, name, card columns): by equal name, else by ratio; only names left over are compared."""
-    who = labelled_characters(graph, ns)
+    who = checkpointed(labelled_characters(graph, ns))  # names are read some ten times, labels once
     names = who.select("name").distinct()
     exact = match_cards_exact(names, cards)
-    left = names.join(exact.select("name"), "name", "left_anti")
+    left = checkpointed(names.join(exact.select("name"), "name", "left_anti"))
     fuzzy = match_fuzzy(left, cards, threshold).select("name", "pos").join(cards.withColumn("norm", normalize_name(F.col("name_en"))), "pos")
     return who.join(exact.unionByName(fuzzy), "name")
 

@@ -58,3 +58,11 @@ def test_postings_lie_where_their_labels_are(spark, tmp_path, monkeypatch):
     assert grams.labels_with(spark, path, "ame 1").count() == 11 and grams.labels_with(spark, path, "xt Long").count() == 1
 
 
+def test_deletion_strings_that_nothing_meets_are_not_shuffled(spark):
+    names = spark.createDataFrame([("supplier#000000001",), ("gandalf",)], "name string")
+    own = names.selectExpr("name", "name AS a", "length(name) AS na").withColumn("ha", enrich._histogram(names.name))
+    other = spark.createDataFrame([("gandalff", 1), ("nobody furniture", 2)], "b string, pos int").selectExpr("*", "length(b) AS nb")
+    pairs = enrich._fuzzy_pairs(own, other.withColumn("hb", enrich._histogram(other.b)), 0.9, 3)
+    assert "_word" in plan(pairs) and [tuple(r) for r in pairs.collect()] == [("gandalf", "gandalf", "gandalff", 1)]
+
+
