@@ -65,28 +65,31 @@ def validation_report(graph: DataFrame, found: DataFrame, ns: Namespaces = NS) -
 def shacl_validate(graph: DataFrame, shapes: DataFrame, ns: Namespaces = NS) -> DataFrame:
     """Violations of a constraint table (entity, path, constraint, value), all constraints in one pass.
 
-    Targets are instances of a shape's class or of a subclass. Spark broadcasts the
-    table by its measured size; values meet their targets by subject and path in one join, then counts and value checks
-    follow on the same key.
+    Targets are instances of a shape's class or of a subclass. The constraints of each type come from the table and the class
+    closure alone; they are numbered, so targets and values are (subject, number), counted together in one aggregation. Of
+    values only those that are counted or break a rule are rows of it.
     """
     closure = subclass_closure(graph)
-    typed = with_ancestors(edges(graph, TYPE, "entity", "type"), closure)
-    targets = typed.join(shapes, F.col("class") == F.col("target_class")).select(F.col("entity").alias("s"), "path", "constraint", "value").distinct()
-    values = graph.join(shapes.select(F.col("path").alias("p")).distinct(), "p", "left_semi").select("s", F.col("p").alias("path"), "o", "o_kind", "o_dt", "o_lang", F.lit(1).alias("there"))
-    met = targets.join(values, ["s", "path"], "left")
+    constraint = ["path", "constraint", "value"]
+    numbered = checkpointed(shapes.select(*constraint).distinct().withColumn("id", F.monotonically_increasing_id()))
+    below = shapes.join(closure, F.col("ancestor") == F.col("target_class")).select(F.col("class").alias("type"), *constraint)
+    of_type = checkpointed(below.unionByName(shapes.select(F.col("target_class").alias("type"), *constraint)).join(numbered, constraint).select("type", "id").distinct())
+    targets = edges(graph, TYPE, "s", "type").join(of_type, "type").select("s", "id", F.lit(1).alias("target"), F.lit(0).alias("n"))
     datatype = F.when(F.col("o_kind") == "literal", F.coalesce("o_dt", F.when(F.col("o_lang").isNotNull(), RDF + "langString").otherwise("http://www.w3.org/2001/XMLSchema#string"))).otherwise("iri")
-    bad = (
-        F.when(F.col("constraint") == "datatype", datatype != F.col("value"))
+    counted = (
+        F.when(F.col("constraint").isin("minCount", "maxCount"), True)
+        .when(F.col("constraint") == "datatype", datatype != F.col("value"))
         .when(F.col("constraint") == "nodeKind", F.col("o_kind") != "iri")
         .when(F.col("constraint") == "in", ~F.array_contains(F.split("value", " "), F.col("o")))
     )
-    each = met.groupBy("s", "path", "constraint", "value").agg(F.count("there").alias("n"), F.count_if(bad & F.col("there").isNotNull()).alias("n_bad"))
+    values = graph.join(numbered.withColumnRenamed("path", "p"), "p").filter(counted).select("s", "id", F.lit(0).alias("target"), F.lit(1).alias("n"))
+    each = targets.unionByName(values).groupBy("s", "id").agg(F.max("target").alias("target"), F.sum("n").alias("n")).filter("target = 1")
     wrong = (
         F.when(F.col("constraint") == "minCount", F.col("n") < F.col("value").cast("int"))
         .when(F.col("constraint") == "maxCount", F.col("n") > F.col("value").cast("int"))
-        .otherwise(F.col("n_bad") > 0)
+        .otherwise(F.col("n") > 0)
     )
-    return each.filter(wrong).select(F.col("s").alias("entity"), "path", "constraint", "value")
+    return each.join(numbered, "id").filter(wrong).select(F.col("s").alias("entity"), *constraint)
 
 
 def _entailed(rows: DataFrame, up: DataFrame, schema: DataFrame, classes: DataFrame) -> DataFrame:

@@ -66,3 +66,15 @@ def test_deletion_strings_that_nothing_meets_are_not_shuffled(spark):
     assert "_word" in plan(pairs) and [tuple(r) for r in pairs.collect()] == [("gandalf", "gandalf", "gandalff", 1)]
 
 
+def test_shapes_count_targets_and_values_in_one_aggregation(spark):
+    shapes = spark.createDataFrame([("http://a/C", LABEL, "maxCount", "1"), ("http://a/C", SAME_AS, "minCount", "1"), ("http://a/C", SAME_AS, "nodeKind", "iri"), ("http://a/D", LABEL, "minCount", "1")], "target_class string, path string, constraint string, value string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = validate.shacl_validate(small(spark), shapes)
+        assert "LeftOuter" not in plan(out)
+        got = rows_of(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r for r in got if r[2] == "maxCount"] == [("http://a/e1", LABEL, "maxCount", "1")] and len(got) == 30
+
+
