@@ -36,6 +36,8 @@ def prefixes(ns: Namespaces = NS) -> dict[str, str]:
 
 #: A block is closed after so many lines or characters; a subject of more has several blocks.
 MOST_LINES, MOST_CHARACTERS = 10_000, 1 << 20
+#: Lines of one compressed file of triples.
+MOST_FILE_LINES = 1_000_000
 
 
 def blocks(graph: DataFrame, key: Column, line: Column, name: str, head: str, between: str, tail: str, most_lines: int | None = MOST_LINES, quoted: Callable[[str], str] = str) -> DataFrame:
@@ -148,8 +150,12 @@ def write_shapes(spark: SparkSession, path: str, fmt: str = "turtle", ns: Namesp
     export_graph(shape_triples(spark, ns), path, fmt)
 
 
-def export_graph(graph: DataFrame, path: str, fmt: str) -> None:
-    """The whole graph as text files: nt, turtle, jsonld (a node per line) or xml."""
+def export_graph(graph: DataFrame, path: str, fmt: str, compression: str = "none") -> None:
+    """The whole graph as text files: nt, turtle, jsonld (a node per line) or xml.
+
+    ``compression``: a codec of Spark's text files, such as gzip, which Spark reads by its suffix; a compressed file isn't split,
+    so lines of triples then make several files of bounded size per task.
+    """
     if fmt == "nt":
         out = to_ntriples(graph)
     elif fmt == "turtle":
@@ -160,4 +166,5 @@ def export_graph(graph: DataFrame, path: str, fmt: str) -> None:
         out = wrapped(to_rdfxml(graph).select("element"), f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF xmlns:rdf="{RDF}">', "</rdf:RDF>")
     else:
         raise ValueError(f"unknown format {fmt}")
-    out.write.mode("overwrite").text(path)
+    bounded = MOST_FILE_LINES if fmt == "nt" and compression != "none" else 0
+    out.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", bounded).text(path)

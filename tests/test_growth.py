@@ -87,3 +87,8 @@ def test_deletes_shuffle_once_and_leave_the_rest_unshuffled(spark, tmp_path):
     assert rows_of(store.read_store(spark, path)) == rows_of(graph.filter("s NOT LIKE '%3'").select(*TRIPLE_COLUMNS)) and "_word" in plan(store.read_store(spark, path))
 
 
+def test_exports_may_be_compressed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "MOST_FILE_LINES", 10)
+    writers.export_graph(small(spark).coalesce(1), str(tmp_path / "out"), "nt", "gzip")
+    assert len(list((tmp_path / "out").glob("*.txt.gz"))) == 7
+    assert rows_of(readers.read_ntriples(spark, str(tmp_path / "out"))) == rows_of(small(spark))
