@@ -11,6 +11,12 @@ from kgspark.model import FOAF, LABEL, NS, SAME_AS, SCHEMA, SEE_ALSO, TRIPLE_COL
 
 #: Link titles that are no children.
 NO_CHILDREN = ("twins", "twin", "several", "many", "unknown", "none")
+#: What the facts below read of a page, for ``parse_pages``; an image and other names are read as they are written.
+READ = {
+    "plain": ("name", "gender", "race", "people", "description", "type", "result", "outcome"),
+    "links": ("race", "people", "birthlocation", "deathlocation", "spouse", "children", "parentage", "siblings", "location", "realm", "owner", "creator", "maker"),
+    "dates": ("birth", "death", "founded", "destroyed", "date"),
+}
 CHARACTER, PLACE, OBJECT, EVENT = (("character",), ("place", "location"), ("object", "weapon", "artifact"), ("event", "battle", "war"))
 
 
@@ -122,8 +128,8 @@ def _of(subject: Column, facts: Column) -> Column:
 
 
 def exploded(rows: DataFrame, facts: Column) -> DataFrame:
-    """The triples of an array of (s, f); nulls are left out."""
-    return rows.select(F.explode(facts).alias("x")).select("x.s", "x.f").filter("s IS NOT NULL AND f IS NOT NULL").select("s", "f.*")
+    """The triples of an array of (s, f); nulls are left out. ``explode_outer``: see ``facts_to_triples``."""
+    return rows.select(F.explode_outer(facts).alias("x")).select("x.s", "x.f").filter("s IS NOT NULL AND f IS NOT NULL").select("s", "f.*")
 
 
 def base_facts(ns: Namespaces = NS) -> Column:
@@ -179,13 +185,13 @@ def link_triples(links: DataFrame, ns: Namespaces = NS) -> DataFrame:
 
 
 def page_facts(parsed: DataFrame, links: DataFrame | None = None, imageinfo: DataFrame | None = None, ns: Namespaces = NS) -> DataFrame:
-    """(title, facts): all facts of each page with an infobox, with their subjects, as one array without repeats.
+    """(title, facts): all facts of each page with an infobox, with their subjects, as one array; a fact that a page states twice repeats.
 
     Pages of other types, books among them, are read like characters. A page is parsed and its
     facts are built once; the image table and the links, ``links`` grouped by name, join the
     arrays, not the triples.
     """
-    own = with_iris(parsed.filter("status = 'success'"), ns)
+    own = with_iris(parsed.filter("template IS NOT NULL"), ns)  # status is success; Spark sees that pages that weren't parsed have none
     kind, entity = F.col("itype"), F.col("entity")
     body = F.when(kind.isin(*PLACE), place_facts(ns)).when(kind.isin(*OBJECT), object_facts(ns)).when(kind.isin(*EVENT), event_facts(ns)).otherwise(character_facts(ns))
     types = F.transform(type_iris(kind, ns), lambda x: iri(TYPE, x))
@@ -202,17 +208,24 @@ def page_facts(parsed: DataFrame, links: DataFrame | None = None, imageinfo: Dat
         by_name = links.select(F.col("name").alias("title"), iri(_link_property(), F.col("uri")).alias("link")).filter("link IS NOT NULL").groupBy("title").agg(F.collect_set("link").alias("found"))
         rows = rows.join(large(by_name), "title", "left")
         facts.append(_of(entity, F.coalesce("found", F.array().cast(by_name.schema["found"].dataType))))
-    return rows.select("title", F.array_distinct(F.filter(F.concat(*facts), lambda x: x["s"].isNotNull() & x["f"].isNotNull())).alias("facts"))
+    return rows.select("title", F.filter(F.concat(*facts), lambda x: x["s"].isNotNull() & x["f"].isNotNull()).alias("facts"))
+
+
+def page_graphs(parsed: DataFrame, links: DataFrame | None = None, imageinfo: DataFrame | None = None, ns: Namespaces = NS) -> DataFrame:
+    """The triples of each page with an infobox; those that pages share repeat."""
+    return exploded(page_facts(parsed, links, imageinfo, ns), F.col("facts")).select(*TRIPLE_COLUMNS)
 
 
 def generate_graph(parsed: DataFrame, links: DataFrame | None = None, imageinfo: DataFrame | None = None, ns: Namespaces = NS) -> DataFrame:
     """All triples of pages with an infobox, as a set."""
-    return exploded(page_facts(parsed, links, imageinfo, ns), F.col("facts")).select(*TRIPLE_COLUMNS).dropDuplicates()
+    return page_graphs(parsed, links, imageinfo, ns).dropDuplicates()
 
 
 def page_sizes(facts: DataFrame) -> DataFrame:
     """(title, triples): the size of each page's own graph, before graphs are merged."""
-    return facts.select("title", F.size("facts").cast("long").alias("triples"))
+    # As strings, since Spark holds each struct of an array against every other one.
+    distinct = F.array_distinct(F.transform("facts", lambda x: F.to_json(x)))
+    return facts.select("title", F.size(distinct).cast("long").alias("triples"))
 
 
 def category_pages(members: DataFrame, categories: DataFrame, default_limit: int = 50) -> DataFrame:

@@ -1,7 +1,8 @@
 """What may not grow faster than the input: rows that no key is like stay where they are, texts aren't copied, repeats aren't sent."""
 
-from kgspark.model import LABEL, SAME_AS, TRIPLE_COLUMNS, TYPE, likely, triples_of
-from kgspark.operators import enrich, explore, infer, validate
+from kgspark.functions.wikitext import parse_pages
+from kgspark.model import LABEL, SAME_AS, TRIPLE_COLUMNS, TYPE, added, likely, triples_of
+from kgspark.operators import enrich, explore, generate, infer, validate
 from kgspark.sources import grams, ordered, readers, store, writers
 
 TEXT = "long text " * 60
@@ -92,3 +93,35 @@ def test_exports_may_be_compressed(spark, tmp_path, monkeypatch):
     writers.export_graph(small(spark).coalesce(1), str(tmp_path / "out"), "nt", "gzip")
     assert len(list((tmp_path / "out").glob("*.txt.gz"))) == 7
     assert rows_of(readers.read_ntriples(spark, str(tmp_path / "out"))) == rows_of(small(spark))
+
+
+RICH = """{{Quote|x}} {{Infobox %s | name = '''[[A|The A]]''' | othernames = B<br/>See below | gender = Male | race = [[Elves|elf]] | people = Noldor | birth = {{TA|5}} | death = {{FA|1}}
+| birthlocation = [[Here]] | deathlocation = [[There]] | spouse = [[S]], [[S]] | children = [[None]] [[C]] | parentage = [[P]] | siblings = [[Q]] | location = [[L]], [[M]] | realm = [[R]] | founded = {{SA|2}}
+| destroyed = TA 9 | description = A ''land'' | type = ring | owner = [[O]], [[O]] | creator = [[K]] | maker = [[K]] | date = TA 3 | result = won | outcome = lost | image = File:A.jpg | other = [[Z]] {{TA|1}} }}"""
+
+
+def rich(spark):
+    pages = [(f"Page {i}", RICH % kind) for i, kind in enumerate(("character", "place", "weapon", "battle", "war", "book"))]
+    return spark.createDataFrame([*pages, ("Page 0", RICH % "character"), ("Plain", "no box"), ("Gone", None)], "title string, wikitext string")
+
+
+def test_facts_are_made_once_and_from_what_is_read(spark):
+    few, all_ = parse_pages(rich(spark), generate.READ), parse_pages(rich(spark))
+    graph = generate.generate_graph(few)
+    text = plan(graph)
+    assert text.count("MapInArrow") == 1 and "size(" not in text and "array_distinct" not in text
+    assert "size(" not in plan(generate.type_triples(few))
+    assert rows_of(graph) == rows_of(generate.generate_graph(all_)) and graph.count() == len(set(rows_of(graph))) > 60
+    first = few.filter("title = 'Page 1'").first()
+    assert set(first.plain) <= set(generate.READ["plain"]) and first.params["other"] == "[[Z]] {{TA|1}}" and first.links["location"] == ["L", "M"]
+    sizes = {r.title: r.triples for r in generate.page_sizes(generate.page_facts(few.dropDuplicates(["title"]))).collect()}
+    own = graph.filter("s LIKE '%/Page_2' OR s LIKE '%/O'")
+    assert sizes["Page 2"] == own.count() and "Plain" not in sizes
+
+
+def test_merge_of_graphs_shuffles_once(spark):
+    before = small(spark)
+    more = before.limit(5).unionByName(triples_of(spark, [("http://a/n", LABEL, "n", "literal", None, "en"), ("http://a/n", LABEL, "n", "literal", None, "en"), ("http://a/n", LABEL, "n", "literal")]))
+    new = added(before, more)
+    assert plan(new).count("Exchange hashpartitioning") == 1 and "Join" not in plan(new)
+    assert rows_of(new) == rows_of(triples_of(spark, [("http://a/n", LABEL, "n", "literal", None, "en"), ("http://a/n", LABEL, "n", "literal")]))
